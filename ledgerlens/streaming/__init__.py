@@ -1,0 +1 @@
+"""Streaming forms of the analyses (see ``ledgerlens.streaming.revenue``)."""
