@@ -3,7 +3,8 @@
 from ledgerlens.operators.checks import assert_no_rows, count_violations
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.profitability import (
-    period_product_sales,
+    costed_lines,
+    period_profit,
     priced,
     product_profit,
     product_sales,
@@ -18,7 +19,8 @@ __all__ = [
     "percent_rank_cuts",
     "percent_rank_tiers",
     "period_growth",
-    "period_product_sales",
+    "costed_lines",
+    "period_profit",
     "period_totals",
     "priced",
     "product_profit",

@@ -1,10 +1,11 @@
 """Revenue, cost, profit per product and per period.
 
 Cost is ``OrderQty * StandardCost`` with the product's *current* cost.
-Because the cost is constant per product, ``sum(qty * cost)`` equals
-``cost * sum(qty)`` exactly (decimal arithmetic), so lines are aggregated
-to product grain *before* the product join: the join then sees one row per
-product (or per period and product) instead of one per order line.
+At product grain the cost is constant per product, so ``sum(qty * cost)``
+equals ``cost * sum(qty)`` exactly (decimal arithmetic): lines are summed
+per product *before* the product join, which then sees one row per product.
+At period grain the cost is taken per line and the lines are reduced by
+the period aggregate instead (periods x products barely reduces lines).
 """
 
 from __future__ import annotations
@@ -26,17 +27,44 @@ def product_sales(detail: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def period_product_sales(header: DataFrame, detail: DataFrame, ts: str = "OrderDate") -> DataFrame:
-    """Per year, quarter and ProductID: ``Revenue`` and ``Quantity``.
+def costed_lines(detail: DataFrame, product: DataFrame, product_cols: Sequence[str] = ()) -> DataFrame:
+    """Order lines with their cost (``OrderQty * StandardCost``).
 
-    The header-to-line join is the one fact-to-fact join (both sides
-    shuffled on SalesOrderID; AQE splits a skewed order). Map-side partial
-    aggregation then cuts lines to at most quarters x products per task.
+    Filters on ``product`` (e.g. a product group) reach the lines through the
+    inner join before anything else touches them. Spark broadcasts the
+    product side only when its measured size is under the broadcast
+    threshold; otherwise both sides are shuffled on ProductID and AQE splits
+    a hot product.
     """
-    lines = detail.join(header.select("SalesOrderID", ts), "SalesOrderID")
+    dims = product.select("ProductID", "StandardCost", *product_cols)
+    return detail.join(dims, "ProductID").select(
+        "SalesOrderID",
+        *product_cols,
+        "LineTotal",
+        (F.col("OrderQty") * F.col("StandardCost")).alias("LineCost"),
+    )
+
+
+def period_profit(
+    header: DataFrame,
+    detail: DataFrame,
+    product: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "OrderDate",
+) -> DataFrame:
+    """Revenue, cost and profit per year, quarter (and product ``keys``).
+
+    The header join (the one fact-to-fact join, on SalesOrderID) only adds
+    the order date; the aggregate is by calendar period, so map-side partial
+    aggregation leaves a few rows per task before the last shuffle.
+    """
+    lines = costed_lines(detail, product, keys).join(header.select("SalesOrderID", ts), "SalesOrderID")
     return lines.groupBy(
-        order_year(ts).alias(PERIOD_KEYS[0]), order_quarter(ts).alias(PERIOD_KEYS[1]), "ProductID"
-    ).agg(money_sum("LineTotal").alias("Revenue"), sum_int("OrderQty").alias("Quantity"))
+        order_year(ts).alias(PERIOD_KEYS[0]), order_quarter(ts).alias(PERIOD_KEYS[1]), *keys
+    ).agg(
+        money_sum("LineTotal").alias("TotalRevenue"),
+        money_sum("LineCost").alias("TotalCost"),
+    ).withColumn("Profit", (F.col("TotalRevenue") - F.col("TotalCost")).cast(MONEY_SUM))
 
 
 def priced(sales: DataFrame, product: DataFrame, product_cols: Sequence[str] = ("Name",)) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.labels import label_by_prefix
-from ledgerlens.functions.measures import money_sum, pct
+from ledgerlens.functions.measures import pct
 from ledgerlens.operators.growth import PERIOD_KEYS
-from ledgerlens.operators.profitability import period_product_sales, priced, product_profit
+from ledgerlens.operators.profitability import period_profit, product_profit
 from ledgerlens.operators.ranking import top_n
 from ledgerlens.operators.share import with_totals
 from ledgerlens.params import HIGH_PROFIT_LABEL, LOW_PROFIT_LABEL, OTHER_LABEL, Params
@@ -64,26 +64,19 @@ def d5_loss_products_all(t: Tables, p: Params) -> DataFrame:
 
 
 def _quarterly(t: Tables, p: Params, with_type: bool) -> DataFrame:
-    sales = period_product_sales(t.sales_order_header, t.sales_order_detail)
     product = t.product
-    keys = list(PERIOD_KEYS)
-    cols = ()
+    keys: tuple[str, ...] = ()
     if with_type:
         ptype = label_by_prefix(
             "Name",
             [(HIGH_PROFIT_LABEL, p.high_prefixes), (LOW_PROFIT_LABEL, p.low_prefixes)],
             OTHER_LABEL,
         )
-        # The type depends on the name only: drop other products before the join.
+        # The type depends on the name only: other products (and their
+        # lines) are dropped before any join.
         product = product.withColumn("ProductType", ptype).filter(F.col("ProductType") != OTHER_LABEL)
-        keys.append("ProductType")
-        cols = ("ProductType",)
-    lines = priced(sales, product, cols)
-    return lines.groupBy(*keys).agg(
-        money_sum("Revenue").alias("TotalRevenue"),
-        money_sum("Cost").alias("TotalCost"),
-        money_sum("Profit").alias("__profit"),
-    )
+        keys = ("ProductType",)
+    return period_profit(t.sales_order_header, t.sales_order_detail, product, keys)
 
 
 def q8_line_margin_by_quarter(t: Tables, p: Params) -> DataFrame:
@@ -94,8 +87,8 @@ def q8_line_margin_by_quarter(t: Tables, p: Params) -> DataFrame:
         "ProductType",
         "TotalRevenue",
         "TotalCost",
-        F.col("__profit").alias("TotalProfit"),
-        pct("__profit", "TotalRevenue", 8, 2).alias("ProfitRate"),
+        F.col("Profit").alias("TotalProfit"),
+        pct("Profit", "TotalRevenue", 8, 2).alias("ProfitRate"),
     )
 
 
@@ -106,8 +99,8 @@ def kpi1_quarterly_margin(t: Tables, p: Params) -> DataFrame:
         *PERIOD_KEYS,
         "TotalRevenue",
         "TotalCost",
-        F.col("__profit").alias("Profit"),
-        pct("__profit", "TotalRevenue", 8, 2).alias("ProfitRate"),
+        "Profit",
+        pct("Profit", "TotalRevenue", 8, 2).alias("ProfitRate"),
     )
 
 

@@ -32,86 +32,112 @@ PO_COMPLETE, PO_OPEN = 4, 1
 COST_MARKUP = Decimal("1.85")
 
 
-def _reader(spark: SparkSession, sf_dir: str):
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Stand-in views over ``{sf_dir}/{table}.parquet`` (memoised per session).
 
-    return read
+    Only plan definitions are kept: nothing is read until a query runs.
+    """
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = _build(spark, sf_dir.rstrip("/"))
+    return _MEMO[key]
 
 
-def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    read = _reader(spark, sf_dir)
-    orders, lineitem = read("orders"), read("lineitem")
-
-    by_sales_person = F.col("o_orderpriority").isin(*SALES_PERSON_PRIORITIES)
-    header = orders.select(
-        F.col("o_orderkey").alias("SalesOrderID"),
-        F.concat(F.lit("SO"), F.col("o_orderkey").cast(T.StringType())).alias("SalesOrderNumber"),
-        F.col("o_custkey").alias("CustomerID"),
-        F.when(by_sales_person, F.col("o_orderkey") % SALES_PERSONS).alias("SalesPersonID"),
-        F.when(by_sales_person, F.lit(0)).otherwise(F.lit(1)).alias("OnlineOrderFlag"),
-        F.col("o_orderdate").alias("OrderDate"),
-        F.col("o_orderstatus").alias("Status"),
-        F.col("o_totalprice").cast(MONEY).alias("SubTotal"),
-    )
+_MEMO: dict[tuple[int, str], Tables] = {}
 
-    qty = F.col("l_quantity").cast(T.IntegerType())
-    line_total = (
-        F.col("l_extendedprice").cast(T.DecimalType(12, 2))
-        * (F.lit(Decimal("1.00")) - F.col("l_discount").cast(T.DecimalType(3, 2)))
-    ).cast(MONEY)
-    detail = lineitem.select(
-        F.col("l_orderkey").alias("SalesOrderID"),
-        F.col("l_partkey").alias("ProductID"),
-        qty.alias("OrderQty"),
-        line_total.alias("LineTotal"),
-    )
 
-    customer = read("customer").select(
-        F.col("c_custkey").alias("CustomerID"),
-        F.when(F.col("c_mktsegment").isin(*STORE_SEGMENTS), F.col("c_custkey")).alias("StoreID"),
-        F.col("c_nationkey").alias("TerritoryID"),
-    )
-    territory = read("nation").select(
-        F.col("n_nationkey").alias("TerritoryID"), F.col("n_name").alias("Name")
-    )
-    product = read("part").select(
-        F.col("p_partkey").alias("ProductID"),
-        F.col("p_name").alias("Name"),
-        (F.col("p_retailprice").cast(T.DecimalType(8, 2)) * F.lit(COST_MARKUP))
-        .cast(UNIT_COST)
-        .alias("StandardCost"),
-    )
+def _build(spark: SparkSession, root: str) -> Tables:
+    raw: dict[str, DataFrame] = {}
 
+    def read(name: str) -> DataFrame:
+        if name not in raw:
+            raw[name] = spark.read.parquet(f"{root}/{name}.parquet")
+        return raw[name]
+
+    qty = F.col("l_quantity").cast(T.IntegerType())
     po_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))
-    po_header = (
-        lineitem.select("l_orderkey", "l_suppkey")
-        .distinct()
-        .join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
+
+    def header() -> DataFrame:
+        by_sales_person = F.col("o_orderpriority").isin(*SALES_PERSON_PRIORITIES)
+        return read("orders").select(
+            F.col("o_orderkey").alias("SalesOrderID"),
+            F.concat(F.lit("SO"), F.col("o_orderkey").cast(T.StringType())).alias("SalesOrderNumber"),
+            F.col("o_custkey").alias("CustomerID"),
+            F.when(by_sales_person, F.col("o_orderkey") % SALES_PERSONS).alias("SalesPersonID"),
+            F.when(by_sales_person, F.lit(0)).otherwise(F.lit(1)).alias("OnlineOrderFlag"),
+            F.col("o_orderdate").alias("OrderDate"),
+            F.col("o_orderstatus").alias("Status"),
+            F.col("o_totalprice").cast(MONEY).alias("SubTotal"),
+        )
+
+    def detail() -> DataFrame:
+        line_total = (
+            F.col("l_extendedprice").cast(T.DecimalType(12, 2))
+            * (F.lit(Decimal("1.00")) - F.col("l_discount").cast(T.DecimalType(3, 2)))
+        ).cast(MONEY)
+        return read("lineitem").select(
+            F.col("l_orderkey").alias("SalesOrderID"),
+            F.col("l_partkey").alias("ProductID"),
+            qty.alias("OrderQty"),
+            line_total.alias("LineTotal"),
+        )
+
+    def customer() -> DataFrame:
+        return read("customer").select(
+            F.col("c_custkey").alias("CustomerID"),
+            F.when(F.col("c_mktsegment").isin(*STORE_SEGMENTS), F.col("c_custkey")).alias("StoreID"),
+            F.col("c_nationkey").alias("TerritoryID"),
+        )
+
+    def territory() -> DataFrame:
+        return read("nation").select(F.col("n_nationkey").alias("TerritoryID"), F.col("n_name").alias("Name"))
+
+    def product() -> DataFrame:
+        return read("part").select(
+            F.col("p_partkey").alias("ProductID"),
+            F.col("p_name").alias("Name"),
+            (F.col("p_retailprice").cast(T.DecimalType(8, 2)) * F.lit(COST_MARKUP))
+            .cast(UNIT_COST)
+            .alias("StandardCost"),
+        )
+
+    def po_header() -> DataFrame:
+        orders = read("orders").select("o_orderkey", "o_orderstatus")
+        return (
+            read("lineitem")
+            .select("l_orderkey", "l_suppkey")
+            .distinct()
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(
+                po_id.alias("PurchaseOrderID"),
+                F.col("l_suppkey").alias("VendorID"),
+                F.when(F.col("o_orderstatus") == "F", F.lit(PO_COMPLETE))
+                .otherwise(F.lit(PO_OPEN))
+                .alias("Status"),
+            )
+        )
+
+    def po_detail() -> DataFrame:
+        return read("lineitem").select(
             po_id.alias("PurchaseOrderID"),
-            F.col("l_suppkey").alias("VendorID"),
-            F.when(F.col("o_orderstatus") == "F", F.lit(PO_COMPLETE))
-            .otherwise(F.lit(PO_OPEN))
-            .alias("Status"),
+            F.col("l_partkey").alias("ProductID"),
+            qty.alias("OrderQty"),
+            F.when(F.col("l_returnflag") == REJECT_FLAG, qty).otherwise(F.lit(0)).alias("RejectedQty"),
         )
-    )
-    po_detail = lineitem.select(
-        po_id.alias("PurchaseOrderID"),
-        F.col("l_partkey").alias("ProductID"),
-        qty.alias("OrderQty"),
-        F.when(F.col("l_returnflag") == REJECT_FLAG, qty).otherwise(F.lit(0)).alias("RejectedQty"),
-    )
-    vendor = read("supplier").select(
-        F.col("s_suppkey").alias("BusinessEntityID"), F.col("s_name").alias("Name")
-    )
-    work_order = lineitem.select(
-        F.when(F.col("l_returnflag") == REJECT_FLAG, F.col("l_linenumber") - 1).alias("ScrapReasonID"),
-        qty.alias("ScrappedQty"),
-    )
-    scrap_reason = read("region").select(
-        F.col("r_regionkey").alias("ScrapReasonID"), F.col("r_name").alias("Name")
-    )
+
+    def vendor() -> DataFrame:
+        return read("supplier").select(F.col("s_suppkey").alias("BusinessEntityID"), F.col("s_name").alias("Name"))
+
+    def work_order() -> DataFrame:
+        return read("lineitem").select(
+            F.when(F.col("l_returnflag") == REJECT_FLAG, F.col("l_linenumber") - 1).alias("ScrapReasonID"),
+            qty.alias("ScrappedQty"),
+        )
+
+    def scrap_reason() -> DataFrame:
+        return read("region").select(F.col("r_regionkey").alias("ScrapReasonID"), F.col("r_name").alias("Name"))
+
     return Tables(
         sales_order_header=header,
         sales_order_detail=detail,

@@ -2,35 +2,57 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.schema import SCHEMAS
 
+TABLE_NAMES = (
+    "sales_order_header",
+    "sales_order_detail",
+    "customer",
+    "sales_territory",
+    "product",
+    "purchase_order_header",
+    "purchase_order_detail",
+    "vendor",
+    "work_order",
+    "scrap_reason",
+)
+
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Tables:
-    """Reference-shaped inputs. Each attribute is a lazy DataFrame.
+    """Reference-shaped inputs, one lazy DataFrame per table.
+
+    A table may be given as a DataFrame or as a function building one; the
+    function runs on first use, so an analysis resolves (lists, reads the
+    footers of) only the files it touches.
 
     ``sales_order_header.TerritoryID`` may be absent when the territory is
     only known through the customer; ``customer.TerritoryID`` is used then.
     """
 
-    sales_order_header: DataFrame
-    sales_order_detail: DataFrame
-    customer: DataFrame
-    sales_territory: DataFrame
-    product: DataFrame
-    purchase_order_header: DataFrame
-    purchase_order_detail: DataFrame
-    vendor: DataFrame
-    work_order: DataFrame
-    scrap_reason: DataFrame
+    def __init__(self, **sources: Source) -> None:
+        missing = set(TABLE_NAMES) - set(sources)
+        if missing:
+            raise TypeError(f"missing tables: {sorted(missing)}")
+        self._sources = dict(sources)
+        self._frames: dict[str, DataFrame] = {}
 
-    @classmethod
-    def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLE_NAMES:
+            raise AttributeError(name)
+        if name not in self._frames:
+            src = self._sources[name]
+            self._frames[name] = src if isinstance(src, DataFrame) else src()
+        return self._frames[name]
+
+    @staticmethod
+    def names() -> tuple[str, ...]:
+        return TABLE_NAMES
 
 
 def read_reference(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
@@ -39,9 +61,8 @@ def read_reference(spark: SparkSession, root: str, fmt: str = "parquet") -> Tabl
     The schema is given, not inferred, so the scan never samples files and
     only the columns a query uses are read (column pruning).
     """
-    return Tables(
-        **{
-            name: spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{root}/{name}")
-            for name in Tables.names()
-        }
-    )
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.format(fmt).schema(SCHEMAS[name]).load(f"{root}/{name}")
+
+    return Tables(**{name: reader(name) for name in TABLE_NAMES})
