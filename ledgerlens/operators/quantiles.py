@@ -79,9 +79,9 @@ def percent_rank_cuts(
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(measures)
     cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
-    typed = df.select(*[c.alias(n) for n, c in zip(names, cols)])
-    vtype = _common_type([typed.schema[n].dataType for n in names])
-    typed = typed.select(*[F.col(n).cast(vtype).alias(n) for n in names])
+    raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
+    vtype = _common_type([f.dataType for f in raw.schema.fields])
+    typed = raw.select(*[F.col(n).cast(vtype).alias(n) for n in names])
 
     if ranges > 1:
         fractions = [i / ranges for i in range(1, ranges)]
@@ -92,38 +92,46 @@ def percent_rank_cuts(
     else:
         bounds = [[] for _ in names]
 
-    stacked = typed.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("m"), _range_of(F.col(n), bounds[i]).alias("rng"), F.col(n).alias("v"))
-                    for i, n in enumerate(names)
-                ]
+    # (measure, range, value) rows, reduced to distinct values with counts.
+    distinct = (
+        typed.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(i).alias("m"), _range_of(F.col(n), bounds[i]).alias("rng"), F.col(n).alias("v")
+                        )
+                        for i, n in enumerate(names)
+                    ]
+                )
             )
-        ).alias("mv")
-    ).select("mv.m", "mv.rng", "mv.v")
-    distinct = stacked.groupBy("m", "rng", "v").agg(F.count(F.lit(1)).alias("cnt"))
-
-    upto = Window.partitionBy("m", "rng").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        )
+        .groupBy("m", "rng", "v")
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    running = distinct.withColumn("cum", F.sum("cnt").over(upto))
 
-    # Per (measure, range) totals -> rows in lower ranges, and n per measure.
-    range_tot = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt"))
+    # Rows in lower ranges of the same measure, and n per measure: one row
+    # per (measure, range), so these windows are bounded by ``ranges``.
     below = Window.partitionBy("m").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = range_tot.select(
-        "m",
-        "rng",
-        F.coalesce(F.sum("rcnt").over(below), F.lit(0)).alias("off"),
-        F.sum("rcnt").over(Window.partitionBy("m")).alias("n"),
+    offsets = (
+        distinct.groupBy("m", "rng")
+        .agg(F.sum("cnt").alias("rcnt"))
+        .select(
+            "m",
+            "rng",
+            F.coalesce(F.sum("rcnt").over(below), F.lit(0)).alias("off"),
+            F.sum("rcnt").over(Window.partitionBy("m")).alias("n"),
+        )
     )
 
-    less = F.col("off") + F.col("cum") - F.col("cnt")
+    upto = Window.partitionBy("m", "rng").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    less = F.col("off") + F.sum("cnt").over(upto) - F.col("cnt")
     prank = F.when(
         F.col("n") > 1, less.cast(T.DoubleType()) / (F.col("n") - 1).cast(T.DoubleType())
     ).otherwise(F.lit(0.0))
-    scored = running.join(F.broadcast(offsets), ["m", "rng"]).select("m", "v", prank.alias("pr"))
+    scored = distinct.join(F.broadcast(offsets), ["m", "rng"]).select("m", "v", prank.alias("pr"))
     return scored.agg(
         *[
             F.max(F.when((F.col("m") == i) & (F.col("pr") <= F.lit(float(p))), F.col("v"))).alias(cut_name(n, k))
@@ -158,8 +166,8 @@ def percent_rank_tiers(
     for every row, ties included; the only broadcast is the one-row cuts.
     """
     cuts = percent_rank_cuts(df, {out: m for out, (m, _) in specs.items()}, probs, ranges)
-    out = df.crossJoin(F.broadcast(cuts))
-    for name, (measure, descending) in specs.items():
-        cut_cols = [F.col(cut_name(name, k)) for k in range(len(probs))]
-        out = out.withColumn(name, tier(F.col(measure), cut_cols, descending))
-    return out.drop(*[cut_name(n, k) for n in specs for k in range(len(probs))])
+    tiers = [
+        tier(F.col(measure), [F.col(cut_name(name, k)) for k in range(len(probs))], descending).alias(name)
+        for name, (measure, descending) in specs.items()
+    ]
+    return df.crossJoin(F.broadcast(cuts)).select(*df.columns, *tiers)

@@ -12,21 +12,22 @@ from ledgerlens.sources.tables import Tables
 
 
 def _completed_lines(t: Tables, p: Params, keys: tuple[str, ...]) -> DataFrame:
-    """Completed-PO quantities per PurchaseOrderID (+ keys), then per vendor.
+    """Ordered and rejected quantity of completed POs per vendor (+ keys).
 
-    Detail lines are summed per purchase order before the header join, so the
-    join and the vendor aggregate see one row per order (and product).
+    The status filter is pushed to the header scan; the header-detail join
+    is the one fact-to-fact shuffle, and map-side partial aggregation by
+    vendor then leaves at most vendors x keys rows per task. (Summing lines
+    per order before the join would not shrink them: an order has only a
+    few lines.)
     """
-    per_po = t.purchase_order_detail.groupBy("PurchaseOrderID", *keys).agg(
-        sum_int("OrderQty").alias("q"), sum_int("RejectedQty").alias("r")
-    )
     completed = t.purchase_order_header.filter(F.col("Status") == F.lit(p.completed_po_status)).select(
         "PurchaseOrderID", "VendorID"
     )
+    lines = t.purchase_order_detail.select("PurchaseOrderID", *keys, "OrderQty", "RejectedQty")
     return (
-        per_po.join(completed, "PurchaseOrderID")
+        lines.join(completed, "PurchaseOrderID")
         .groupBy("VendorID", *keys)
-        .agg(sum_int("q").alias("TotalOrder"), sum_int("r").alias("TotalReject"))
+        .agg(sum_int("OrderQty").alias("TotalOrder"), sum_int("RejectedQty").alias("TotalReject"))
     )
 
 

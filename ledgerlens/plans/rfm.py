@@ -61,12 +61,19 @@ def score(measures: DataFrame, p: Params) -> DataFrame:
         p.tier_cuts,
     )
     known = F.col("CustomerID").isNotNull()
-    for c in ("TotalOrder", "Frequency", "GapDay", "Recency"):
-        scored = scored.withColumn(c, F.when(known, F.col(c)))
-    code = rfm_code("Recency", "Frequency", "Monetary")
-    return scored.withColumn("RFM", code).withColumn(
-        "Cus_Category", segment_by_rules("RFM", p.segment_rules, SEGMENT_DEFAULT)
-    ).select(*RFM_COLUMNS)
+    kept = {c: F.when(known, F.col(c)) for c in ("TotalOrder", "Frequency", "GapDay", "Recency")}
+    code = rfm_code(kept["Recency"], kept["Frequency"], F.col("Monetary"))
+    return scored.select(
+        "CustomerID",
+        "TotalRev",
+        "Monetary",
+        kept["TotalOrder"].alias("TotalOrder"),
+        kept["Frequency"].alias("Frequency"),
+        kept["GapDay"].alias("GapDay"),
+        kept["Recency"].alias("Recency"),
+        code.alias("RFM"),
+        segment_by_rules(code, p.segment_rules, SEGMENT_DEFAULT).alias("Cus_Category"),
+    )
 
 
 def rfm_customers(t: Tables, p: Params) -> DataFrame:

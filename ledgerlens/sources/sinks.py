@@ -35,4 +35,4 @@ def materialize(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode(mode).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
