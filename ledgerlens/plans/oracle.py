@@ -59,13 +59,21 @@ VIEWS: dict[str, str] = {
 }
 
 
+def _lit(v: object) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
 def _pct(num: str, den: str, p: int, s: int) -> str:
     return f"CAST(CAST({num} AS DOUBLE) * 100.0 / NULLIF(CAST({den} AS DOUBLE), 0) AS DECIMAL({p},{s}))"
 
 
+_INLINE_VIEWS = True
+
+
 def _sql(views: list[str], ctes: list[tuple[str, str]], body: str) -> str:
-    parts = [f"{v} AS (\n{VIEWS[v]}\n)" for v in views] + [f"{n} AS (\n{q}\n)" for n, q in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    used = views if _INLINE_VIEWS else []
+    parts = [f"{v} AS (\n{VIEWS[v]}\n)" for v in used] + [f"{n} AS (\n{q}\n)" for n, q in ctes]
+    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
 def _q1_ctes() -> list[tuple[str, str]]:
@@ -202,7 +210,7 @@ def _vendor_sql(p: Params, by_product: bool) -> str:
        {_pct('SUM(pod.RejectedQty)', 'SUM(pod.OrderQty)', 5, 2)} AS RejectedRate
   FROM pod JOIN poh ON pod.PurchaseOrderID = poh.PurchaseOrderID
   JOIN vend v ON poh.VendorID = v.BusinessEntityID
- WHERE poh.Status = {p.completed_po_status}
+ WHERE poh.Status = {_lit(p.completed_po_status)}
  GROUP BY poh.VendorID, v.Name{prod_col}{having}"""
 
 
@@ -285,7 +293,19 @@ def _segments_cte() -> tuple[str, str]:
     )
 
 
-def oracle_sql(p: Params = STANDIN_PARAMS) -> dict[str, str]:
+def oracle_sql(p: Params = STANDIN_PARAMS, inline_views: bool = True) -> dict[str, str]:
+    """SQL per result. With ``inline_views=False`` the statements expect
+    reference-shaped tables named like the views (soh, sod, cust, terr,
+    prod, poh, pod, vend, wo, sr) to exist already."""
+    global _INLINE_VIEWS
+    _INLINE_VIEWS = inline_views
+    try:
+        return _oracle_sql(p)
+    finally:
+        _INLINE_VIEWS = True
+
+
+def _oracle_sql(p: Params) -> dict[str, str]:
     sets = "\n UNION ALL ".join(
         f"SELECT '{name}' AS SegmentSet, '{m}' AS Cus_Category" for name, members in p.segment_sets for m in members
     )
@@ -312,7 +332,7 @@ def oracle_sql(p: Params = STANDIN_PARAMS) -> dict[str, str]:
        CAST(SUM(soh.SubTotal) AS DECIMAL(38,4)) AS TotalTerritoryRevenue,
        CAST(RANK() OVER (ORDER BY SUM(soh.SubTotal) DESC) AS INTEGER) AS RevenueRank
   FROM soh JOIN terr st ON soh.TerritoryID = st.TerritoryID
- WHERE soh.Status = '{p.completed_order_status}'
+ WHERE soh.Status = {_lit(p.completed_order_status)}
  GROUP BY st.Name
  ORDER BY RevenueRank""",
         ),
