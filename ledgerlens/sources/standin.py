@@ -56,7 +56,10 @@ def _build(spark: SparkSession, root: str) -> Tables:
         return raw[name]
 
     qty = F.col("l_quantity").cast(T.IntegerType())
-    po_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))
+    # A purchase order is an (order, supplier) pair. The oracle spells its id
+    # 'orderkey-suppkey'; here it is the pair itself, which joins and hashes
+    # without building a string per line. The id is never part of a result.
+    po_id = F.struct("l_orderkey", "l_suppkey")
 
     def header() -> DataFrame:
         by_sales_person = F.col("o_orderpriority").isin(*SALES_PERSON_PRIORITIES)
