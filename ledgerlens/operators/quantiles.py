@@ -32,6 +32,7 @@ NULL values sort first, as in ``ORDER BY v ASC``; they rank lowest.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,19 +50,39 @@ def cut_name(measure: str, i: int) -> str:
     return f"__{measure}_cut{i}"
 
 
-def _range_of(v: Column, bounds: Sequence) -> Column:
-    """Number of ``bounds`` (sorted, distinct) below ``v``; NULL gives -1.
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_literal(x: object) -> str:
+    """A typed SQL literal for a boundary or cut value."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, Decimal):
+        return f"{x}BD"
+    if isinstance(x, int):
+        return f"{x}L"
+    if isinstance(x, float):
+        return f"{x!r}D"
+    raise TypeError(f"unsupported literal {x!r}")
+
+
+def range_sql(v: str, bounds: Sequence) -> str:
+    """SQL for: number of ``bounds`` (sorted, distinct) below ``v``; NULL -> -1.
 
     A balanced tree of comparisons: ``log2(len(bounds))`` tests per value.
+    Built as SQL text, so the whole tree crosses to the JVM in one call.
     """
 
-    def build(lo: int, hi: int) -> Column:
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(v <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+        return f"CASE WHEN {v} <= {sql_literal(bounds[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
 
-    return F.when(v.isNull(), F.lit(-1)).otherwise(build(0, len(bounds)))
+    return f"CASE WHEN {v} IS NULL THEN -1 ELSE {build(0, len(bounds))} END"
 
 
 def percent_rank_cuts(
@@ -81,66 +102,64 @@ def percent_rank_cuts(
     cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
     raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
     vtype = _common_type([f.dataType for f in raw.schema.fields])
-    typed = raw.select(*[F.col(n).cast(vtype).alias(n) for n in names])
+    typed = raw.selectExpr(*[f"CAST({_q(n)} AS {vtype.simpleString()}) AS {_q(n)}" for n in names])
 
     if ranges > 1:
-        fractions = [i / ranges for i in range(1, ranges)]
-        row = typed.agg(
-            *[F.percentile_approx(n, fractions, max(10000, 10 * ranges)).alias(n) for n in names]
+        fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
+        acc = max(10000, 10 * ranges)
+        row = typed.selectExpr(
+            *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]
         ).first()
         bounds = [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
     else:
         bounds = [[] for _ in names]
 
     # (measure, range, value) rows, reduced to distinct values with counts.
+    structs = ", ".join(
+        f"struct({i} AS m, {range_sql(_q(n), bounds[i])} AS rng, {_q(n)} AS v)" for i, n in enumerate(names)
+    )
     distinct = (
-        typed.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("m"), _range_of(F.col(n), bounds[i]).alias("rng"), F.col(n).alias("v")
-                        )
-                        for i, n in enumerate(names)
-                    ]
-                )
-            )
-        )
+        typed.selectExpr(f"inline(array({structs}))")
         .groupBy("m", "rng", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
     # Rows in lower ranges of the same measure, and n per measure: one row
     # per (measure, range), so these windows are bounded by ``ranges``.
-    below = Window.partitionBy("m").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        distinct.groupBy("m", "rng")
-        .agg(F.sum("cnt").alias("rcnt"))
-        .select(
-            "m",
-            "rng",
-            F.coalesce(F.sum("rcnt").over(below), F.lit(0)).alias("off"),
-            F.sum("rcnt").over(Window.partitionBy("m")).alias("n"),
-        )
+    offsets = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt")).selectExpr(
+        "m",
+        "rng",
+        "coalesce(sum(rcnt) OVER (PARTITION BY m ORDER BY rng ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        " AS off",
+        "sum(rcnt) OVER (PARTITION BY m) AS n",
     )
-
-    upto = Window.partitionBy("m", "rng").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    less = (
+        "off + sum(cnt) OVER (PARTITION BY m, rng ORDER BY v ASC NULLS FIRST"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cnt"
     )
-    less = F.col("off") + F.sum("cnt").over(upto) - F.col("cnt")
-    prank = F.when(
-        F.col("n") > 1, less.cast(T.DoubleType()) / (F.col("n") - 1).cast(T.DoubleType())
-    ).otherwise(F.lit(0.0))
-    scored = distinct.join(F.broadcast(offsets), ["m", "rng"]).select("m", "v", prank.alias("pr"))
-    return scored.agg(
+    scored = distinct.join(F.broadcast(offsets), ["m", "rng"]).selectExpr(
+        "m", "v", f"CASE WHEN n > 1 THEN CAST({less} AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE 0.0D END AS pr"
+    )
+    return scored.selectExpr(
         *[
-            F.max(F.when((F.col("m") == i) & (F.col("pr") <= F.lit(float(p))), F.col("v"))).alias(cut_name(n, k))
+            f"max(CASE WHEN m = {i} AND pr <= {float(p)!r}D THEN v END) AS {_q(cut_name(n, k))}"
             for i, n in enumerate(names)
             for k, p in enumerate(probs)
         ]
     )
 
 
+def tier_sql(value: str, cuts: Sequence[str], descending: bool = False) -> str:
+    """SQL for :func:`tier` over column names."""
+    top = len(cuts) + 1
+
+    def score(t: int) -> int:
+        return top + 1 - t if descending else t
+
+    whens = " ".join(f"WHEN {value} <= {c} THEN {score(t)}" for t, c in enumerate(cuts, start=1))
+    return f"CAST(CASE WHEN {value} IS NULL THEN {score(1)} {whens} ELSE {score(top)} END AS INT)"
+
+
 def tier(value: Column, cuts: Sequence[Column], descending: bool = False) -> Column:
     """1..len(cuts)+1 by the first cut ``value`` does not exceed (NULL lowest).
 
@@ -167,7 +186,7 @@ def percent_rank_tiers(
     """
     cuts = percent_rank_cuts(df, {out: m for out, (m, _) in specs.items()}, probs, ranges)
     tiers = [
-        tier(F.col(measure), [F.col(cut_name(name, k)) for k in range(len(probs))], descending).alias(name)
+        tier_sql(_q(measure), [_q(cut_name(name, k)) for k in range(len(probs))], descending) + f" AS {_q(name)}"
         for name, (measure, descending) in specs.items()
     ]
-    return df.crossJoin(F.broadcast(cuts)).select(*df.columns, *tiers)
+    return df.crossJoin(F.broadcast(cuts)).selectExpr(*[_q(c) for c in df.columns], *tiers)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.labels import rfm_code, segment_by_rules
+from ledgerlens.functions.labels import segment_by_rules_sql
 from ledgerlens.functions.measures import money_sum, pct
 from ledgerlens.operators.quantiles import percent_rank_tiers
 from ledgerlens.params import SEGMENT_DEFAULT, Params
@@ -60,19 +60,21 @@ def score(measures: DataFrame, p: Params) -> DataFrame:
         },
         p.tier_cuts,
     )
-    known = F.col("CustomerID").isNotNull()
-    kept = {c: F.when(known, F.col(c)) for c in ("TotalOrder", "Frequency", "GapDay", "Recency")}
-    code = rfm_code(kept["Recency"], kept["Frequency"], F.col("Monetary"))
-    return scored.select(
+    known = {c: f"CASE WHEN CustomerID IS NOT NULL THEN {c} END" for c in ("TotalOrder", "Frequency", "GapDay", "Recency")}
+    code = (
+        f"concat_ws('', CAST({known['Recency']} AS STRING), CAST({known['Frequency']} AS STRING),"
+        " CAST(Monetary AS STRING))"
+    )
+    return scored.selectExpr(
         "CustomerID",
         "TotalRev",
         "Monetary",
-        kept["TotalOrder"].alias("TotalOrder"),
-        kept["Frequency"].alias("Frequency"),
-        kept["GapDay"].alias("GapDay"),
-        kept["Recency"].alias("Recency"),
-        code.alias("RFM"),
-        segment_by_rules(code, p.segment_rules, SEGMENT_DEFAULT).alias("Cus_Category"),
+        f"{known['TotalOrder']} AS TotalOrder",
+        f"{known['Frequency']} AS Frequency",
+        f"{known['GapDay']} AS GapDay",
+        f"{known['Recency']} AS Recency",
+        f"{code} AS RFM",
+        f"{segment_by_rules_sql(code, p.segment_rules, SEGMENT_DEFAULT)} AS Cus_Category",
     )
 
 
