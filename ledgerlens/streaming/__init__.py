@@ -1 +1,6 @@
-"""Streaming forms of the analyses (see ``ledgerlens.streaming.revenue``)."""
+"""Streaming.
+
+The analyses have no streaming form in the reference: no event time,
+watermarks, time windows, state or late data. Nothing is built here; every
+analysis runs as a batch job over whole tables.
+"""
