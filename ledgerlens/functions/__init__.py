@@ -12,6 +12,7 @@ from ledgerlens.functions.measures import (
     order_quarter,
     order_year,
     pct,
+    rate,
     sum_int,
 )
 
@@ -23,6 +24,7 @@ __all__ = [
     "order_quarter",
     "order_year",
     "pct",
+    "rate",
     "rfm_code",
     "segment_by_rules",
     "sum_int",

@@ -56,3 +56,7 @@ def order_year(ts: ColumnOrName) -> Column:
 
 def order_quarter(ts: ColumnOrName) -> Column:
     return F.quarter(_col(ts)).cast(T.IntegerType())
+
+
+# ``rate(num, den, precision, scale, on_zero)``: the guarded ratio operator.
+rate = pct

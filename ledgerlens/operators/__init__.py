@@ -1,6 +1,6 @@
 """Reusable DataFrame operators the analyses are composed of."""
 
-from ledgerlens.operators.checks import assert_no_rows, count_violations
+from ledgerlens.operators.checks import assert_no_rows, count_violations, expect_no_rows
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.profitability import (
     costed_lines,
@@ -9,13 +9,14 @@ from ledgerlens.operators.profitability import (
     product_profit,
     product_sales,
 )
-from ledgerlens.operators.quantiles import percent_rank_cuts, percent_rank_tiers
+from ledgerlens.operators.quantiles import percent_rank_cuts, percent_rank_tiers, quartile_score
 from ledgerlens.operators.ranking import ranked, top_n, top_n_per_group
 from ledgerlens.operators.share import share_of_grand_total, share_of_total, with_totals
 
 __all__ = [
     "assert_no_rows",
     "count_violations",
+    "expect_no_rows",
     "percent_rank_cuts",
     "percent_rank_tiers",
     "period_growth",
@@ -25,6 +26,7 @@ __all__ = [
     "priced",
     "product_profit",
     "product_sales",
+    "quartile_score",
     "ranked",
     "share_of_grand_total",
     "share_of_total",

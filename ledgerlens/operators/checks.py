@@ -14,6 +14,11 @@ def count_violations(df: DataFrame, rule_broken: Column, counted: str, alias: st
     return df.filter(rule_broken).agg(F.count(F.col(counted)).alias(alias))
 
 
+def expect_no_rows(df: DataFrame, rule_broken: Column, counted: str, alias: str = "OrderCount") -> DataFrame:
+    """The integrity check as a result set: rows breaking the rule (expected 0)."""
+    return count_violations(df, rule_broken, counted, alias)
+
+
 def assert_no_rows(df: DataFrame, rule_broken: Column, what: str = "rule") -> None:
     """Raise if any row breaks the rule (stops at the first offending row)."""
     if not df.filter(rule_broken).isEmpty():

@@ -190,3 +190,9 @@ def percent_rank_tiers(
         for name, (measure, descending) in specs.items()
     ]
     return df.crossJoin(F.broadcast(cuts)).selectExpr(*[_q(c) for c in df.columns], *tiers)
+
+
+def quartile_score(df: DataFrame, measure: str, out: str, ascending: bool = True) -> DataFrame:
+    """1-4 score by ``PERCENT_RANK`` quarter of ``measure`` (4 = highest when
+    ``ascending``; reversed otherwise, as for recency)."""
+    return percent_rank_tiers(df, {out: (measure, not ascending)})

@@ -78,11 +78,22 @@ def score(measures: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def rfm_customers(t: Tables, p: Params) -> DataFrame:
-    base = materialize(customer_measures(t.sales_order_header, p.as_of), "rfm_measures")
+def rfm(header: DataFrame, p: Params) -> DataFrame:
+    """RFM table of the customers in ``header`` as of ``p.as_of``.
+
+    The customer measures are written once to the checkpoint folder (the
+    reference's session table): they are read by the cut computation and
+    by the scoring, and a lost executor does not send either back to the
+    order header.
+    """
+    base = materialize(customer_measures(header, p.as_of), "rfm_measures")
     return score(base, p)
 
 
+def rfm_customers(t: Tables, p: Params) -> DataFrame:
+    return rfm(t.sales_order_header, p)
+
+
 def segment_summary(rfm: DataFrame) -> DataFrame:
     """Customers and revenue per segment, with shares of the totals.
 

@@ -1,8 +1,8 @@
 """Materialising intermediate results (the reference's session table).
 
-A materialised result is written as Parquet under the cluster's shared
-checkpoint folder (``spark.checkpoint.dir``) and read back, which cuts the
-lineage: a lost executor no longer forces recomputation from the raw tables.
+A materialised result is written once under the cluster's shared
+checkpoint folder (``spark.checkpoint.dir``), which cuts the lineage: a lost
+executor no longer sends the work back to the raw tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -30,9 +31,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and return a scan of it."""
+def materialize(df: DataFrame, name: str, as_table: bool = False) -> DataFrame:
+    """Compute ``df`` once, store it in the checkpoint folder, return a scan of it.
+
+    Default: a reliable ``checkpoint()``; the rows are cached while the
+    checkpoint is written (so they are computed once) and uncached right
+    after. ``as_table=True`` writes a Parquet table instead (readable by
+    other sessions and engines).
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode(mode).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = checkpoint_root(spark)
+    if as_table:
+        path = f"{root}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
