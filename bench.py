@@ -1,7 +1,7 @@
 """Benchmark: every registered analysis on the stand-in views.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (timed runs per query, default 3). All queries run once
+BENCH_RUNS (timed runs per query, default 5). All queries run once
 untimed, then ``BENCH_RUNS`` timed passes over all of them; each time spans
 building the plan to ``collect()``, and the per-query median is reported. ``value`` is the sum over the 17 reference result sets; the
 roll-ups are reported separately. Prints one JSON line.
@@ -27,7 +27,7 @@ REFERENCE_SETS = [n for n in QUERIES if not n.startswith("d")]
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cpus, app="ledgerlens-bench")
 
     builders = {name: standin_query(name) for name in QUERIES}

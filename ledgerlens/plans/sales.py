@@ -90,15 +90,15 @@ def q4_top_customers(t: Tables, p: Params) -> DataFrame:
     """Top customers (DENSE_RANK <= n) per customer type with their share.
 
     A customer with both kinds of order appears under both types. The type
-    totals come from a two-row aggregate of the orders themselves
-    (broadcast), so the rank filter stays alone on its window and Spark
-    limits each group per task before the shuffle.
+    totals are a two-row aggregate of the per-customer sums (same exchange,
+    reused; broadcast), so the rank filter stays alone on its window and
+    Spark limits each group per task before the shuffle.
     """
     ctype = channel_by_sales_person(with_person="Store", without="Person").alias("CustomerType")
     h = t.sales_order_header.select(ctype, "CustomerID", "SubTotal")
     per_customer = h.groupBy("CustomerType", "CustomerID").agg(money_sum("SubTotal").alias("TotalSales"))
     top = top_n_per_group(per_customer, p.top_customers, "TotalSales", ["CustomerType"], "SalesRank")
-    type_totals = h.groupBy("CustomerType").agg(money_sum("SubTotal").alias("TypeTotal"))
+    type_totals = per_customer.groupBy("CustomerType").agg(money_sum("TotalSales").alias("TypeTotal"))
     return (
         with_totals(top, type_totals, ["CustomerType"])
         .withColumn("SalesRatePct", pct("TotalSales", "TypeTotal", 10, 4))
