@@ -65,3 +65,23 @@ def test_results_do_not_depend_on_partitioning(spark):
             assert _canon(run(n, t, STANDIN_PARAMS, ordered=False)) == base[n], n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path_factory):
+    from ledgerlens.sources import read_catalog, save_bucketed
+
+    warehouse_db = "ledgerlens_test_" + tmp_path_factory.mktemp("db").name.replace("-", "_")
+    save_bucketed(fx.tables(spark), warehouse_db, buckets=4)
+    t = read_catalog(spark, warehouse_db)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force sort-merge joins
+    try:
+        df = t.sales_order_detail.join(t.sales_order_header.select("SalesOrderID", "OrderDate"), "SalesOrderID")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert "Exchange hashpartitioning(SalesOrderID" not in plan
+        assert _canon(run("kpi1_quarterly_margin", t, fx.PARAMS)) == _canon(
+            run("kpi1_quarterly_margin", fx.tables(spark), fx.PARAMS)
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
