@@ -9,10 +9,11 @@ threshold: ``cut_p = max{v : percent_rank(v) <= p}`` and
 The cuts are computed exactly and distributed:
 
 1. several measures are stacked into ``(measure, value)`` rows;
-2. value ranges per measure are taken from one small ``percentile_approx``
-   job (at most ``ranges`` numbers per measure reach the driver); a
-   balanced comparison tree maps each value to its range, so the range
-   is a function of the value alone and equal values share a range;
+2. one small job counts the rows and takes approximate quantiles
+   (``percentile_approx``) as value ranges per measure: one range per ~2M
+   rows, at most 1024, so only that many numbers per measure reach the
+   driver; a balanced comparison tree maps each value to its range, so the
+   range is a function of the value alone and equal values share a range;
 3. rows are reduced to distinct ``(measure, range, value)`` with their
    multiplicity (map-side combined: a hot value becomes one row);
 4. a running count inside each range plus the broadcast count of all lower
@@ -85,6 +86,40 @@ def range_sql(v: str, bounds: Sequence) -> str:
     return f"CASE WHEN {v} IS NULL THEN -1 ELSE {build(0, len(bounds))} END"
 
 
+ROWS_PER_RANGE = 2_000_000
+MAX_RANGES = 1024
+
+
+def _range_bounds(typed: DataFrame, names: list[str], ranges: int | None) -> list[list]:
+    """Sorted distinct range boundaries per measure, from one small job.
+
+    With ``ranges`` given, that many approximate quantile ranges. Otherwise
+    the job also counts the rows and the number of ranges is
+    ``ceil(rows / ROWS_PER_RANGE)`` (at most ``MAX_RANGES``): small inputs
+    get one range, large ones one range per ~2M rows. Only the boundaries
+    (at most ``MAX_RANGES`` per measure) reach the driver.
+    """
+    if ranges is not None and ranges <= 1:
+        return [[] for _ in names]
+    grid = ranges or MAX_RANGES
+    fractions = ", ".join(repr(i / grid) for i in range(1, grid))
+    acc = max(10000, 10 * grid)
+    row = typed.selectExpr(
+        "count(1) AS `__rows`",
+        *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names],
+    ).first()
+    want = ranges or min(MAX_RANGES, max(1, -(-row["__rows"] // ROWS_PER_RANGE)))
+    if want <= 1:
+        return [[] for _ in names]
+    step = grid / want
+    picks = sorted({int(round(k * step)) - 1 for k in range(1, want)})
+    out = []
+    for n in names:
+        cand = row[n] or []
+        out.append(sorted({cand[i] for i in picks if 0 <= i < len(cand) and cand[i] is not None}))
+    return out
+
+
 def percent_rank_cuts(
     df: DataFrame,
     measures: Mapping[str, Column | str],
@@ -93,26 +128,15 @@ def percent_rank_cuts(
 ) -> DataFrame:
     """One row: for each measure and each ``p`` the cut value (see module doc).
 
-    ``ranges`` is the number of value ranges per measure (default:
-    ``spark.sql.shuffle.partitions``); it sets parallelism only.
+    ``ranges`` is the number of value ranges per measure (default: chosen
+    from the row count, see ``_range_bounds``); it sets parallelism only.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(measures)
     cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
     raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
     vtype = _common_type([f.dataType for f in raw.schema.fields])
     typed = raw.selectExpr(*[f"CAST({_q(n)} AS {vtype.simpleString()}) AS {_q(n)}" for n in names])
-
-    if ranges > 1:
-        fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
-        acc = max(10000, 10 * ranges)
-        row = typed.selectExpr(
-            *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]
-        ).first()
-        bounds = [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
-    else:
-        bounds = [[] for _ in names]
+    bounds = _range_bounds(typed, names, ranges)
 
     # (measure, range, value) rows, reduced to distinct values with counts.
     structs = ", ".join(
@@ -124,22 +148,31 @@ def percent_rank_cuts(
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
-    # Rows in lower ranges of the same measure, and n per measure: one row
-    # per (measure, range), so these windows are bounded by ``ranges``.
-    offsets = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt")).selectExpr(
-        "m",
-        "rng",
-        "coalesce(sum(rcnt) OVER (PARTITION BY m ORDER BY rng ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-        " AS off",
-        "sum(rcnt) OVER (PARTITION BY m) AS n",
-    )
-    less = (
-        "off + sum(cnt) OVER (PARTITION BY m, rng ORDER BY v ASC NULLS FIRST"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cnt"
-    )
-    scored = distinct.join(F.broadcast(offsets), ["m", "rng"]).selectExpr(
-        "m", "v", f"CASE WHEN n > 1 THEN CAST({less} AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE 0.0D END AS pr"
-    )
+    pr = "CASE WHEN n > 1 THEN CAST(less AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE 0.0D END AS pr"
+    frame = "ORDER BY v ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    if not any(bounds):
+        # One range per measure (NULLs apart): the input has at most
+        # ROWS_PER_RANGE rows (or one range was asked for), so a window over
+        # each measure's distinct values is bounded.
+        scored = distinct.selectExpr(
+            "m", "v", f"sum(cnt) OVER (PARTITION BY m {frame}) - cnt AS less", "sum(cnt) OVER (PARTITION BY m) AS n"
+        ).selectExpr("m", "v", pr)
+    else:
+        # Rows in lower ranges of the same measure, and n per measure: one
+        # row per (measure, range), so these windows are bounded by the
+        # number of ranges.
+        offsets = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt")).selectExpr(
+            "m",
+            "rng",
+            "coalesce(sum(rcnt) OVER (PARTITION BY m ORDER BY rng"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off",
+            "sum(rcnt) OVER (PARTITION BY m) AS n",
+        )
+        scored = (
+            distinct.join(F.broadcast(offsets), ["m", "rng"])
+            .selectExpr("m", "v", f"off + sum(cnt) OVER (PARTITION BY m, rng {frame}) - cnt AS less", "n")
+            .selectExpr("m", "v", pr)
+        )
     return scored.selectExpr(
         *[
             f"max(CASE WHEN m = {i} AND pr <= {float(p)!r}D THEN v END) AS {_q(cut_name(n, k))}"

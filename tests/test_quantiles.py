@@ -142,3 +142,16 @@ def test_invariant_under_repartition(spark):
     for k in (1, 5, 17):
         again = sorted(tuple(r) for r in percent_rank_tiers(df.repartition(k), spec, ranges=k).collect())
         assert again == base
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automatic_ranges(spark, monkeypatch, seed):
+    import ledgerlens.operators.quantiles as q
+
+    monkeypatch.setattr(q, "ROWS_PER_RANGE", 25)  # ~ n / 25 ranges per measure
+    rnd = random.Random(100 + seed)
+    data = [
+        (i, D(rnd.randint(0, 60)) / 4, rnd.randint(1, 9), None if rnd.random() < 0.05 else rnd.randint(0, 40))
+        for i in range(400)
+    ]
+    check(spark, data, None)
