@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +70,12 @@ def _quarterly(t: Tables, p: Params, with_type: bool) -> DataFrame:
     product = t.product
     keys: tuple[str, ...] = ()
     if with_type:
-        ptype = label_by_prefix(
-            "Name",
-            [(HIGH_PROFIT_LABEL, p.high_prefixes), (LOW_PROFIT_LABEL, p.low_prefixes)],
-            OTHER_LABEL,
-        )
-        # The type depends on the name only: other products (and their
-        # lines) are dropped before any join.
-        product = product.withColumn("ProductType", ptype).filter(F.col("ProductType") != OTHER_LABEL)
+        groups = [(HIGH_PROFIT_LABEL, p.high_prefixes), (LOW_PROFIT_LABEL, p.low_prefixes)]
+        # The type depends on the name only: products of neither group (and
+        # their lines) are dropped before any join. Written as an OR of
+        # prefix tests, the filter reaches the Parquet scan (StringStartsWith).
+        in_a_group = reduce(or_, [F.col("Name").startswith(x) for _, xs in groups for x in xs])
+        product = product.filter(in_a_group).withColumn("ProductType", label_by_prefix("Name", groups, OTHER_LABEL))
         keys = ("ProductType",)
     return period_profit(t.sales_order_header, t.sales_order_detail, product, keys)
 
