@@ -19,11 +19,14 @@ _CONF = "spark.checkpoint.dir"
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Only when the session names none (local tests) is a private folder
-    created and registered, so that ``DataFrame.checkpoint`` works too.
+    Only a local-mode session that names none (tests) gets a private folder;
+    on a cluster a machine-local folder would not survive a lost executor,
+    so an unset ``spark.checkpoint.dir`` is an error there.
     """
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CONF} to a folder on shared storage (e.g. HDFS or an object store)")
         root = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set(_CONF, root)
     if not spark.sparkContext.getCheckpointDir():
