@@ -9,10 +9,10 @@ threshold: ``cut_p = max{v : percent_rank(v) <= p}`` and
 The cuts are computed exactly and distributed:
 
 1. several measures are stacked into ``(measure, value)`` rows;
-2. one small job counts the rows and takes approximate quantiles
-   (``percentile_approx``) as value ranges per measure: one range per ~2M
-   rows, at most 1024, so only that many numbers per measure reach the
-   driver; a balanced comparison tree maps each value to its range, so the
+2. the rows are counted; above ~2M rows one small job takes approximate
+   quantiles (``percentile_approx``) as value ranges per measure: one
+   range per ~2M rows, at most 1024, so only that many numbers per measure
+   reach the driver; a balanced comparison tree maps each value to its range, so the
    range is a function of the value alone and equal values share a range;
 3. rows are reduced to distinct ``(measure, range, value)`` with their
    multiplicity (map-side combined: a hot value becomes one row);
@@ -91,33 +91,26 @@ MAX_RANGES = 1024
 
 
 def _range_bounds(typed: DataFrame, names: list[str], ranges: int | None) -> list[list]:
-    """Sorted distinct range boundaries per measure, from one small job.
+    """Sorted distinct range boundaries per measure.
 
     With ``ranges`` given, that many approximate quantile ranges. Otherwise
-    the job also counts the rows and the number of ranges is
+    the rows are counted first and the number of ranges is
     ``ceil(rows / ROWS_PER_RANGE)`` (at most ``MAX_RANGES``): small inputs
-    get one range, large ones one range per ~2M rows. Only the boundaries
-    (at most ``MAX_RANGES`` per measure) reach the driver.
+    get one range and no quantile job, large ones one range per ~2M rows.
+    Only the boundaries (at most ``MAX_RANGES`` per measure) reach the
+    driver.
     """
-    if ranges is not None and ranges <= 1:
+    if ranges is None:
+        rows = typed.count()
+        ranges = min(MAX_RANGES, max(1, -(-rows // ROWS_PER_RANGE)))
+    if ranges <= 1:
         return [[] for _ in names]
-    grid = ranges or MAX_RANGES
-    fractions = ", ".join(repr(i / grid) for i in range(1, grid))
-    acc = max(10000, 10 * grid)
+    fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
+    acc = max(10000, 10 * ranges)
     row = typed.selectExpr(
-        "count(1) AS `__rows`",
-        *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names],
+        *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]
     ).first()
-    want = ranges or min(MAX_RANGES, max(1, -(-row["__rows"] // ROWS_PER_RANGE)))
-    if want <= 1:
-        return [[] for _ in names]
-    step = grid / want
-    picks = sorted({int(round(k * step)) - 1 for k in range(1, want)})
-    out = []
-    for n in names:
-        cand = row[n] or []
-        out.append(sorted({cand[i] for i in picks if 0 <= i < len(cand) and cand[i] is not None}))
-    return out
+    return [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
 
 
 def percent_rank_cuts(
