@@ -12,8 +12,9 @@ The cuts are computed exactly and distributed:
 2. the rows are counted; above ~2M rows one small job takes approximate
    quantiles (``percentile_approx``) as value ranges per measure: one
    range per ~2M rows, at most 1024, so only that many numbers per measure
-   reach the driver; a balanced comparison tree maps each value to its range, so the
-   range is a function of the value alone and equal values share a range;
+   reach the driver; a balanced comparison tree maps each value to its
+   range, so the range is a function of the value alone and equal values
+   share a range;
 3. rows are reduced to distinct ``(measure, range, value)`` with their
    multiplicity (map-side combined: a hot value becomes one row);
 4. a running count inside each range plus the broadcast count of all lower
@@ -35,7 +36,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,7 +177,8 @@ def percent_rank_cuts(
 
 
 def tier_sql(value: str, cuts: Sequence[str], descending: bool = False) -> str:
-    """SQL for :func:`tier` over column names."""
+    """SQL: 1..len(cuts)+1 by the first cut ``value`` does not exceed (NULL
+    lowest); ``descending`` reverses the scores (lowest values score top)."""
     top = len(cuts) + 1
 
     def score(t: int) -> int:
@@ -186,19 +188,6 @@ def tier_sql(value: str, cuts: Sequence[str], descending: bool = False) -> str:
     return f"CAST(CASE WHEN {value} IS NULL THEN {score(1)} {whens} ELSE {score(top)} END AS INT)"
 
 
-def tier(value: Column, cuts: Sequence[Column], descending: bool = False) -> Column:
-    """1..len(cuts)+1 by the first cut ``value`` does not exceed (NULL lowest).
-
-    ``descending`` reverses the scores (lowest values get the top score).
-    """
-    top = len(cuts) + 1
-    score = (lambda t: top + 1 - t) if descending else (lambda t: t)
-    expr = F.when(value.isNull(), F.lit(score(1)))
-    for t, cut in enumerate(cuts, start=1):
-        expr = expr.when(value <= cut, F.lit(score(t)))
-    return expr.otherwise(F.lit(score(top))).cast(T.IntegerType())
-
-
 def percent_rank_tiers(
     df: DataFrame,
     specs: Mapping[str, tuple[str, bool]],

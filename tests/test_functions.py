@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from ledgerlens.functions.labels import channel_by_flag, label_by_prefix, rfm_code
 from ledgerlens.functions.measures import pct
