@@ -77,13 +77,15 @@ ORDER: dict[str, Callable[[], list[Column]]] = {
 }
 
 
-# Results whose size is fixed by the calendar, a channel/segment list or a
-# small lookup table (territories, scrap reasons), not by the data volume.
-# They are sorted in one task instead of through a range-partitioned sort.
+# Results whose size is fixed by the calendar, a channel/segment list, a
+# top-n per customer type or a small lookup table (territories, scrap
+# reasons), not by the data volume. They are sorted in one task instead of
+# through a range-partitioned sort.
 BOUNDED = {
     "q1_quarterly_growth",
     "q2_territory_rank",
     "q3_channel_share",
+    "q4_top5_customers",
     "q8_line_margin_by_quarter",
     "scrap_reasons",
     "kpi1_quarterly_margin",
