@@ -9,10 +9,10 @@ threshold: ``cut_p = max{v : percent_rank(v) <= p}`` and
 The cuts are computed exactly and distributed:
 
 1. several measures are stacked into ``(measure, value)`` rows;
-2. the rows are counted; above ~2M rows one small job takes approximate
-   quantiles (``percentile_approx``) as value ranges per measure: one
-   range per ~2M rows, at most 1024, so only that many numbers per measure
-   reach the driver; a balanced comparison tree maps each value to its
+2. the rows are counted; above ~250k rows one small job takes approximate
+   quantiles (``percentile_approx``, on a sample) as value ranges per
+   measure: one range per ~250k rows, at most 1024, so only that many
+   numbers per measure reach the driver; a balanced comparison tree maps each value to its
    range, so the range is a function of the value alone and equal values
    share a range;
 3. rows are reduced to distinct ``(measure, range, value)`` with their
@@ -25,8 +25,10 @@ The cuts are computed exactly and distributed:
    whose percent rank is within it — a single row that is broadcast.
 
 Approximate ranges only change the balance of the work, never the result.
-The input is read twice (ranges, then cuts): pass a materialised or cheap
-DataFrame.
+The input is read two or three times (profile, sample for ranges, cuts):
+pass a materialised or cheap DataFrame. The profile (row count, min, max)
+also picks the working type: ``DECIMAL(18, s)`` -- a long inside Spark --
+whenever all values fit, so comparisons and hashing avoid big decimals.
 
 NULL values sort first, as in ``ORDER BY v ASC``; they rank lowest.
 """
@@ -41,11 +43,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _common_type(types: Sequence[T.DataType]) -> T.DataType:
-    if all(isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)) for t in types):
-        scale = max((t.scale for t in types if isinstance(t, T.DecimalType)), default=0)
-        return T.DecimalType(38, scale)
-    return T.DoubleType()
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _work_type(types: Sequence[T.DataType], bounds: Sequence[tuple]) -> T.DataType:
+    """One exact type for all measures, as narrow as their values allow.
+
+    Integers and decimals share a decimal of the largest scale; when every
+    value fits in 18 digits it is ``DECIMAL(18, s)``, which Spark keeps in a
+    long (fast comparisons and hashing), else ``DECIMAL(38, s)``. Any
+    floating measure makes it ``DOUBLE``. ``bounds`` are (min, max) per
+    measure, from the profiling job.
+    """
+    if not all(isinstance(t, (*_INTEGRAL, T.DecimalType)) for t in types):
+        return T.DoubleType()
+    scale = max((t.scale for t in types if isinstance(t, T.DecimalType)), default=0)
+    limit = 10 ** (18 - scale)
+    fits = all(v is None or abs(v) < limit for lo_hi in bounds for v in lo_hi)
+    return T.DecimalType(18 if fits else 38, scale)
 
 
 def cut_name(measure: str, i: int) -> str:
@@ -87,28 +102,49 @@ def range_sql(v: str, bounds: Sequence) -> str:
     return f"CASE WHEN {v} IS NULL THEN -1 ELSE {build(0, len(bounds))} END"
 
 
-ROWS_PER_RANGE = 2_000_000
+ROWS_PER_RANGE = 250_000
 MAX_RANGES = 1024
+SAMPLE_ROWS = 200_000
+
+
+def _prepare(df: DataFrame, measures: Mapping[str, Column | str]) -> tuple[DataFrame, int, T.DataType]:
+    """Measures renamed and cast to their working type, with the row count.
+
+    One small job profiles them (row count, min and max per measure).
+    """
+    names = list(measures)
+    cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
+    raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
+    extremes = [e for i, n in enumerate(names) for e in (f"min({_q(n)}) AS `__lo{i}`", f"max({_q(n)}) AS `__hi{i}`")]
+    prof = raw.selectExpr("count(1) AS `__rows`", *extremes).first()
+    vtype = _work_type(
+        [f.dataType for f in raw.schema.fields], [(prof[f"__lo{i}"], prof[f"__hi{i}"]) for i in range(len(names))]
+    )
+    typed = raw.selectExpr(*[f"CAST({_q(n)} AS {vtype.simpleString()}) AS {_q(n)}" for n in names])
+    return typed, prof["__rows"], vtype
 
 
-def _range_bounds(typed: DataFrame, names: list[str], ranges: int | None) -> list[list]:
+def _range_bounds(typed: DataFrame, names: list[str], rows: int, ranges: int | None) -> list[list]:
     """Sorted distinct range boundaries per measure.
 
     With ``ranges`` given, that many approximate quantile ranges. Otherwise
-    the rows are counted first and the number of ranges is
-    ``ceil(rows / ROWS_PER_RANGE)`` (at most ``MAX_RANGES``): small inputs
-    get one range and no quantile job, large ones one range per ~2M rows.
-    Only the boundaries (at most ``MAX_RANGES`` per measure) reach the
-    driver.
+    ``ceil(rows / ROWS_PER_RANGE)`` ranges (at most ``MAX_RANGES``): small
+    inputs get one range and no quantile job, large ones one range per
+    ~250k rows, placed from a sample. Only the boundaries (at most
+    ``MAX_RANGES`` per measure) reach the driver.
     """
     if ranges is None:
-        rows = typed.count()
         ranges = min(MAX_RANGES, max(1, -(-rows // ROWS_PER_RANGE)))
     if ranges <= 1:
         return [[] for _ in names]
+    # Boundaries only balance the work, so a fixed-seed sample of about
+    # SAMPLE_ROWS rows is enough to place them.
+    source = typed
+    if rows > 2 * SAMPLE_ROWS:
+        source = typed.sample(withReplacement=False, fraction=SAMPLE_ROWS / rows, seed=17)
     fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
     acc = max(10000, 10 * ranges)
-    row = typed.selectExpr(
+    row = source.selectExpr(
         *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]
     ).first()
     return [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
@@ -125,12 +161,12 @@ def percent_rank_cuts(
     ``ranges`` is the number of value ranges per measure (default: chosen
     from the row count, see ``_range_bounds``); it sets parallelism only.
     """
-    names = list(measures)
-    cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
-    raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
-    vtype = _common_type([f.dataType for f in raw.schema.fields])
-    typed = raw.selectExpr(*[f"CAST({_q(n)} AS {vtype.simpleString()}) AS {_q(n)}" for n in names])
-    bounds = _range_bounds(typed, names, ranges)
+    typed, rows, _ = _prepare(df, measures)
+    return _cuts(typed, list(measures), rows, probs, ranges)
+
+
+def _cuts(typed: DataFrame, names: list[str], rows: int, probs: Sequence[float], ranges: int | None) -> DataFrame:
+    bounds = _range_bounds(typed, names, rows, ranges)
 
     # (measure, range, value) rows, reduced to distinct values with counts.
     structs = ", ".join(
@@ -198,10 +234,19 @@ def percent_rank_tiers(
 
     Equal to ``CASE WHEN PERCENT_RANK() OVER (ORDER BY measure) <= p1 ...``
     for every row, ties included; the only broadcast is the one-row cuts.
+    Values are compared with the cuts in the working type (exact: every
+    value fits it).
     """
-    cuts = percent_rank_cuts(df, {out: m for out, (m, _) in specs.items()}, probs, ranges)
+    measures = {out: m for out, (m, _) in specs.items()}
+    typed, rows, vtype = _prepare(df, measures)
+    cuts = _cuts(typed, list(measures), rows, probs, ranges)
     tiers = [
-        tier_sql(_q(measure), [_q(cut_name(name, k)) for k in range(len(probs))], descending) + f" AS {_q(name)}"
+        tier_sql(
+            f"CAST({_q(measure)} AS {vtype.simpleString()})",
+            [_q(cut_name(name, k)) for k in range(len(probs))],
+            descending,
+        )
+        + f" AS {_q(name)}"
         for name, (measure, descending) in specs.items()
     ]
     return df.crossJoin(F.broadcast(cuts)).selectExpr(*[_q(c) for c in df.columns], *tiers)
