@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.measures import money_sum, pct
 from ledgerlens.operators.growth import PERIOD_KEYS
+from ledgerlens.operators.ranking import top_n
 from ledgerlens.params import Params
 from ledgerlens.schema import MONEY_SUM
 from ledgerlens.plans import product, purchasing, rfm, sales
@@ -48,8 +49,8 @@ def d2_aov_ratio(t: Tables, p: Params) -> DataFrame:
 
 def d3_topn_concentration(t: Tables, p: Params) -> DataFrame:
     """Share of all profit earned by the top products."""
-    shares = product._profit_share(t)
-    top = product.top_n(shares, p.top_products, [F.col("TotalProfit").desc(), F.col("ProductID").asc()])
+    shares = product.profit_share(t)
+    top = top_n(shares, p.top_products, [F.col("TotalProfit").desc(), F.col("ProductID").asc()])
     return top.agg(
         F.count(F.lit(1)).alias("TopProducts"),
         money_sum("TotalProfit").alias("TopProfit"),

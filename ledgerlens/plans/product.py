@@ -18,7 +18,7 @@ from ledgerlens.params import HIGH_PROFIT_LABEL, LOW_PROFIT_LABEL, OTHER_LABEL,
 from ledgerlens.sources.tables import Tables
 
 
-def _profit_share(t: Tables) -> DataFrame:
+def profit_share(t: Tables) -> DataFrame:
     """Per product: TotalProfit and its % of all products' profit."""
     prof = product_profit(t.sales_order_detail, t.product).select(
         "ProductID", F.col("Name").alias("ProductName"), F.col("Profit").alias("TotalProfit")
@@ -29,7 +29,7 @@ def _profit_share(t: Tables) -> DataFrame:
 
 def q5_top_profit(t: Tables, p: Params) -> DataFrame:
     """Top products by profit (ties broken by lower ProductID), share of all."""
-    shares = _profit_share(t)
+    shares = profit_share(t)
     return top_n(shares, p.top_products, [F.col("TotalProfit").desc(), F.col("ProductID").asc()]).select(
         "ProductID", "ProductName", "TotalProfit", "ProfitRatePct"
     )
@@ -115,6 +115,7 @@ def kpi3_loss_product_rate(t: Tables, p: Params) -> DataFrame:
 
 
 __all__ = [
+    "profit_share",
     "q5_top_profit",
     "q7_high_revenue_loss",
     "d5_loss_products_all",
