@@ -24,6 +24,14 @@ from ledgerlens.session import local_session  # noqa: E402
 REFERENCE_SETS = [n for n in QUERIES if not n.startswith("d")]
 
 
+def _sf(sf_dir: str) -> float | str:
+    tail = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
+    try:
+        return float(tail)
+    except ValueError:
+        return sf_dir
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -53,7 +61,7 @@ def main() -> None:
                 "queries": ref,
                 "rollups": {n: t for n, t in times.items() if n not in ref},
                 "rows": rows,
-                "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
+                "sf": _sf(sf_dir),
                 "cpus": cpus,
                 "runs": runs,
             }
