@@ -1,6 +1,11 @@
 """Reusable DataFrame operators the analyses are composed of."""
 
-from ledgerlens.operators.checks import assert_no_rows, count_violations, expect_no_rows
+from ledgerlens.operators.checks import (
+    assert_no_rows,
+    count_violations,
+    count_violations_by_key,
+    expect_no_rows,
+)
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.profitability import (
     costed_lines,
@@ -16,6 +21,7 @@ from ledgerlens.operators.share import share_of_grand_total, share_of_total, wit
 __all__ = [
     "assert_no_rows",
     "count_violations",
+    "count_violations_by_key",
     "expect_no_rows",
     "percent_rank_cuts",
     "percent_rank_tiers",

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.labels import channel_by_flag, channel_by_sales_person
 from ledgerlens.functions.measures import money_sum, pct
-from ledgerlens.operators.checks import count_violations
+from ledgerlens.operators.checks import count_violations_by_key
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.ranking import ranked, top_n_per_group
 from ledgerlens.operators.share import share_of_total, with_totals
@@ -17,25 +17,29 @@ from ledgerlens.params import Params
 from ledgerlens.sources.tables import Tables
 
 
-def _orders_with_store(t: Tables) -> DataFrame:
-    return t.sales_order_header.select("SalesOrderID", "CustomerID", "SalesPersonID").join(
-        t.customer.select("CustomerID", "StoreID"), "CustomerID"
-    )
-
-
 def chk_offline_nonstore(t: Tables, p: Params) -> DataFrame:
     """Orders with a sales person whose customer has no store (expected 0)."""
-    o = _orders_with_store(t)
-    return count_violations(
-        o, F.col("SalesPersonID").isNotNull() & F.col("StoreID").isNull(), "SalesOrderID", "OrderCount"
+    return count_violations_by_key(
+        t.sales_order_header,
+        F.col("SalesPersonID").isNotNull(),
+        t.customer,
+        F.col("StoreID").isNull(),
+        "CustomerID",
+        "SalesOrderID",
+        "OrderCount",
     )
 
 
 def chk_online_store(t: Tables, p: Params) -> DataFrame:
     """Orders without a sales person whose customer has a store (expected 0)."""
-    o = _orders_with_store(t)
-    return count_violations(
-        o, F.col("SalesPersonID").isNull() & F.col("StoreID").isNotNull(), "SalesOrderID", "OrderCount"
+    return count_violations_by_key(
+        t.sales_order_header,
+        F.col("SalesPersonID").isNull(),
+        t.customer,
+        F.col("StoreID").isNotNull(),
+        "CustomerID",
+        "SalesOrderID",
+        "OrderCount",
     )
 
 
