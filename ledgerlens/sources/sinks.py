@@ -23,14 +23,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     on a cluster a machine-local folder would not survive a lost executor,
     so an unset ``spark.checkpoint.dir`` is an error there.
     """
-    root = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no local context
+        sc = None
+    root = spark.conf.get(_CONF, None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError(f"set {_CONF} to a folder on shared storage (e.g. HDFS or an object store)")
         root = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set(_CONF, root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
