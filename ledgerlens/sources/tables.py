@@ -29,22 +29,25 @@ class Tables:
 
     A table may be given as a DataFrame or as a function building one; the
     function runs on first use, so an analysis resolves (lists, reads the
-    footers of) only the files it touches.
+    footers of) only the files it touches. Tables an analysis does not use
+    may be left out.
 
     ``sales_order_header.TerritoryID`` may be absent when the territory is
     only known through the customer; ``customer.TerritoryID`` is used then.
     """
 
     def __init__(self, **sources: Source) -> None:
-        missing = set(TABLE_NAMES) - set(sources)
-        if missing:
-            raise TypeError(f"missing tables: {sorted(missing)}")
+        unknown = set(sources) - set(TABLE_NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._sources = dict(sources)
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
+        if name not in self._sources:
+            raise AttributeError(f"table {name!r} was not given; the analysis needs it")
         if name not in self._frames:
             src = self._sources[name]
             self._frames[name] = src if isinstance(src, DataFrame) else src()
