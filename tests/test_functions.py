@@ -33,3 +33,21 @@ def test_channel_flag_null_is_offline(spark):
 def test_rfm_code_skips_nulls(spark):
     df = spark.createDataFrame([(4, 1, 1), (None, None, 3)], "r int, f int, m int")
     assert [r[0] for r in df.select(rfm_code("r", "f", "m")).collect()] == ["411", "3"]
+
+
+def test_cast_rounds_half_away_from_zero(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(
+        F.lit(2.345).cast("decimal(10,2)").alias("p"), F.lit(-2.345).cast("decimal(10,2)").alias("n")
+    ).first()
+    assert (row["p"], row["n"]) == (D("2.35"), D("-2.35"))
+
+
+def test_rate_overflow_raises_under_ansi(spark):
+    import pytest
+    from pyspark.errors import ArithmeticException, SparkRuntimeException
+
+    df = spark.createDataFrame([(20.0, 1.0)], "n double, d double")  # 2000 % does not fit DECIMAL(5,2)
+    with pytest.raises((ArithmeticException, SparkRuntimeException)):
+        df.select(pct("n", "d", 5, 2)).collect()
