@@ -14,6 +14,7 @@ from ledgerlens.operators.growth import PERIOD_KEYS
 from ledgerlens.operators.profitability import period_profit, product_profit
 from ledgerlens.operators.ranking import top_n
 from ledgerlens.operators.share import with_totals
+from ledgerlens.sources.sinks import materialize
 from ledgerlens.params import HIGH_PROFIT_LABEL, LOW_PROFIT_LABEL, OTHER_LABEL, Params
 from ledgerlens.sources.tables import Tables
 
@@ -50,9 +51,11 @@ def q7_high_revenue_loss(t: Tables, p: Params) -> DataFrame:
     """Loss-making products whose revenue is above the mean product revenue.
 
     ``Revenue > avg`` is tested as ``Revenue * n > sum`` — exact in decimal.
-    The mean comes from a one-row aggregate of the same per-product table.
+    The mean comes from a one-row aggregate of the same per-product table,
+    which is computed once (checkpointed): the mean needs only revenue, so
+    Spark would otherwise aggregate the order lines a second time.
     """
-    m = _margins(t)
+    m = materialize(_margins(t), "product_margins")
     stats = m.agg(F.sum("Revenue").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     return (
         with_totals(m, stats)
