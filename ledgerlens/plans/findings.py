@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.measures import money_sum, pct
 from ledgerlens.operators.growth import PERIOD_KEYS
+from ledgerlens.operators.profitability import product_profit
 from ledgerlens.operators.ranking import top_n
 from ledgerlens.params import Params
 from ledgerlens.schema import MONEY_SUM
@@ -64,7 +65,10 @@ def d4_line_profit_range(t: Tables, p: Params) -> DataFrame:
     The line is the first word of the product name ('Mountain-200 Black, 38'
     belongs to 'Mountain-200').
     """
-    top = product.q5_top_profit(t, p)
+    prof = product_profit(t.sales_order_detail, t.product).select(
+        "ProductID", F.col("Name").alias("ProductName"), F.col("Profit").alias("TotalProfit")
+    )
+    top = top_n(prof, p.top_products, [F.col("TotalProfit").desc(), F.col("ProductID").asc()])
     return top.groupBy(F.substring_index("ProductName", " ", 1).alias("ProductLine")).agg(
         F.count(F.lit(1)).alias("SKUs"),
         F.min("TotalProfit").alias("MinProfit"),

@@ -68,3 +68,17 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle():
     assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+# The stand-in purchase-order header and lines are both views of lineitem.
+_TWO_LINE_SOURCES = {"q6a_vendor_reject", "q6b_vendor_product_reject", "d6_reject_spread", "d6_worst_product"}
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_order_lines_read_once(t, name):
+    """No analysis aggregates the order lines twice (no pruned twin branch)."""
+    df = run(name, t, STANDIN_PARAMS)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    scans = len(re.findall(r"FileScan parquet [^\n]*lineitem\.parquet", final))
+    assert scans <= (2 if name in _TWO_LINE_SOURCES else 1), scans
