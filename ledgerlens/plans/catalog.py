@@ -86,6 +86,7 @@ BOUNDED = {
     "q2_territory_rank",
     "q3_channel_share",
     "q4_top5_customers",
+    "q5_top10_profit",
     "q8_line_margin_by_quarter",
     "scrap_reasons",
     "kpi1_quarterly_margin",
