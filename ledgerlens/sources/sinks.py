@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
@@ -41,9 +40,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, as_table: bool = False) -> DataFrame:
     """Compute ``df`` once, store it in the checkpoint folder, return a scan of it.
 
-    Default: a reliable ``checkpoint()``; the rows are cached while the
-    checkpoint is written (so they are computed once) and uncached right
-    after. ``as_table=True`` writes a Parquet table instead (readable by
+    Default: a reliable, eager ``checkpoint()``. Writing it re-runs only the
+    last stage (earlier shuffle outputs are reused), and adaptive execution
+    can still merge small output partitions, which a cached plan would not
+    allow. ``as_table=True`` writes a Parquet table instead (readable by
     other sessions and engines).
     """
     spark = df.sparkSession
@@ -52,8 +52,4 @@ def materialize(df: DataFrame, name: str, as_table: bool = False) -> DataFrame:
         path = f"{root}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+    return df.checkpoint(eager=True)
