@@ -54,16 +54,21 @@ def period_profit(
 ) -> DataFrame:
     """Revenue, cost and profit per year, quarter (and product ``keys``).
 
-    The header join (the one fact-to-fact join, on SalesOrderID) only adds
-    the order date; the aggregate is by calendar period, so map-side partial
-    aggregation leaves a few rows per task before the last shuffle.
+    Lines are costed, then summed per order (and ``keys``) *before* the one
+    fact-to-fact join: the header join sees one row per order, not one per
+    line, and is already partitioned on SalesOrderID by that aggregate. The
+    header only adds the order date; the period aggregate then leaves a
+    few rows per task before the last shuffle.
     """
-    lines = costed_lines(detail, product, keys).join(header.select("SalesOrderID", ts), "SalesOrderID")
-    return lines.groupBy(
+    per_order = costed_lines(detail, product, keys).groupBy("SalesOrderID", *keys).agg(
+        F.sum("LineTotal").alias("__rev"), F.sum("LineCost").alias("__cost")
+    )
+    orders = per_order.join(header.select("SalesOrderID", ts), "SalesOrderID")
+    return orders.groupBy(
         order_year(ts).alias(PERIOD_KEYS[0]), order_quarter(ts).alias(PERIOD_KEYS[1]), *keys
     ).agg(
-        money_sum("LineTotal").alias("TotalRevenue"),
-        money_sum("LineCost").alias("TotalCost"),
+        money_sum("__rev").alias("TotalRevenue"),
+        money_sum("__cost").alias("TotalCost"),
     ).withColumn("Profit", (F.col("TotalRevenue") - F.col("TotalCost")).cast(MONEY_SUM))
 
 
