@@ -115,6 +115,8 @@ def _build(spark: SparkSession, root: str) -> Tables:
             read("lineitem")
             .select("l_orderkey", "l_suppkey")
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select("l_orderkey", "l_suppkey", "o_orderstatus")
+            .distinct()  # on the raw keys: the join's partitioning on l_orderkey serves it
             .select(
                 po_id.alias("PurchaseOrderID"),
                 F.col("l_suppkey").alias("VendorID"),
@@ -122,7 +124,6 @@ def _build(spark: SparkSession, root: str) -> Tables:
                 .otherwise(F.lit(PO_OPEN))
                 .alias("Status"),
             )
-            .distinct()
         )
 
     def po_detail() -> DataFrame:
