@@ -82,3 +82,8 @@ def test_order_lines_read_once(t, name):
     final = plan(df).split("Initial Plan")[0]
     scans = len(re.findall(r"FileScan parquet [^\n]*lineitem\.parquet", final))
     assert scans <= (2 if name in _TWO_LINE_SOURCES else 1), scans
+
+
+def test_lines_summed_per_order_before_header_join(t):
+    p = plan(run("kpi1_quarterly_margin", t, STANDIN_PARAMS))
+    assert re.search(r"HashAggregate\(keys=\[SalesOrderID#\d+L\]", p)
