@@ -19,6 +19,8 @@ LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Remove checkpoint files once their result is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Many distinct analyses: keep their generated classes (static conf).
     "spark.sql.codegen.cache.maxEntries": "1000",
 }
