@@ -155,3 +155,16 @@ def test_automatic_ranges(spark, monkeypatch, seed):
         for i in range(400)
     ]
     check(spark, data, None)
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 4])
+def test_double_measure(spark, monkeypatch, ranges):
+    import ledgerlens.operators.quantiles as q
+
+    monkeypatch.setattr(q, "ROWS_PER_RANGE", 40)
+    rnd = random.Random(5)
+    data = [(i, None if rnd.random() < 0.05 else rnd.randint(0, 30) * 0.1) for i in range(300)]
+    df = spark.createDataFrame(data, "id bigint, x double")
+    got = {r["id"]: r["tx"] for r in percent_rank_tiers(df, {"tx": ("x", False)}, ranges=ranges).collect()}
+    want = {r["id"]: r["tx"] for r in df.select("id", window_form(df, "x", False).alias("tx")).collect()}
+    assert got == want
