@@ -85,3 +85,25 @@ def test_bucketed_tables_join_without_exchange(spark, tmp_path_factory):
         )
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_tables_may_omit_unused_tables(spark):
+    from ledgerlens.sources.tables import Tables
+
+    t = Tables(sales_order_header=fx.tables(spark).sales_order_header)
+    assert run("q1_quarterly_growth", t, fx.PARAMS).count() == 4
+    with pytest.raises(AttributeError, match="was not given"):
+        run("kpi1_quarterly_margin", t, fx.PARAMS)
+
+
+def test_cli_lists_analyses():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run(
+        [sys.executable, "-m", "ledgerlens", "--list"], cwd=root, capture_output=True, text=True, timeout=120
+    )
+    assert out.returncode == 0
+    assert set(out.stdout.split()) == set(QUERIES)
