@@ -38,6 +38,27 @@ OPS = (
 )
 
 
+NOTES = [
+    "- Integrity checks: offending orders counted per customer (map-side), one join on CustomerID, a global count.",
+    "- Q1, Q3, KPI2: one aggregate by quarter / channel / flag (KPI2 adds the exact distinct-order step); the "
+    "windows see one row per quarter or channel.",
+    "- Q2: completed orders summed per customer, joined to the customer's territory, summed per territory and name; "
+    "the rank window sees one row per territory.",
+    "- Q4: one aggregate per (type, customer); a partial WindowGroupLimit keeps each task's top rows before the "
+    "shuffle to the two type partitions; type totals reuse the same exchange.",
+    "- Q5, Q7, KPI3, d3–d5: one aggregate of lines per product, one product join; totals reuse the exchange (Q5) or "
+    "read the checkpointed per-product table (Q7).",
+    "- Q8, KPI1, d7, d8: lines joined to product (group filter first), summed per order, one join to the header on "
+    "SalesOrderID (the aggregate's partitioning is reused), then per-quarter aggregates of a few rows per task.",
+    "- Q6a/b, d6: the stand-in builds distinct (order, supplier) headers (join then distinct on the raw keys, one "
+    "partitioning), joins lines to headers, aggregates per vendor (and product).",
+    "- Scrap: one aggregate per reason, then the reason lookup.",
+    "- RFM: one aggregate per customer (checkpointed), distinct values per (measure, range), a window per range, "
+    "one global aggregate of cut values, a one-row broadcast to score every customer.",
+    "- Bucketed tables (`save_bucketed`) remove the SalesOrderID and PurchaseOrderID exchanges of the fact joins.",
+]
+
+
 def summary(plan: str) -> str:
     final = plan.split("+- == Initial Plan ==")[0]
     c = Counter()
@@ -84,6 +105,7 @@ def main() -> None:
         "| --- | --- | --- |",
     ]
     out += [f"| `{n}` | {a} | {b} |" for n, a, b in rows]
+    out += ["", "## What each shuffle is for (large tables)", ""] + NOTES
     Path(__file__).resolve().parents[1].joinpath("PLANS.md").write_text("\n".join(out) + "\n")
     print("\n".join(out))
 
