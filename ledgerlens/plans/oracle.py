@@ -67,11 +67,8 @@ def _pct(num: str, den: str, p: int, s: int) -> str:
     return f"CAST(CAST({num} AS DOUBLE) * 100.0 / NULLIF(CAST({den} AS DOUBLE), 0) AS DECIMAL({p},{s}))"
 
 
-_INLINE_VIEWS = True
-
-
-def _sql(views: list[str], ctes: list[tuple[str, str]], body: str) -> str:
-    used = views if _INLINE_VIEWS else []
+def _sql(views: list[str], ctes: list[tuple[str, str]], body: str, inline_views: bool = True) -> str:
+    used = views if inline_views else []
     parts = [f"{v} AS (\n{VIEWS[v]}\n)" for v in used] + [f"{n} AS (\n{q}\n)" for n, q in ctes]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
@@ -297,35 +294,33 @@ def oracle_sql(p: Params = STANDIN_PARAMS, inline_views: bool = True) -> dict[st
     """SQL per result. With ``inline_views=False`` the statements expect
     reference-shaped tables named like the views (soh, sod, cust, terr,
     prod, poh, pod, vend, wo, sr) to exist already."""
-    global _INLINE_VIEWS
-    _INLINE_VIEWS = inline_views
-    try:
-        return _oracle_sql(p)
-    finally:
-        _INLINE_VIEWS = True
+    return _oracle_sql(p, inline_views)
+
 
+def _oracle_sql(p: Params, inline_views: bool) -> dict[str, str]:
+    def _sql_(views: list[str], ctes: list[tuple[str, str]], body: str) -> str:
+        return _sql(views, ctes, body, inline_views)
 
-def _oracle_sql(p: Params) -> dict[str, str]:
     sets = "\n UNION ALL ".join(
         f"SELECT '{name}' AS SegmentSet, '{m}' AS Cus_Category" for name, members in p.segment_sets for m in members
     )
     q: dict[str, str] = {
-        "chk_offline_nonstore": _sql(
+        "chk_offline_nonstore": _sql_(
             ["soh", "cust"],
             [],
             """SELECT COUNT(soh.SalesOrderID) AS OrderCount
   FROM soh JOIN cust sc ON soh.CustomerID = sc.CustomerID
  WHERE soh.SalesPersonID IS NOT NULL AND sc.StoreID IS NULL""",
         ),
-        "chk_online_store": _sql(
+        "chk_online_store": _sql_(
             ["soh", "cust"],
             [],
             """SELECT COUNT(soh.SalesOrderID) AS OrderCount
   FROM soh JOIN cust sc ON soh.CustomerID = sc.CustomerID
  WHERE soh.SalesPersonID IS NULL AND sc.StoreID IS NOT NULL""",
         ),
-        "q1_quarterly_growth": _sql(["soh"], _q1_ctes(), "SELECT * FROM q1 ORDER BY OrderYear, OrderQuarter"),
-        "q2_territory_rank": _sql(
+        "q1_quarterly_growth": _sql_(["soh"], _q1_ctes(), "SELECT * FROM q1 ORDER BY OrderYear, OrderQuarter"),
+        "q2_territory_rank": _sql_(
             ["soh", "terr"],
             [],
             f"""SELECT st.Name AS TerritoryName,
@@ -336,7 +331,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
  GROUP BY st.Name
  ORDER BY RevenueRank""",
         ),
-        "q3_channel_share": _sql(
+        "q3_channel_share": _sql_(
             ["soh"],
             [
                 (
@@ -352,7 +347,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
        {_pct('OrderCount', 'SUM(OrderCount) OVER ()', 10, 4)} AS OrderRate
   FROM ratio""",
         ),
-        "q4_top5_customers": _sql(
+        "q4_top5_customers": _sql_(
             ["soh"],
             [
                 (
@@ -371,25 +366,25 @@ def _oracle_sql(p: Params) -> dict[str, str]:
             ],
             f"SELECT * FROM sbc2 WHERE SalesRank <= {p.top_customers}",
         ),
-        "q5_top10_profit": _sql(
+        "q5_top10_profit": _sql_(
             ["sod", "prod"],
             _product_profit_ctes(),
             f"""SELECT ProductID, ProductName, TotalProfit, ProfitRatePct FROM pshare
  ORDER BY TotalProfit DESC, ProductID LIMIT {p.top_products}""",
         ),
-        "q6a_vendor_reject": _sql(["pod", "poh", "vend"], [], _vendor_sql(p, False)),
-        "q6b_vendor_product_reject": _sql(["pod", "poh", "vend"], [], _vendor_sql(p, True)),
-        "q7_high_revenue_loss": _sql(
+        "q6a_vendor_reject": _sql_(["pod", "poh", "vend"], [], _vendor_sql(p, False)),
+        "q6b_vendor_product_reject": _sql_(["pod", "poh", "vend"], [], _vendor_sql(p, True)),
+        "q7_high_revenue_loss": _sql_(
             ["sod", "prod"],
             _margin_ctes(),
             """SELECT * FROM margin
  WHERE Revenue > (SELECT AVG(Revenue) FROM revprofit) AND Profit < 0
  ORDER BY Revenue DESC""",
         ),
-        "q8_line_margin_by_quarter": _sql(
+        "q8_line_margin_by_quarter": _sql_(
             ["soh", "sod", "prod"], _q8_cte(p), "SELECT * FROM q8 ORDER BY OrderYear, OrderQuarter, ProductType"
         ),
-        "scrap_reasons": _sql(
+        "scrap_reasons": _sql_(
             ["wo", "sr"],
             [],
             """SELECT CAST(SUM(w.ScrappedQty) AS BIGINT) AS TotalScrappedQty, w.ScrapReasonID, s.Name
@@ -397,11 +392,11 @@ def _oracle_sql(p: Params) -> dict[str, str]:
  GROUP BY w.ScrapReasonID, s.Name
  ORDER BY SUM(w.ScrappedQty) DESC""",
         ),
-        "kpi1_quarterly_margin": _sql(
+        "kpi1_quarterly_margin": _sql_(
             ["soh", "sod", "prod"], _kpi1_ctes(), "SELECT * FROM kpi1 ORDER BY OrderYear, OrderQuarter"
         ),
-        "kpi2_aov_by_channel": _sql(["soh"], [_kpi2_cte()], "SELECT * FROM kpi2 ORDER BY SalesChannel"),
-        "kpi3_loss_product_rate": _sql(
+        "kpi2_aov_by_channel": _sql_(["soh"], [_kpi2_cte()], "SELECT * FROM kpi2 ORDER BY SalesChannel"),
+        "kpi3_loss_product_rate": _sql_(
             ["sod", "prod"],
             [
                 (
@@ -417,16 +412,16 @@ def _oracle_sql(p: Params) -> dict[str, str]:
        {_pct('COUNT(CASE WHEN TotalProfit < 0 THEN 1 END)', 'COUNT(*)', 8, 2)} AS LossProductRate
   FROM pp""",
         ),
-        "rfm_customers": _sql(["soh"], _rfm_ctes(p), "SELECT * FROM final2"),
-        "rfm_segments": _sql(["soh"], _rfm_ctes(p) + [_segments_cte()], "SELECT * FROM seg ORDER BY TotalRevenue DESC"),
-        "d1_seasonal_dip": _sql(
+        "rfm_customers": _sql_(["soh"], _rfm_ctes(p), "SELECT * FROM final2"),
+        "rfm_segments": _sql_(["soh"], _rfm_ctes(p) + [_segments_cte()], "SELECT * FROM seg ORDER BY TotalRevenue DESC"),
+        "d1_seasonal_dip": _sql_(
             ["soh"],
             _q1_ctes(),
             """SELECT OrderQuarter, COUNT(RevenueGrowthPercent) AS YearsCompared,
        COUNT(CASE WHEN RevenueGrowthPercent < 0 THEN 1 END) AS YearsDeclined
   FROM q1 GROUP BY OrderQuarter ORDER BY OrderQuarter""",
         ),
-        "d2_aov_ratio": _sql(
+        "d2_aov_ratio": _sql_(
             ["soh"],
             [
                 _kpi2_cte(),
@@ -442,7 +437,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
             / NULLIF(MAX(CASE WHEN SalesChannel = 'Online' THEN aov END), 0) AS DECIMAL(10,4)) AS AOVRatio
   FROM per""",
         ),
-        "d3_topn_concentration": _sql(
+        "d3_topn_concentration": _sql_(
             ["sod", "prod"],
             _product_profit_ctes()
             + [("top", f"SELECT * FROM pshare ORDER BY TotalProfit DESC, ProductID LIMIT {p.top_products}")],
@@ -452,7 +447,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
        {_pct('SUM(TotalProfit)', 'MAX(AllProfit)', 20, 4)} AS TopProfitSharePct
   FROM top""",
         ),
-        "d4_line_profit_range": _sql(
+        "d4_line_profit_range": _sql_(
             ["sod", "prod"],
             _product_profit_ctes()
             + [("top", f"SELECT * FROM pshare ORDER BY TotalProfit DESC, ProductID LIMIT {p.top_products}")],
@@ -460,16 +455,16 @@ def _oracle_sql(p: Params) -> dict[str, str]:
        MIN(TotalProfit) AS MinProfit, MAX(TotalProfit) AS MaxProfit
   FROM top GROUP BY 1""",
         ),
-        "d5_loss_products_all": _sql(
+        "d5_loss_products_all": _sql_(
             ["sod", "prod"], _margin_ctes(), "SELECT * FROM margin WHERE Profit < 0 ORDER BY Revenue DESC"
         ),
-        "d6_reject_spread": _sql(
+        "d6_reject_spread": _sql_(
             ["pod", "poh", "vend"],
             [("va", _vendor_sql(p, False))],
             """SELECT COUNT(*) AS Vendors, MIN(RejectedRate) AS MinRejectedRate, MAX(RejectedRate) AS MaxRejectedRate
   FROM va""",
         ),
-        "d6_worst_product": _sql(
+        "d6_worst_product": _sql_(
             ["pod", "poh", "vend"],
             [
                 ("vp", _vendor_sql(p, True)),
@@ -483,7 +478,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
             """SELECT VendorID, Name, ProductID, TotalOrder, TotalReject, RejectedRate
   FROM ranked WHERE rn = 1""",
         ),
-        "d7_margin_extremes": _sql(
+        "d7_margin_extremes": _sql_(
             ["soh", "sod", "prod"],
             _kpi1_ctes()
             + [
@@ -501,7 +496,7 @@ def _oracle_sql(p: Params) -> dict[str, str]:
 UNION ALL
 SELECT 'Highest' AS Extreme, OrderYear, OrderQuarter, ProfitRate FROM m WHERE hi = 1""",
         ),
-        "d8_first_positive": _sql(
+        "d8_first_positive": _sql_(
             ["soh", "sod", "prod"],
             _q8_cte(p)
             + [
@@ -513,7 +508,7 @@ SELECT 'Highest' AS Extreme, OrderYear, OrderQuarter, ProfitRate FROM m WHERE hi
             ],
             "SELECT ProductType, OrderYear, OrderQuarter, ProfitRate FROM pos WHERE rn = 1 ORDER BY ProductType",
         ),
-        "d9_segment_rollup": _sql(
+        "d9_segment_rollup": _sql_(
             ["soh"],
             _rfm_ctes(p) + [_segments_cte(), ("sets", sets)],
             f"""SELECT s.SegmentSet, CAST(SUM(g.NumCustomer) AS BIGINT) AS NumCustomer,
