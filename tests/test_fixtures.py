@@ -170,3 +170,14 @@ def test_matches_reference_sql(t, name):
     expected = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
     got = rows(run(name, t, fx.PARAMS))
     assert _canon(got) == _canon(expected)
+
+
+def test_rollups_by_hand(t):
+    # Growth rows: 2011Q3 -61.70, 2012Q1 -100.00; the Q2 rows have no growth.
+    d1 = {r["OrderQuarter"]: (r["YearsCompared"], r["YearsDeclined"]) for r in rows(run("d1_seasonal_dip", t, fx.PARAMS))}
+    assert d1 == {1: (1, 1), 2: (0, 0), 3: (1, 1)}
+    # Offline: flag 0 (4 orders, 1699) and the NULL flag (1 order, 50) -> 1749 / 5.
+    d2 = rows(run("d2_aov_ratio", t, fx.PARAMS))[0]
+    assert (d2["OfflineAOV"], d2["OnlineAOV"], d2["AOVRatio"]) == (D("349.80"), D("61.43"), D("5.6944"))
+    d6 = rows(run("d6_reject_spread", t, fx.PARAMS))[0]
+    assert (d6["Vendors"], d6["MinRejectedRate"], d6["MaxRejectedRate"]) == (3, D("0.00"), D("10.00"))
