@@ -181,3 +181,21 @@ def test_rollups_by_hand(t):
     assert (d2["OfflineAOV"], d2["OnlineAOV"], d2["AOVRatio"]) == (D("349.80"), D("61.43"), D("5.6944"))
     d6 = rows(run("d6_reject_spread", t, fx.PARAMS))[0]
     assert (d6["Vendors"], d6["MinRejectedRate"], d6["MaxRejectedRate"]) == (3, D("0.00"), D("10.00"))
+
+
+def test_top_product_rollups_by_hand(t):
+    # Top 10 profits 80+50+30+13+10+5+5+5+2+2 = 202 of 156 in all.
+    d3 = rows(run("d3_topn_concentration", t, fx.PARAMS))[0]
+    assert (d3["TopProducts"], d3["TopProfit"], d3["AllProfit"], d3["TopProfitSharePct"]) == (
+        10, fx.m(202), fx.m(156), D("129.4872")
+    )
+    d4 = {r["ProductLine"]: (r["SKUs"], r["MinProfit"], r["MaxProfit"]) for r in rows(run("d4_line_profit_range", t, fx.PARAMS))}
+    assert d4 == {
+        "Mountain-200": (2, fx.m(50), fx.m(80)),
+        "Road-150": (1, fx.m(30), fx.m(30)),
+        "Sport-100": (1, fx.m(13), fx.m(13)),
+        "HL": (1, fx.m(10), fx.m(10)),
+        "Cap": (5, fx.m(2), fx.m(5)),
+    }
+    worst = rows(run("d6_worst_product", t, fx.PARAMS))
+    assert [(r["VendorID"], r["ProductID"], r["RejectedRate"]) for r in worst] == [(1, 1, D("2.50"))]
