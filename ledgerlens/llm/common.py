@@ -47,11 +47,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """What a row is told apart by: its id and a hash of its text. Rows equal in both get equal results."""
-    return [F.col(id_col), F.xxhash64(F.col(text_col))]
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` where a text is plain ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

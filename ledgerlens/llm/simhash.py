@@ -15,11 +15,10 @@ a wildcard: such a pair has equal variants of one segment.
 3. Links become components (``components``), components the smallest document
    id of all their classes.
 
-A run longer than ``run_limit`` is not held in one task: its classes go
-through a second round whose key also has one-wildcard variants of the *rest*
-of the fingerprint (again exact, since the rest differs by at most
-``distance`` bits), after which runs of unrelated texts are short, and those of
-related texts are taken through a union-find in blocks of ``run_limit``.
+A run longer than ``run_limit`` is not held in one task: its classes get finer
+variants in a further round, of the bits that its key leaves free (which
+differ by no more than ``distance`` bits either, so this is as exact). After
+two such rounds a key fixes over 40 bits.
 
 Texts of no words have fingerprint zero and link like any other. Null text:
 no words. A null id sorts below all others (it is given as component null
@@ -37,11 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes, fresh, map_texts, row_key, store
+from ledgerlens.llm.common import as_bytes, fresh, map_texts, store
 from ledgerlens.llm.components import components
 
 SPACED = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 BITS = 64
+SHORT = 16
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -82,27 +82,51 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     return map_texts(docs, keep, text_col, T.StructType([T.StructField(fresh(keep, "fp"), T.LongType())]), make)
 
 
-def segments(distance: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the fewest segments of which one differs by at most one bit."""
+def one_wildcard(mask: int, distance: int) -> list[int]:
+    """Masks of the variants of all bits outside ``mask``, each with the bits of ``mask`` as well.
+
+    The bits outside are cut into the fewest segments of which one differs by
+    at most one bit; a variant keeps one segment without one of its bits.
+    """
+    free = [b for b in range(BITS) if not mask >> b & 1]
     n = distance // 2 + 1
-    at = [bits * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    out = []
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        whole = sum(1 << b for b in free[x:y])
+        out += [mask | whole & ~(1 << b) for b in free[x:y]]
+    return out
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def variants(fp, distance: int):
-    """(wildcard bit, segment without that bit): with the bit's number, one key per variant."""
-    made = []
-    for low, width in segments(distance):
-        mask = (1 << width) - 1
-        for bit in range(width):
-            kept = (mask & ~(1 << bit)) << low
-            kept -= 1 << 64 if kept >= 1 << 63 else 0
-            made.append(F.struct(F.lit(low + bit).cast("byte").alias("wild"), fp.bitwiseAND(F.lit(kept).cast("bigint")).alias("part")))
-    return F.array(*made)
+    """(mask, part): the fixed bits of every one-wildcard variant, and their values."""
+    masks = [F.lit(signed(m)).cast("bigint") for m in one_wildcard(0, distance)]
+    return F.array(*[F.struct(m.alias("mask"), fp.bitwiseAND(m).alias("part")) for m in masks])
+
+
+def finer_variants(rows: DataFrame, distance: int) -> DataFrame:
+    """The same for classes (mask, fp) that already share the bits of ``mask``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for mask, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if mask not in known:
+                    known[mask] = np.array([signed(m) for m in one_wildcard(mask & (1 << 64) - 1, distance)], np.int64)
+                masks = known[mask]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(masks), pa.array(masks & np.int64(fp)), pa.array(np.full(len(masks), fp, np.int64))], names=["mask", "part", "fp"]
+                )
+
+    return rows.select("mask", "fp").mapInArrow(run, "mask bigint, part bigint, fp bigint")
 
 
 def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= distance
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= distance  # of signed numbers it counts the absolute value
 
 
 class Forest:
@@ -142,74 +166,101 @@ def run_links(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
                 edge = edge[1:]
 
 
-def variant_links(classes: DataFrame, distance: int) -> DataFrame:
-    """(a, b): verified links between classes ``fp``, enough to join up every component."""
-    rows = classes.select("fp", F.explode(variants(F.col("fp"), distance)).alias("v")).select("v.wild", "v.part", "fp")
-    dealt = rows.repartition("wild", "part").sortWithinPartitions("wild", "part", "fp")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "mask", "part")])
+
+
+def run_link_rows(variant_rows: DataFrame, distance: int, run_limit: int | None) -> DataFrame:
+    """(a, b): verified links inside the runs of equal (mask, part); (mask, part) alone: a run of more than
+    ``run_limit`` classes, which was left as it is."""
+    dealt = variant_rows.select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         held: list[np.ndarray] = []  # of the run that the last batch ended in
-        key = None
-        out: list[tuple[int, int]] = []
+        size_held, key = 0, None
+        out: list[tuple[int | None, ...]] = []
 
         def tie(pairs) -> None:
-            out.extend((a, b) for a, b in pairs if forest.tie(a, b))
+            out.extend((a, b, None, None) for a, b in pairs if forest.tie(a, b))
+
+        def close() -> None:
+            if run_limit and size_held > run_limit:
+                out.append((None, None, *key))
+            elif held:
+                tie(run_links(np.concatenate(held), distance))
 
         for batch in batches:
-            wild, part, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            mask, part, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(fp):
                 continue
-            fp = fp.astype(np.int64)
-            new = np.flatnonzero((wild[1:] != wild[:-1]) | (part[1:] != part[:-1])) + 1
-            starts = np.concatenate([[0], new])
-            ends = np.append(new, len(fp))
-            if key == (wild[0], part[0]):
-                held.append(fp[: ends[0]])
-                starts, ends = starts[1:], ends[1:]
-            if len(starts):  # the run held so far is over
-                if held:
-                    tie(run_links(np.concatenate(held), distance))
-                held, key = [fp[starts[-1] : ends[-1]]], (wild[-1], part[-1])
-                starts, ends = starts[:-1], ends[:-1]
-            size = ends - starts
-            short = size <= 16
-            for off in range(1, int(size[short].max(initial=1))):  # short runs: all offsets at once
-                wide = np.flatnonzero(short & (size > off))
-                first = np.repeat(starts[wide], size[wide] - off) + _ramp(size[wide] - off)
-                ok = near(fp[first], fp[first + off], distance)
-                tie(zip(fp[first[ok]].tolist(), fp[first[ok] + off].tolist(), strict=True))
-            for i in np.flatnonzero(~short):
-                tie(run_links(fp[starts[i] : ends[i]], distance))
+            new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
+            starts, ends = np.concatenate([[0], new]), np.append(new, len(fp))
+            if key != (int(mask[0]), int(part[0])):
+                close()
+                held, size_held, key = [], 0, (int(mask[0]), int(part[0]))
+            size_held += int(ends[0])
+            held = [*held, fp[: ends[0]].copy()] if not run_limit or size_held <= run_limit else []
+            if len(starts) > 1:  # the run held so far is over; the batch's last run is held next
+                close()
+                key, size_held = (int(mask[-1]), int(part[-1])), int(ends[-1] - starts[-1])
+                held = [fp[starts[-1] :].copy()]
+                starts, ends = starts[1:-1], ends[1:-1]
+                size = ends - starts
+                short = size <= SHORT
+                for off in range(1, int(size[short].max(initial=1))):  # short runs: all offsets at once
+                    wide = np.flatnonzero(short & (size > off))
+                    first = np.repeat(starts[wide], size[wide] - off) + _ramp(size[wide] - off)
+                    ok = near(fp[first], fp[first + off], distance)
+                    tie(zip(fp[first[ok]].tolist(), fp[first[ok] + off].tolist(), strict=True))
+                for i in np.flatnonzero(~short):
+                    if run_limit and size[i] > run_limit:
+                        out.append((None, None, int(mask[starts[i]]), int(part[starts[i]])))
+                    else:
+                        tie(run_links(fp[starts[i] : ends[i]], distance))
             if out:
-                yield _links(out)
-                out = []
-        if held:
-            tie(run_links(np.concatenate(held), distance))
+                yield _rows(out)
+                out.clear()
+        close()
         if out:
-            yield _links(out)
+            yield _rows(out)
+
+    return dealt.mapInArrow(run, LINKS)
 
-    return dealt.mapInArrow(run, schema)
+
+def variant_links(classes: DataFrame, distance: int, run_limit: int, finer: int = 2) -> DataFrame:
+    """(a, b): verified links between classes ``fp``, enough to join up every component."""
+    rows = classes.select("fp", F.explode(variants(F.col("fp"), distance)).alias("v")).select("v.mask", "v.part", "fp")
+    links = []
+    for step in range(finer + 1):
+        found = store(run_link_rows(rows, distance, run_limit if step < finer else None), "variant-links")
+        links.append(found.filter("a is not null").select("a", "b"))
+        long = found.filter("a is null").select("mask", "part").distinct()
+        if step == finer or long.isEmpty():
+            break
+        rows = store(finer_variants(rows.join(long, ["mask", "part"]), distance), "finer-variants")
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=LINKS.names)
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = 1 << 20
 ) -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), component (its smallest id) and the fingerprint's class size."""
     prints = store(fingerprints(docs.select(id_col, text_col), [id_col], text_col, shingle), "fingerprints")
     named = prints.select(F.col(id_col).alias("id"), F.col(prints.columns[-1]).alias("fp"))
     classes = store(named.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
-    groups = components(variant_links(classes, distance))
+    groups = components(variant_links(classes, distance, run_limit))
     placed = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of = placed.join(least, "component").select("fp", "component_id", F.col("n").alias("n_same"))
