@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontaminate, langid, linededup, pii, quality, simhash, tokencount, urltree
+from ledgerlens.llm import bpe, decontaminate, langid, linededup, pii, quality, simhash, suffixdedup, tokencount, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.substring_report(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file of the token operators; vocabularies are read where they are installed."""
     import public_tokenizers
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontaminate,
         op2_simhash,
         op3_line_dedup,
+        op4_suffix_dedup,
         op5_language_id,
         op6_pii,
         op7_url_filter,
