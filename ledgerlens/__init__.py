@@ -5,7 +5,7 @@ Layout
 ------
 ``sources``    reference-shaped tables: declared schemas, readers, bucketed
                catalog tables, the stand-in views over the TPC-H-like test
-               tables, materialise (checkpoint).
+               tables, materialise (Parquet in the checkpoint folder).
 ``functions``  column-level building blocks (money casts, guarded rates,
                calendar keys, channel labels, prefix/pattern labelling).
 ``operators``  reusable DataFrame operators (integrity check, period
@@ -13,7 +13,6 @@ Layout
                exact percent-rank tiers without a global window).
 ``plans``      the analyses themselves, one function per result set, plus
                the registry used by ``__spark_entry__`` and ``bench.py``.
-``streaming``  nothing: the analyses have no streaming form (see README).
 """
 
 from ledgerlens.params import Params, REFERENCE_PARAMS, STANDIN_PARAMS

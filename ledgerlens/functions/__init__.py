@@ -13,6 +13,7 @@ from ledgerlens.functions.measures import (
     order_year,
     pct,
     rate,
+    ratio,
     sum_int,
 )
 
@@ -25,6 +26,7 @@ __all__ = [
     "order_year",
     "pct",
     "rate",
+    "ratio",
     "rfm_code",
     "segment_by_rules",
     "sum_int",

@@ -67,25 +67,12 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def segment_by_rules_sql(code_sql: str, rules: Sequence[tuple[str, str]], default: str) -> str:
-    """SQL text of :func:`segment_by_rules` over a SQL expression."""
-    whens = " ".join(f"WHEN ({code_sql}) LIKE {_sql_str(p)} THEN {_sql_str(label)}" for label, p in rules)
-    return f"CASE {whens} ELSE {_sql_str(default)} END" if rules else _sql_str(default)
+def segment_by_rules(code: str, rules: Sequence[tuple[str, str]], default: str) -> Column:
+    """First ``LIKE`` pattern matching the column ``code`` gives the segment.
 
-
-def segment_by_rules(
-    code: Column | str, rules: Sequence[tuple[str, str]], default: str
-) -> Column:
-    """First ``LIKE`` pattern matching ``code`` gives the segment.
-
-    Given a column name, the rule chain is sent to the JVM as one SQL
-    expression instead of one call per condition.
+    The rule chain is sent to the JVM as one SQL expression instead of one
+    call per condition.
     """
-    if isinstance(code, str):
-        return F.expr(segment_by_rules_sql("`" + code.replace("`", "``") + "`", rules, default))
-    col = code
-    expr = None
-    for label, pattern in rules:
-        cond = col.like(pattern)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+    c = "`" + code.replace("`", "``") + "`"
+    whens = " ".join(f"WHEN {c} LIKE {_sql_str(p)} THEN {_sql_str(label)}" for label, p in rules)
+    return F.expr(f"CASE {whens} ELSE {_sql_str(default)} END" if rules else _sql_str(default))

@@ -1,11 +1,6 @@
 """Reusable DataFrame operators the analyses are composed of."""
 
-from ledgerlens.operators.checks import (
-    assert_no_rows,
-    count_violations,
-    count_violations_by_key,
-    expect_no_rows,
-)
+from ledgerlens.operators.checks import expect_no_rows
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.profitability import (
     costed_lines,
@@ -16,12 +11,9 @@ from ledgerlens.operators.profitability import (
 )
 from ledgerlens.operators.quantiles import percent_rank_cuts, percent_rank_tiers, quartile_score
 from ledgerlens.operators.ranking import ranked, top_n, top_n_per_group
-from ledgerlens.operators.share import share_of_grand_total, share_of_total, with_totals
+from ledgerlens.operators.share import share_of_total, with_totals
 
 __all__ = [
-    "assert_no_rows",
-    "count_violations",
-    "count_violations_by_key",
     "expect_no_rows",
     "percent_rank_cuts",
     "percent_rank_tiers",
@@ -34,7 +26,6 @@ __all__ = [
     "product_sales",
     "quartile_score",
     "ranked",
-    "share_of_grand_total",
     "share_of_total",
     "top_n",
     "top_n_per_group",

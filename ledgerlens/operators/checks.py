@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def count_violations(df: DataFrame, rule_broken: Column, counted: str, alias: str) -> DataFrame:
-    """One row: the number of non-NULL ``counted`` values where the rule is broken.
-
-    A global aggregate: partial counts per task, one tiny final merge.
-    """
-    return df.filter(rule_broken).agg(F.count(F.col(counted)).alias(alias))
-
-
-def count_violations_by_key(
+def expect_no_rows(
     fact: DataFrame,
     fact_rule: Column,
     dim: DataFrame,
@@ -33,14 +25,3 @@ def count_violations_by_key(
     per_key = fact.filter(fact_rule).groupBy(key).agg(F.count(F.col(counted)).alias("__n"))
     matched = per_key.join(dim.filter(dim_rule).select(key), key)
     return matched.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias(alias))
-
-
-def expect_no_rows(df: DataFrame, rule_broken: Column, counted: str, alias: str = "OrderCount") -> DataFrame:
-    """The integrity check as a result set: rows breaking the rule (expected 0)."""
-    return count_violations(df, rule_broken, counted, alias)
-
-
-def assert_no_rows(df: DataFrame, rule_broken: Column, what: str = "rule") -> None:
-    """Raise if any row breaks the rule (stops at the first offending row)."""
-    if not df.filter(rule_broken).isEmpty():
-        raise AssertionError(f"integrity check failed: {what}")

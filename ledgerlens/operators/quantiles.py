@@ -6,31 +6,28 @@ percent rank is monotone in ``v``, so a tier is fixed by a *cut value* per
 threshold: ``cut_p = max{v : percent_rank(v) <= p}`` and
 ``percent_rank(v) <= p  <=>  v <= cut_p``.
 
-The cuts are computed exactly and distributed:
-
-1. several measures are stacked into ``(measure, value)`` rows;
-2. the rows are counted; above ~250k rows one small job takes approximate
-   quantiles (``percentile_approx``, on a sample) as value ranges per
-   measure: one range per ~250k rows, at most 1024, so only that many
-   numbers per measure reach the driver; a balanced comparison tree maps each value to its
-   range, so the range is a function of the value alone and equal values
-   share a range;
-3. rows are reduced to distinct ``(measure, range, value)`` with their
-   multiplicity (map-side combined: a hot value becomes one row);
-4. a running count inside each range plus the broadcast count of all lower
+The cuts are computed exactly and distributed, the same way at every size:
+
+1. one aggregate over the whole input takes approximate quantiles of each
+   measure as the boundaries of ``ranges`` value ranges (only these reach the
+   driver); a balanced comparison tree maps each value to its range, so the
+   range is a function of the value alone and equal values share a range;
+2. the measures are stacked into ``(measure, range, value)`` rows, the value
+   in a column of the measure's own type, and reduced to distinct ones with
+   their multiplicity (map-side combined: a hot value becomes one row);
+3. a running count inside each range plus the broadcast count of all lower
    ranges (one row per range: bounded by ``ranges``) gives ``rank - 1`` =
    rows strictly below ``v``; the percent rank is then taken with the same
    double division as the window function;
-5. one global aggregate keeps, per measure and threshold, the largest value
-   whose percent rank is within it — a single row that is broadcast.
+4. one global aggregate keeps, per measure and threshold, the largest value
+   whose percent rank is within it -- a single row that is broadcast.
 
-Approximate ranges only change the balance of the work, never the result.
-The input is read two or three times (profile, sample for ranges, cuts):
-pass a materialised or cheap DataFrame. The profile (row count, min, max)
-also picks the working type: ``DECIMAL(18, s)`` -- a long inside Spark --
-whenever all values fit, so comparisons and hashing avoid big decimals.
+Boundaries only balance the work, never the result. The input is read twice
+(boundaries, cuts): pass a materialised or cheap DataFrame.
 
-NULL values sort first, as in ``ORDER BY v ASC``; they rank lowest.
+Each measure keeps its type: integers, decimals, floating numbers, dates and
+timestamps (the last two count as days and microseconds). NULL values sort
+first, as in ``ORDER BY v ASC``; NaN sorts last and equals itself.
 """
 
 from __future__ import annotations
@@ -38,29 +35,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
-
-def _work_type(types: Sequence[T.DataType], bounds: Sequence[tuple]) -> T.DataType:
-    """One exact type for all measures, as narrow as their values allow.
-
-    Integers and decimals share a decimal of the largest scale; when every
-    value fits in 18 digits it is ``DECIMAL(18, s)``, which Spark keeps in a
-    long (fast comparisons and hashing), else ``DECIMAL(38, s)``. Any
-    floating measure makes it ``DOUBLE``. ``bounds`` are (min, max) per
-    measure, from the profiling job.
-    """
-    if not all(isinstance(t, (*_INTEGRAL, T.DecimalType)) for t in types):
-        return T.DoubleType()
-    scale = max((t.scale for t in types if isinstance(t, T.DecimalType)), default=0)
-    limit = 10 ** (18 - scale)
-    fits = all(v is None or abs(v) < limit for lo_hi in bounds for v in lo_hi)
-    return T.DecimalType(18 if fits else 38, scale)
+_FLOATING = (T.FloatType, T.DoubleType)
 
 
 def cut_name(measure: str, i: int) -> str:
@@ -71,12 +51,23 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def work_sql(v: str, kind: T.DataType) -> str:
+    """SQL of ``v`` in the type it is ranked in: exact for every value of ``kind``."""
+    if isinstance(kind, _INTEGRAL):
+        return f"CAST({v} AS BIGINT)"
+    if isinstance(kind, T.DecimalType):
+        return v
+    if isinstance(kind, _FLOATING):
+        return f"CAST({v} AS DOUBLE)"
+    if isinstance(kind, T.DateType):
+        return f"CAST(unix_date({v}) AS BIGINT)"
+    if isinstance(kind, T.TimestampType):
+        return f"unix_micros({v})"
+    raise TypeError(f"cannot rank a {kind.simpleString()}: use a number, date or timestamp")
+
+
 def sql_literal(x: object) -> str:
-    """A typed SQL literal for a boundary or cut value."""
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return "true" if x else "false"
+    """A typed SQL literal for a boundary."""
     if isinstance(x, Decimal):
         return f"{x}BD"
     if isinstance(x, int):
@@ -102,51 +93,32 @@ def range_sql(v: str, bounds: Sequence) -> str:
     return f"CASE WHEN {v} IS NULL THEN -1 ELSE {build(0, len(bounds))} END"
 
 
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 1024
-SAMPLE_ROWS = 200_000
+def _prepare(df: DataFrame, measures: Mapping[str, Column | str]) -> DataFrame:
+    """The measures alone, renamed, each in the type it is ranked in."""
+    raw = df.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in measures.items()])
+    return raw.selectExpr(*[f"{work_sql(_q(n), raw.schema[n].dataType)} AS {_q(n)}" for n in measures])
 
 
-def _prepare(df: DataFrame, measures: Mapping[str, Column | str]) -> tuple[DataFrame, int, T.DataType]:
-    """Measures renamed and cast to their working type, with the row count.
-
-    One small job profiles them (row count, min and max per measure).
-    """
-    names = list(measures)
-    cols = [F.col(c) if isinstance(c, str) else c for c in measures.values()]
-    raw = df.select(*[c.alias(n) for n, c in zip(names, cols)])
-    extremes = [e for i, n in enumerate(names) for e in (f"min({_q(n)}) AS `__lo{i}`", f"max({_q(n)}) AS `__hi{i}`")]
-    prof = raw.selectExpr("count(1) AS `__rows`", *extremes).first()
-    vtype = _work_type(
-        [f.dataType for f in raw.schema.fields], [(prof[f"__lo{i}"], prof[f"__hi{i}"]) for i in range(len(names))]
-    )
-    typed = raw.selectExpr(*[f"CAST({_q(n)} AS {vtype.simpleString()}) AS {_q(n)}" for n in names])
-    return typed, prof["__rows"], vtype
+def _default_ranges(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _range_bounds(typed: DataFrame, names: list[str], rows: int, ranges: int | None) -> list[list]:
-    """Sorted distinct range boundaries per measure.
+def _range_bounds(typed: DataFrame, names: Sequence[str], ranges: int) -> list[list]:
+    """Sorted distinct range boundaries per measure: approximate quantiles of the whole input.
 
-    With ``ranges`` given, that many approximate quantile ranges. Otherwise
-    ``ceil(rows / ROWS_PER_RANGE)`` ranges (at most ``MAX_RANGES``): small
-    inputs get one range and no quantile job, large ones one range per
-    ~250k rows, placed from a sample. Only the boundaries (at most
-    ``MAX_RANGES`` per measure) reach the driver.
+    NaN and infinities are no boundaries; they fall into the last or first range.
     """
-    if ranges is None:
-        ranges = min(MAX_RANGES, max(1, -(-rows // ROWS_PER_RANGE)))
-    if ranges <= 1:
+    if ranges < 2:
         return [[] for _ in names]
-    # Boundaries only balance the work, so a fixed-seed sample of about
-    # SAMPLE_ROWS rows is enough to place them.
-    source = typed
-    if rows > 2 * SAMPLE_ROWS:
-        source = typed.sample(withReplacement=False, fraction=SAMPLE_ROWS / rows, seed=17)
     fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
+
+    def finite(n: str) -> str:
+        if isinstance(typed.schema[n].dataType, T.DoubleType):
+            return f"CASE WHEN NOT isnan({_q(n)}) AND abs({_q(n)}) < double('Infinity') THEN {_q(n)} END"
+        return _q(n)
+
     acc = max(10000, 10 * ranges)
-    row = source.selectExpr(
-        *[f"percentile_approx({_q(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]
-    ).first()
+    row = typed.selectExpr(*[f"percentile_approx({finite(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]).first()
     return [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
 
 
@@ -158,54 +130,44 @@ def percent_rank_cuts(
 ) -> DataFrame:
     """One row: for each measure and each ``p`` the cut value (see module doc).
 
-    ``ranges`` is the number of value ranges per measure (default: chosen
-    from the row count, see ``_range_bounds``); it sets parallelism only.
+    ``ranges`` is the number of value ranges per measure (default: the
+    session's shuffle partitions); it sets parallelism only.
     """
-    typed, rows, _ = _prepare(df, measures)
-    return _cuts(typed, list(measures), rows, probs, ranges)
+    names = list(measures)
+    typed = _prepare(df, measures)
+    bounds = _range_bounds(typed, names, ranges or _default_ranges(df.sparkSession))
 
+    # (measure, range, value) rows; a measure's value is in its own column.
+    value = [f"v{i}" for i in range(len(names))]
 
-def _cuts(typed: DataFrame, names: list[str], rows: int, probs: Sequence[float], ranges: int | None) -> DataFrame:
-    bounds = _range_bounds(typed, names, rows, ranges)
+    def stacked(i: int, n: str) -> str:
+        own = [f"{_q(n) if j == i else f'CAST(NULL AS {typed.schema[m].dataType.simpleString()})'} AS v{j}" for j, m in enumerate(names)]
+        return f"struct({i} AS m, {range_sql(_q(n), bounds[i])} AS rng, {', '.join(own)})"
 
-    # (measure, range, value) rows, reduced to distinct values with counts.
-    structs = ", ".join(
-        f"struct({i} AS m, {range_sql(_q(n), bounds[i])} AS rng, {_q(n)} AS v)" for i, n in enumerate(names)
-    )
     distinct = (
-        typed.selectExpr(f"inline(array({structs}))")
-        .groupBy("m", "rng", "v")
+        typed.selectExpr(f"inline(array({', '.join(stacked(i, n) for i, n in enumerate(names))}))")
+        .groupBy("m", "rng", *value)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-
-    pr = "CASE WHEN n > 1 THEN CAST(less AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE 0.0D END AS pr"
-    frame = "ORDER BY v ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    if not any(bounds):
-        # One range per measure (NULLs apart): the input has at most
-        # ROWS_PER_RANGE rows (or one range was asked for), so a window over
-        # each measure's distinct values is bounded.
-        scored = distinct.selectExpr(
-            "m", "v", f"sum(cnt) OVER (PARTITION BY m {frame}) - cnt AS less", "sum(cnt) OVER (PARTITION BY m) AS n"
-        ).selectExpr("m", "v", pr)
-    else:
-        # Rows in lower ranges of the same measure, and n per measure: one
-        # row per (measure, range), so these windows are bounded by the
-        # number of ranges.
-        offsets = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt")).selectExpr(
-            "m",
-            "rng",
-            "coalesce(sum(rcnt) OVER (PARTITION BY m ORDER BY rng"
-            " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off",
-            "sum(rcnt) OVER (PARTITION BY m) AS n",
-        )
-        scored = (
-            distinct.join(F.broadcast(offsets), ["m", "rng"])
-            .selectExpr("m", "v", f"off + sum(cnt) OVER (PARTITION BY m, rng {frame}) - cnt AS less", "n")
-            .selectExpr("m", "v", pr)
-        )
+    # Rows in lower ranges of the same measure, and n per measure: one row per
+    # (measure, range), so these windows are bounded by the number of ranges.
+    offsets = distinct.groupBy("m", "rng").agg(F.sum("cnt").alias("rcnt")).selectExpr(
+        "m",
+        "rng",
+        "coalesce(sum(rcnt) OVER (PARTITION BY m ORDER BY rng"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off",
+        "sum(rcnt) OVER (PARTITION BY m) AS n",
+    )
+    order = ", ".join(f"{v} ASC NULLS FIRST" for v in value)
+    frame = f"ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    scored = (
+        distinct.join(F.broadcast(offsets), ["m", "rng"])
+        .selectExpr("m", *value, f"off + sum(cnt) OVER (PARTITION BY m, rng {frame}) - cnt AS less", "n")
+        .selectExpr("m", *value, "CASE WHEN n > 1 THEN CAST(less AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE 0.0D END AS pr")
+    )
     return scored.selectExpr(
         *[
-            f"max(CASE WHEN m = {i} AND pr <= {float(p)!r}D THEN v END) AS {_q(cut_name(n, k))}"
+            f"max(CASE WHEN m = {i} AND pr <= {float(p)!r}D THEN v{i} END) AS {_q(cut_name(n, k))}"
             for i, n in enumerate(names)
             for k, p in enumerate(probs)
         ]
@@ -234,18 +196,10 @@ def percent_rank_tiers(
 
     Equal to ``CASE WHEN PERCENT_RANK() OVER (ORDER BY measure) <= p1 ...``
     for every row, ties included; the only broadcast is the one-row cuts.
-    Values are compared with the cuts in the working type (exact: every
-    value fits it).
     """
-    measures = {out: m for out, (m, _) in specs.items()}
-    typed, rows, vtype = _prepare(df, measures)
-    cuts = _cuts(typed, list(measures), rows, probs, ranges)
+    cuts = percent_rank_cuts(df, {out: m for out, (m, _) in specs.items()}, probs, ranges)
     tiers = [
-        tier_sql(
-            f"CAST({_q(measure)} AS {vtype.simpleString()})",
-            [_q(cut_name(name, k)) for k in range(len(probs))],
-            descending,
-        )
+        tier_sql(work_sql(_q(measure), df.schema[measure].dataType), [_q(cut_name(name, k)) for k in range(len(probs))], descending)
         + f" AS {_q(name)}"
         for name, (measure, descending) in specs.items()
     ]

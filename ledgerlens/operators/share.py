@@ -1,4 +1,4 @@
-"""Share of a total, for bounded and for unbounded inputs."""
+"""Shares of totals."""
 
 from __future__ import annotations
 
@@ -30,24 +30,7 @@ def share_of_total(
 def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Attach ``totals`` (one row, or one row per ``by`` key) to every row.
 
-    ``totals`` must be a global aggregate or grouped by a key of known small
-    cardinality (channel, customer type), so its broadcast is size-bounded.
+    The one row of a global aggregate is broadcast; totals per key are joined
+    the way Spark chooses from their measured size.
     """
-    small = F.broadcast(totals)
-    return df.crossJoin(small) if not by else df.join(small, list(by))
-
-
-def share_of_grand_total(
-    df: DataFrame, measure: str, out: str, precision: int, scale: int
-) -> DataFrame:
-    """``measure`` as % of the grand total, without a single-partition window.
-
-    The total is a one-row aggregate of the same input, broadcast to all
-    tasks; the input's exchange is reused rather than recomputed.
-    """
-    total = df.agg(F.sum(measure).alias("__total"))
-    return (
-        with_totals(df, total)
-        .withColumn(out, pct(measure, "__total", precision, scale))
-        .drop("__total")
-    )
+    return df.join(totals, list(by)) if by else df.crossJoin(F.broadcast(totals))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 # Product-line name prefixes of the two profit groups, the
 # group labels, and the RFM segment rules (pattern over the
@@ -23,6 +24,8 @@ SEGMENT_RULES = (
     ("Recent Customer", "4%"),
 )
 SEGMENT_DEFAULT = "Other"
+# Product lines, by name prefix, whose profits the findings quote.
+REFERENCE_LINES = ("Mountain-200", "Road-150", "Touring-1000", "Road-650")
 # Named unions of segments whose shares the findings quote.
 SEGMENT_SETS = (
     ("Potential Loyal + Best Customer", ("Potential Loyal", "Best Customer")),
@@ -42,6 +45,17 @@ class Params:
     vendor_product_min_qty: int = 5000
     high_prefixes: tuple[str, ...] = REFERENCE_HIGH_PREFIXES
     low_prefixes: tuple[str, ...] = REFERENCE_LOW_PREFIXES
+    product_lines: tuple[str, ...] = REFERENCE_LINES
+    # The findings' low margin, in percent, and the quarters (first and last) that the
+    # margin range of the product groups is quoted for.
+    low_margin_pct: Decimal = Decimal("4")
+    margin_from: tuple[int, int] = (2011, 2)
+    margin_to: tuple[int, int] = (2012, 2)
+    # Whether the order header carries its territory, or the customer does.
+    territory_on: str = "header"
+    # Customers are scored in this many value ranges per measure (None: the
+    # session's shuffle partitions). It sets parallelism, not results.
+    tier_ranges: int | None = None
     as_of: str = "2014-06-30"
     tier_cuts: tuple[float, float, float] = (0.25, 0.5, 0.75)
     segment_rules: tuple[tuple[str, str], ...] = field(default=SEGMENT_RULES)
@@ -56,9 +70,14 @@ REFERENCE_PARAMS = Params()
 # The same analyses on the stand-in views over the TPC-H-like test tables.
 STANDIN_PARAMS = Params(
     completed_order_status="F",
-    completed_po_status=4,
+    completed_po_status="F",
     vendor_product_min_qty=40,
     high_prefixes=("blue", "hot"),
     low_prefixes=("cold", "old"),
+    product_lines=("blue", "hot", "cold", "old"),
+    low_margin_pct=Decimal("12"),
+    margin_from=(1995, 2),
+    margin_to=(1997, 4),
+    territory_on="customer",
     as_of="2001-08-31",
 )

@@ -47,10 +47,13 @@ QUERIES: dict[str, Plan] = {
     "d7_margin_extremes": findings.d7_margin_extremes,
     "d8_first_positive": findings.d8_first_positive,
     "d9_segment_rollup": findings.d9_segment_rollup,
+    "d10_growth_run": findings.d10_growth_run,
+    "d11_low_margin_run": findings.d11_low_margin_run,
+    "d12_group_margin_range": findings.d12_group_margin_range,
+    "d13_line_profit_share": findings.d13_line_profit_share,
 }
 
 
-
 def _period() -> list[Column]:
     return [F.col("OrderYear").asc(), F.col("OrderQuarter").asc()]
 
@@ -61,8 +64,8 @@ ORDER: dict[str, Callable[[], list[Column]]] = {
     "q2_territory_rank": lambda: [F.col("RevenueRank").asc(), F.col("TerritoryName").asc()],
     "q4_top5_customers": lambda: [F.col("CustomerType").asc(), F.col("SalesRank").asc(), F.col("CustomerID").asc()],
     "q5_top10_profit": lambda: [F.col("TotalProfit").desc(), F.col("ProductID").asc()],
-    "q6a_vendor_reject": lambda: [purchasing.reject_ratio().desc(), F.col("VendorID").asc()],
-    "q6b_vendor_product_reject": lambda: [purchasing.reject_ratio().desc(), F.col("VendorID").asc(), F.col("ProductID").asc()],
+    "q6a_vendor_reject": lambda: [purchasing.reject_ratio().desc_nulls_last(), F.col("VendorID").asc()],
+    "q6b_vendor_product_reject": lambda: [purchasing.reject_ratio().desc_nulls_last(), F.col("VendorID").asc(), F.col("ProductID").asc()],
     "q7_high_revenue_loss": lambda: [F.col("Revenue").desc(), F.col("ProductID").asc()],
     "q8_line_margin_by_quarter": lambda: _period() + [F.col("ProductType").asc()],
     "scrap_reasons": lambda: [F.col("TotalScrappedQty").desc(), F.col("ScrapReasonID").asc()],
@@ -71,30 +74,11 @@ ORDER: dict[str, Callable[[], list[Column]]] = {
     "rfm_segments": lambda: [F.col("TotalRevenue").desc()],
     "d1_seasonal_dip": lambda: [F.col("OrderQuarter").asc()],
     "d5_loss_products_all": lambda: [F.col("Revenue").desc(), F.col("ProductID").asc()],
-    "d6_worst_product": lambda: [purchasing.reject_ratio().desc(), F.col("VendorID").asc()],
+    "d6_worst_product": lambda: [purchasing.reject_ratio().desc_nulls_last(), F.col("VendorID").asc()],
     "d8_first_positive": lambda: [F.col("ProductType").asc()],
     "d9_segment_rollup": lambda: [F.col("SegmentSet").asc()],
-}
-
-
-# Results whose size is fixed by the calendar, a channel/segment list, a
-# top-n per customer type or a small lookup table (territories, scrap
-# reasons), not by the data volume. They are sorted in one task instead of
-# through a range-partitioned sort.
-BOUNDED = {
-    "q1_quarterly_growth",
-    "q2_territory_rank",
-    "q3_channel_share",
-    "q4_top5_customers",
-    "q5_top10_profit",
-    "q8_line_margin_by_quarter",
-    "scrap_reasons",
-    "kpi1_quarterly_margin",
-    "kpi2_aov_by_channel",
-    "rfm_segments",
-    "d1_seasonal_dip",
-    "d8_first_positive",
-    "d9_segment_rollup",
+    "d12_group_margin_range": lambda: [F.col("ProductType").asc()],
+    "d13_line_profit_share": lambda: [F.col("TotalProfit").desc(), F.col("ProductLine").asc()],
 }
 
 
@@ -104,8 +88,6 @@ def run(name: str, t: Tables, p: Params, ordered: bool = True) -> DataFrame:
     order = ORDER.get(name)
     if not (ordered and order):
         return df
-    if name in BOUNDED:
-        return df.coalesce(1).sortWithinPartitions(*order())
     return df.orderBy(*order())
 
 

@@ -19,11 +19,15 @@ from ledgerlens.params import HIGH_PROFIT_LABEL, LOW_PROFIT_LABEL, OTHER_LABEL,
 from ledgerlens.sources.tables import Tables
 
 
+def stored_profit(t: Tables) -> DataFrame:
+    """The per-product table, for results that read it more than once: lines are
+    aggregated and joined to products once per bundle, then stored."""
+    return t.shared("product_profit", lambda: materialize(product_profit(t.sales_order_detail, t.product), "product_profit"))
+
+
 def profit_share(t: Tables) -> DataFrame:
     """Per product: TotalProfit and its % of all products' profit."""
-    prof = product_profit(t.sales_order_detail, t.product).select(
-        "ProductID", F.col("Name").alias("ProductName"), F.col("Profit").alias("TotalProfit")
-    )
+    prof = stored_profit(t).select("ProductID", F.col("Name").alias("ProductName"), F.col("Profit").alias("TotalProfit"))
     total = prof.agg(F.sum("TotalProfit").alias("AllProfit"))
     return with_totals(prof, total).withColumn("ProfitRatePct", pct("TotalProfit", "AllProfit", 20, 4))
 
@@ -36,8 +40,7 @@ def q5_top_profit(t: Tables, p: Params) -> DataFrame:
     )
 
 
-def _margins(t: Tables) -> DataFrame:
-    prof = product_profit(t.sales_order_detail, t.product)
+def _margins(prof: DataFrame) -> DataFrame:
     return prof.select(
         "ProductID",
         F.col("Name").alias("ProductName"),
@@ -52,10 +55,10 @@ def q7_high_revenue_loss(t: Tables, p: Params) -> DataFrame:
 
     ``Revenue > avg`` is tested as ``Revenue * n > sum`` — exact in decimal.
     The mean comes from a one-row aggregate of the same per-product table,
-    which is computed once (checkpointed): the mean needs only revenue, so
-    Spark would otherwise aggregate the order lines a second time.
+    which is stored: the mean needs only revenue, so Spark would otherwise
+    aggregate the order lines a second time.
     """
-    m = materialize(_margins(t), "product_margins")
+    m = _margins(stored_profit(t))
     stats = m.agg(F.sum("Revenue").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     return (
         with_totals(m, stats)
@@ -66,7 +69,7 @@ def q7_high_revenue_loss(t: Tables, p: Params) -> DataFrame:
 
 def d5_loss_products_all(t: Tables, p: Params) -> DataFrame:
     """Q7 without the above-average filter: every loss-making product."""
-    return _margins(t).filter(F.col("Profit") < 0)
+    return _margins(product_profit(t.sales_order_detail, t.product)).filter(F.col("Profit") < 0)
 
 
 def _quarterly(t: Tables, p: Params, with_type: bool) -> DataFrame:

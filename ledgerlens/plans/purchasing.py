@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.functions.measures import pct, sum_int
+from ledgerlens.functions.measures import pct, ratio, sum_int
 from ledgerlens.params import Params
 from ledgerlens.sources.tables import Tables
 
@@ -16,16 +15,17 @@ def _completed_lines(t: Tables, p: Params, keys: tuple[str, ...]) -> DataFrame:
 
     The status filter is pushed to the header scan; the header-detail join
     is the one fact-to-fact shuffle, and map-side partial aggregation by
-    vendor then leaves at most vendors x keys rows per task. (Summing lines
-    per order before the join would not shrink them: an order has only a
-    few lines.)
+    vendor then leaves at most vendors x keys rows per task.
+
+    An order's id may have a second column, ``PurchaseOrderPart``, in both
+    tables; they then join on both.
     """
-    completed = t.purchase_order_header.filter(F.col("Status") == F.lit(p.completed_po_status)).select(
-        "PurchaseOrderID", "VendorID"
-    )
-    lines = t.purchase_order_detail.select("PurchaseOrderID", *keys, "OrderQty", "RejectedQty")
+    header, detail = t.purchase_order_header, t.purchase_order_detail
+    order = [c for c in ("PurchaseOrderID", "PurchaseOrderPart") if c in header.columns and c in detail.columns]
+    completed = header.filter(F.col("Status") == F.lit(p.completed_po_status)).select(*order, "VendorID")
+    lines = detail.select(*order, *keys, "OrderQty", "RejectedQty")
     return (
-        lines.join(completed, "PurchaseOrderID")
+        lines.join(completed, order)
         .groupBy("VendorID", *keys)
         .agg(sum_int("OrderQty").alias("TotalOrder"), sum_int("RejectedQty").alias("TotalReject"))
     )
@@ -55,8 +55,8 @@ def q6b_vendor_product_reject(t: Tables, p: Params) -> DataFrame:
 
 
 def reject_ratio() -> Column:
-    """Unrounded reject ratio (the reference orders by it, highest first)."""
-    return F.col("TotalReject").cast(T.DoubleType()) / F.col("TotalOrder").cast(T.DoubleType())
+    """Unrounded reject ratio (the reference orders by it, highest first); NULL if nothing was ordered."""
+    return ratio("TotalReject", "TotalOrder")
 
 
 def scrap_reasons(t: Tables, p: Params) -> DataFrame:

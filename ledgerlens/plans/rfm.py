@@ -2,10 +2,11 @@
 
 The reference builds three customer aggregates, ranks each with a global
 ``PERCENT_RANK`` window and stitches them with two left joins. Here one
-``groupBy(CustomerID)`` yields all three measures, the table is written
-once to the checkpoint folder (the reference's session table), and the
-scores come from exact cut values (``operators.quantiles``): no window
-over all customers, no join back.
+``groupBy(CustomerID)`` yields all three measures, and the scores come from
+exact cut values (``operators.quantiles``): no window over all customers, no
+join back. The scored table is the reference's session table: written once
+as Parquet in the checkpoint folder, and read by every result of the same
+bundle of tables.
 """
 
 from __future__ import annotations
@@ -14,26 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.labels import segment_by_rules_sql
+from ledgerlens.functions.labels import rfm_code, segment_by_rules
 from ledgerlens.functions.measures import money_sum, pct
 from ledgerlens.operators.quantiles import percent_rank_tiers
 from ledgerlens.params import SEGMENT_DEFAULT, Params
 from ledgerlens.sources.sinks import materialize
 from ledgerlens.sources.tables import Tables
 
-RFM_COLUMNS = (
-    "CustomerID",
-    "TotalRev",
-    "Monetary",
-    "TotalOrder",
-    "Frequency",
-    "GapDay",
-    "Recency",
-    "RFM",
-    "Cus_Category",
-)
-
-
 def customer_measures(header: DataFrame, as_of: str) -> DataFrame:
     """Per customer: revenue, distinct orders, days from last order to ``as_of``."""
     return header.groupBy("CustomerID").agg(
@@ -59,13 +47,10 @@ def score(measures: DataFrame, p: Params) -> DataFrame:
             "Recency": ("GapDay", True),
         },
         p.tier_cuts,
+        p.tier_ranges,
     )
     known = {c: f"CASE WHEN CustomerID IS NOT NULL THEN {c} END" for c in ("TotalOrder", "Frequency", "GapDay", "Recency")}
-    code = (
-        f"concat_ws('', CAST({known['Recency']} AS STRING), CAST({known['Frequency']} AS STRING),"
-        " CAST(Monetary AS STRING))"
-    )
-    return scored.selectExpr(
+    known_scores = scored.selectExpr(
         "CustomerID",
         "TotalRev",
         "Monetary",
@@ -73,25 +58,24 @@ def score(measures: DataFrame, p: Params) -> DataFrame:
         f"{known['Frequency']} AS Frequency",
         f"{known['GapDay']} AS GapDay",
         f"{known['Recency']} AS Recency",
-        f"{code} AS RFM",
-        f"{segment_by_rules_sql(code, p.segment_rules, SEGMENT_DEFAULT)} AS Cus_Category",
     )
+    coded = known_scores.withColumn("RFM", rfm_code("Recency", "Frequency", "Monetary"))
+    return coded.withColumn("Cus_Category", segment_by_rules("RFM", p.segment_rules, SEGMENT_DEFAULT))
 
 
 def rfm(header: DataFrame, p: Params) -> DataFrame:
     """RFM table of the customers in ``header`` as of ``p.as_of``.
 
-    The customer measures are written once to the checkpoint folder (the
-    reference's session table): they are read by the cut computation and
-    by the scoring, and a lost executor does not send either back to the
-    order header.
+    The customer measures are stored first: the boundaries, the cuts and the
+    scoring read them, and a lost executor does not send any of these back
+    to the order header.
     """
-    base = materialize(customer_measures(header, p.as_of), "rfm_measures")
-    return score(base, p)
+    return score(materialize(customer_measures(header, p.as_of), "rfm_measures"), p)
 
 
 def rfm_customers(t: Tables, p: Params) -> DataFrame:
-    return rfm(t.sales_order_header, p)
+    """The scored table of this bundle, built on first use and stored."""
+    return t.shared(("rfm", p), lambda: materialize(rfm(t.sales_order_header, p), "rfm_customers"))
 
 
 def segment_summary(rfm: DataFrame) -> DataFrame:

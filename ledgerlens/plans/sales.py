@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions.labels import channel_by_flag, channel_by_sales_person
-from ledgerlens.functions.measures import money_sum, pct
-from ledgerlens.operators.checks import count_violations_by_key
+from ledgerlens.functions.measures import money_sum, pct, rate
+from ledgerlens.operators.checks import expect_no_rows
 from ledgerlens.operators.growth import period_growth, period_totals
 from ledgerlens.operators.ranking import ranked, top_n_per_group
 from ledgerlens.operators.share import share_of_total, with_totals
@@ -19,7 +18,7 @@ from ledgerlens.sources.tables import Tables
 
 def chk_offline_nonstore(t: Tables, p: Params) -> DataFrame:
     """Orders with a sales person whose customer has no store (expected 0)."""
-    return count_violations_by_key(
+    return expect_no_rows(
         t.sales_order_header,
         F.col("SalesPersonID").isNotNull(),
         t.customer,
@@ -32,7 +31,7 @@ def chk_offline_nonstore(t: Tables, p: Params) -> DataFrame:
 
 def chk_online_store(t: Tables, p: Params) -> DataFrame:
     """Orders without a sales person whose customer has a store (expected 0)."""
-    return count_violations_by_key(
+    return expect_no_rows(
         t.sales_order_header,
         F.col("SalesPersonID").isNull(),
         t.customer,
@@ -57,12 +56,14 @@ def q1_quarterly_growth(t: Tables, p: Params) -> DataFrame:
 def q2_territory_rank(t: Tables, p: Params) -> DataFrame:
     """Completed-order revenue per territory, ranked (RANK, gaps after ties).
 
-    When the header has no TerritoryID it is reached through the customer;
-    revenue is then summed per customer *before* that join, so the join
-    sees one row per customer, not one per order.
+    ``p.territory_on`` says where the territory is recorded. On the customer,
+    revenue is summed per customer *before* that join, so the join sees one
+    row per customer, not one per order.
     """
     h = t.sales_order_header.filter(F.col("Status") == F.lit(p.completed_order_status))
-    if "TerritoryID" in h.columns:
+    if p.territory_on not in ("header", "customer"):
+        raise ValueError(f"territory_on must be 'header' or 'customer', got {p.territory_on!r}")
+    if p.territory_on == "header":
         by_territory = h.groupBy("TerritoryID").agg(money_sum("SubTotal").alias("Revenue"))
     else:
         per_customer = h.groupBy("CustomerID").agg(money_sum("SubTotal").alias("Revenue"))
@@ -119,9 +120,7 @@ def kpi2_aov_by_channel(t: Tables, p: Params) -> DataFrame:
     per_flag = t.sales_order_header.groupBy("OnlineOrderFlag").agg(
         F.count_distinct("SalesOrderID").alias("TotalOrders"), money_sum("SubTotal").alias("TotalRevenue")
     )
-    aov = (
-        F.col("TotalRevenue").cast(T.DoubleType()) / F.nullif(F.col("TotalOrders").cast(T.DoubleType()), F.lit(0.0))
-    ).cast(T.DecimalType(10, 2))
+    aov = rate("TotalRevenue", "TotalOrders", 10, 2)
     return per_flag.select(
         channel_by_flag().alias("SalesChannel"), "TotalOrders", "TotalRevenue", aov.alias("AOV")
     )

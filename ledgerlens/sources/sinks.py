@@ -1,13 +1,12 @@
 """Materialising intermediate results (the reference's session table).
 
-A materialised result is written once under the cluster's shared
-checkpoint folder (``spark.checkpoint.dir``), which cuts the lineage: a lost
-executor no longer sends the work back to the raw tables.
+A materialised result is written once, as Parquet, under the shared folder
+that the session names in ``spark.checkpoint.dir``. This cuts the lineage: a
+lost executor no longer sends the work back to the raw tables.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,40 +15,24 @@ _CONF = "spark.checkpoint.dir"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The folder of ``spark.checkpoint.dir``.
 
-    Only a local-mode session that names none (tests) gets a private folder;
-    on a cluster a machine-local folder would not survive a lost executor,
-    so an unset ``spark.checkpoint.dir`` is an error there.
+    Where a session names none (tests, local runs) it is set to a folder in
+    the session's warehouse, which all executors share as well.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a Spark Connect session has no local context
-        sc = None
-    root = spark.conf.get(_CONF, None) or (sc.getCheckpointDir() if sc else None)
+    root = spark.conf.get(_CONF, None)
     if not root:
-        if sc is None or not sc.master.startswith("local"):
-            raise RuntimeError(f"set {_CONF} to a folder on shared storage (e.g. HDFS or an object store)")
-        root = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set(_CONF, root)
-    if sc is not None and not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, as_table: bool = False) -> DataFrame:
-    """Compute ``df`` once, store it in the checkpoint folder, return a scan of it.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once, store it as Parquet in the checkpoint folder, return a scan of it.
 
-    Default: a reliable, eager ``checkpoint()``. Writing it re-runs only the
-    last stage (earlier shuffle outputs are reused), and adaptive execution
-    can still merge small output partitions, which a cached plan would not
-    allow. ``as_table=True`` writes a Parquet table instead (readable by
-    other sessions and engines).
+    Columnar, so later readers prune columns and rows; the folder is the
+    session's to clean.
     """
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if as_table:
-        path = f"{root}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(df.sparkSession)}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,9 @@ check every result. Money is cast to decimal per row before any arithmetic.
 The header carries no ``TerritoryID``: in the stand-in it is the
 customer's nation, so it lives on ``customer`` and only the territory
 analysis pays for the order-to-customer join.
+
+A purchase order is an (order, supplier) pair: ``PurchaseOrderID`` and
+``PurchaseOrderPart``. The id is never part of a result.
 """
 
 from __future__ import annotations
@@ -22,32 +25,22 @@ from ledgerlens.schema import MONEY, UNIT_COST
 from ledgerlens.sources.tables import Tables
 
 # Fixed values of the stand-in mapping: order priorities handled by a sales
-# person, the number of sales persons, market segments that are stores,
-# return flag of rejected / scrapped lines, PO status codes, cost markup.
+# person, the number of sales persons, order keys (modulo) placed offline, market
+# segments that are stores, return flag of rejected / scrapped lines, cost markup.
 SALES_PERSON_PRIORITIES = ("1-URGENT", "2-HIGH")
 SALES_PERSONS = 17
+OFFLINE_EVERY = 5
 STORE_SEGMENTS = ("BUILDING", "MACHINERY")
 REJECT_FLAG = "R"
-PO_COMPLETE, PO_OPEN = 4, 1
 COST_MARKUP = Decimal("1.85")
 
 
 def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Stand-in views over ``{sf_dir}/{table}.parquet`` (memoised per session).
+    """Stand-in views over ``{sf_dir}/{table}.parquet``.
 
-    Only plan definitions are kept: nothing is read until a query runs.
+    Nothing is read until a query runs, and every bundle lists its files anew.
     """
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _MEMO:
-        _MEMO.clear()
-        _MEMO[key] = _build(spark, sf_dir.rstrip("/"))
-    return _MEMO[key]
-
-
-_MEMO: dict[tuple[int, str], Tables] = {}
-
-
-def _build(spark: SparkSession, root: str) -> Tables:
+    root = sf_dir.rstrip("/")
     raw: dict[str, DataFrame] = {}
 
     def read(name: str) -> DataFrame:
@@ -56,10 +49,7 @@ def _build(spark: SparkSession, root: str) -> Tables:
         return raw[name]
 
     qty = F.col("l_quantity").cast(T.IntegerType())
-    # A purchase order is an (order, supplier) pair. The oracle spells its id
-    # 'orderkey-suppkey'; here it is the pair itself, which joins and hashes
-    # without building a string per line. The id is never part of a result.
-    po_id = F.struct("l_orderkey", "l_suppkey")
+    po_id = (F.col("l_orderkey").alias("PurchaseOrderID"), F.col("l_suppkey").alias("PurchaseOrderPart"))
 
     def header() -> DataFrame:
         by_sales_person = F.col("o_orderpriority").isin(*SALES_PERSON_PRIORITIES)
@@ -68,7 +58,7 @@ def _build(spark: SparkSession, root: str) -> Tables:
             F.concat(F.lit("SO"), F.col("o_orderkey").cast(T.StringType())).alias("SalesOrderNumber"),
             F.col("o_custkey").alias("CustomerID"),
             F.when(by_sales_person, F.col("o_orderkey") % SALES_PERSONS).alias("SalesPersonID"),
-            F.when(by_sales_person, F.lit(0)).otherwise(F.lit(1)).alias("OnlineOrderFlag"),
+            F.when(F.col("o_orderkey") % OFFLINE_EVERY == 0, F.lit(0)).otherwise(F.lit(1)).alias("OnlineOrderFlag"),
             F.col("o_orderdate").alias("OrderDate"),
             F.col("o_orderstatus").alias("Status"),
             F.col("o_totalprice").cast(MONEY).alias("SubTotal"),
@@ -117,18 +107,12 @@ def _build(spark: SparkSession, root: str) -> Tables:
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select("l_orderkey", "l_suppkey", "o_orderstatus")
             .distinct()  # on the raw keys: the join's partitioning on l_orderkey serves it
-            .select(
-                po_id.alias("PurchaseOrderID"),
-                F.col("l_suppkey").alias("VendorID"),
-                F.when(F.col("o_orderstatus") == "F", F.lit(PO_COMPLETE))
-                .otherwise(F.lit(PO_OPEN))
-                .alias("Status"),
-            )
+            .select(*po_id, F.col("l_suppkey").alias("VendorID"), F.col("o_orderstatus").alias("Status"))
         )
 
     def po_detail() -> DataFrame:
         return read("lineitem").select(
-            po_id.alias("PurchaseOrderID"),
+            *po_id,
             F.col("l_partkey").alias("ProductID"),
             qty.alias("OrderQty"),
             F.when(F.col("l_returnflag") == REJECT_FLAG, qty).otherwise(F.lit(0)).alias("RejectedQty"),

@@ -42,6 +42,7 @@ class Tables:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._sources = dict(sources)
         self._frames: dict[str, DataFrame] = {}
+        self._shared: dict[object, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLE_NAMES:
@@ -53,6 +54,15 @@ class Tables:
             self._frames[name] = src if isinstance(src, DataFrame) else src()
         return self._frames[name]
 
+    def shared(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        """A materialised result that several analyses of this bundle read: built on first use.
+
+        It lives as long as the bundle does, so a new bundle sees new files.
+        """
+        if key not in self._shared:
+            self._shared[key] = build()
+        return self._shared[key]
+
     @staticmethod
     def names() -> tuple[str, ...]:
         return TABLE_NAMES

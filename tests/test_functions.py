@@ -6,7 +6,7 @@ from decimal import Decimal as D
 
 
 from ledgerlens.functions.labels import channel_by_flag, label_by_prefix, rfm_code
-from ledgerlens.functions.measures import pct
+from ledgerlens.functions.measures import pct, rate, ratio
 
 
 def test_pct_guards_and_rounding(spark):
@@ -16,6 +16,9 @@ def test_pct_guards_and_rounding(spark):
     ).collect()
     assert out[0]["null_guard"] == D("33.3333")
     assert out[1]["null_guard"] is None and out[1]["zero_guard"] == D("0.0000")
+    per_one = [r[0] for r in df.select(rate("n", "d", 10, 4)).collect()]
+    assert per_one == [D("0.3333"), None, D("0.0235"), D("-0.0235")]
+    assert [r[0] for r in df.select(ratio("n", "d")).collect()][1] is None
     assert out[2]["null_guard"] == D("2.3450") and out[3]["null_guard"] == D("-2.3450")
 
 

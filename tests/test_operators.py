@@ -8,15 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import (
-    assert_no_rows,
     expect_no_rows,
     period_growth,
     quartile_score,
     ranked,
-    share_of_grand_total,
     share_of_total,
     top_n,
     top_n_per_group,
+    with_totals,
 )
 
 
@@ -28,8 +27,10 @@ def sales(spark):
 
 def test_shares_agree(sales):
     a = {r["id"]: r["s"] for r in share_of_total(sales, "v", "s", 10, 4).collect()}
-    b = {r["id"]: r["s"] for r in share_of_grand_total(sales, "v", "s", 10, 4).collect()}
-    assert a == b and a[1] == D("9.0909") and a[5] == D("0.0000")
+    total = with_totals(sales, sales.agg(F.sum("v").alias("all")))
+    assert a[1] == D("9.0909") and a[5] == D("0.0000") and {r["all"] for r in total.collect()} == {D("110.0000")}
+    groups = with_totals(sales, sales.groupBy("g").agg(F.sum("v").alias("all")), ["g"])
+    assert {(r["g"], r["all"]) for r in groups.collect()} == {("a", D("70.0000")), ("b", D("40.0000"))}
     per = {r["id"]: r["s"] for r in share_of_total(sales, "v", "s", 10, 4, by=["g"]).collect()}
     assert per[1] == D("14.2857") and per[4] == D("100.0000")
 
@@ -54,10 +55,11 @@ def test_period_growth_guards_zero(spark):
 
 
 def test_integrity_helpers(sales):
-    assert expect_no_rows(sales, F.col("v") < 0, "id").first()["OrderCount"] == 0
-    assert_no_rows(sales, F.col("v") < 0)
-    with pytest.raises(AssertionError):
-        assert_no_rows(sales, F.col("v") == 0, "zero sales")
+    keys = sales.sparkSession.createDataFrame([("a", 1), ("b", None)], "g string, store int")
+    count = lambda rule, dim: expect_no_rows(sales, rule, keys, dim, "g", "id", "n").first()["n"]
+    assert count(F.col("v") < 0, F.col("store").isNull()) == 0
+    assert count(F.col("v") >= 0, F.col("store").isNull()) == 2
+    assert count(F.col("v") > 10, F.col("store").isNotNull()) == 2
 
 
 def test_quartile_score(sales):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
@@ -144,27 +144,47 @@ def test_invariant_under_repartition(spark):
         assert again == base
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_automatic_ranges(spark, monkeypatch, seed):
-    import ledgerlens.operators.quantiles as q
+def agree(spark, df, specs, ranges):
+    got = {r["id"]: tuple(r[k] for k in specs) for r in percent_rank_tiers(df, specs, ranges=ranges).collect()}
+    want = df.select("id", *[window_form(df, c, desc).alias(k) for k, (c, desc) in specs.items()]).collect()
+    assert got == {r["id"]: tuple(r[k] for k in specs) for r in want}
 
-    monkeypatch.setattr(q, "ROWS_PER_RANGE", 25)  # ~ n / 25 ranges per measure
-    rnd = random.Random(100 + seed)
-    data = [
-        (i, D(rnd.randint(0, 60)) / 4, rnd.randint(1, 9), None if rnd.random() < 0.05 else rnd.randint(0, 40))
-        for i in range(400)
-    ]
-    check(spark, data, None)
+
+@pytest.mark.parametrize("ranges", [None, 1, 4, 40])
+def test_double_measure(spark, ranges):
+    rnd = random.Random(5)
+    data = [(i, None if rnd.random() < 0.05 else rnd.randint(0, 30) * 0.1) for i in range(300)]
+    agree(spark, spark.createDataFrame(data, "id bigint, x double"), {"tx": ("x", False)}, ranges)
 
 
 @pytest.mark.parametrize("ranges", [None, 1, 4])
-def test_double_measure(spark, monkeypatch, ranges):
-    import ledgerlens.operators.quantiles as q
+def test_bigint_beside_a_double_keeps_its_digits(spark, ranges):
+    data = [(i, 2**60 + i, i * 0.5) for i in range(8)]
+    df = spark.createDataFrame(data, "id bigint, a bigint, b double")
+    agree(spark, df, {"A": ("a", False), "B": ("b", True)}, ranges)
+    got = [r["A"] for r in percent_rank_tiers(df, {"A": ("a", False), "B": ("b", False)}, ranges=ranges).orderBy("id").collect()]
+    assert got == [1, 1, 2, 2, 3, 3, 4, 4]
 
-    monkeypatch.setattr(q, "ROWS_PER_RANGE", 40)
-    rnd = random.Random(5)
-    data = [(i, None if rnd.random() < 0.05 else rnd.randint(0, 30) * 0.1) for i in range(300)]
-    df = spark.createDataFrame(data, "id bigint, x double")
-    got = {r["id"]: r["tx"] for r in percent_rank_tiers(df, {"tx": ("x", False)}, ranges=ranges).collect()}
-    want = {r["id"]: r["tx"] for r in df.select("id", window_form(df, "x", False).alias("tx")).collect()}
-    assert got == want
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_nan_infinity_and_heavy_ties(spark, ranges):
+    inf, nan = float("inf"), float("nan")
+    values = [nan, nan, inf, -inf, inf, None, 0.0, -0.0, 1.5, 1.5, 1.5, 1.5, 1.5, 1.5, 2.0, nan, -inf]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, x double")
+    agree(spark, df, {"t": ("x", False), "u": ("x", True)}, ranges)
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_dates_and_timestamps(spark, ranges):
+    rnd = random.Random(9)
+    data = [
+        (i, date(2020, 1, 1) + timedelta(days=rnd.randint(0, 20)), datetime(2020, 1, 1) + timedelta(seconds=rnd.randint(0, 50)))
+        for i in range(80)
+    ] + [(80, None, None)]
+    df = spark.createDataFrame(data, "id bigint, d date, s timestamp")
+    agree(spark, df, {"D": ("d", False), "S": ("s", True)}, ranges)
+
+
+def test_other_types_are_refused(spark):
+    with pytest.raises(TypeError, match="cannot rank a string"):
+        percent_rank_tiers(spark.createDataFrame([("a",)], "x string"), {"t": ("x", False)})

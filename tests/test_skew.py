@@ -43,22 +43,27 @@ def _canon(df):
     return sorted(tuple(repr(v) for v in r) for r in df.collect())
 
 
-def test_results_equal_under_skew_splitting(spark, skewed):
-    names = [n for n in QUERIES if not n.startswith("d")]
-    plain = {n: _canon(run(n, skewed, STANDIN_PARAMS)) for n in names}
+# The fact join that the hot key lands in, where one is left after pre-aggregation. All other
+# analyses reduce the hot customer or product to a row per task before any join.
+SPLIT = {"q8_line_margin_by_quarter", "kpi1_quarterly_margin"}
+NAMES = [n for n in QUERIES if not n.startswith("d")]
+
+
+@pytest.fixture(scope="module")
+def plain(skewed):
+    return {n: _canon(run(n, skewed, STANDIN_PARAMS)) for n in NAMES}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_result_equal_under_skew_splitting(spark, skewed, plain, name):
     old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
     try:
-        split_seen = False
-        for n in names:
-            df = run(n, skewed, STANDIN_PARAMS)
-            assert _canon(df) == plain[n], n
-            split_seen |= "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
-        assert split_seen, "no skewed join was split"
+        df = run(name, Tables(**{n: getattr(skewed, n) for n in Tables.names()}), STANDIN_PARAMS)
+        assert _canon(df) == plain[name]
+        split = "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        assert split or name not in SPLIT, "the skewed join was not split"
     finally:
         for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -65,7 +65,7 @@ def summary(plan: str) -> str:
     for op in OPS:
         c[op.rstrip(" [")] = final.count(op)
     parts = [f"{k} {v}" for k, v in c.items() if v]
-    pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", final)))
+    pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]\n]+)\], ReadSchema", final)))
     pushed = [p for p in pushed if p.replace("IsNotNull", "").strip(", ()a-z_A-Z") != ""] or pushed
     extra = [p for p in pushed if "IsNotNull" not in p or "," in p]
     return ", ".join(parts) + (f"; pushed: {'; '.join(extra)}" if extra else "")
