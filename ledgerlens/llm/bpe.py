@@ -1,8 +1,7 @@
 """Byte-pair encoding and decoding with a minimal acyclic transducer.
 
-1. One job counts the pre-tokens ("words") of all texts; the ``lexicon_size``
-   most frequent ones are the lexicon (an explicit size: it decides speed only,
-   never ids).
+1. One job counts the pre-tokens ("words") of all texts; the most frequent ones,
+   up to ``lexicon_size``, are the lexicon (it decides speed only, never ids).
 2. The driver compiles them into a minimal acyclic automaton whose edges carry
    outputs: equal suffixes share states, and the outputs on a word's path add
    up to its number, under which its token ids are listed. The tables go to the
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunks, fresh, map_texts, shared_folder
+from ledgerlens.llm.common import chunks, fresh, map_texts, shared_folder, store
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: What follows an apostrophe in a contraction.
@@ -204,6 +203,24 @@ def word_counts(docs: DataFrame, text_col: str, added: dict[bytes, int], longest
     return src.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counted: DataFrame, most: int) -> list[bytes]:
+    """The most frequent words, ``most`` at the utmost, sorted: all words from some count on.
+
+    That count is found from a histogram of counts (eight steps per doubling, so a few hundred rows),
+    so the driver gets no more than the lexicon however many tasks there are.
+    """
+    counted = store(counted, "word-counts")
+    step = F.floor(8 * F.log2(F.col("n").cast("double")))
+    found = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, total = None, 0
+    for r in sorted(found, key=lambda r: -r.step):
+        total += r.words
+        if total > most:
+            break
+        least = r.least
+    return [] if least is None else sorted(bytes(r.word) for r in counted.filter(F.col("n") >= least).select("word").collect())
+
+
 def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
@@ -275,7 +292,7 @@ def walk(lex: dict[str, np.ndarray], data: np.ndarray, begin: np.ndarray, end: n
     root, width = lex["root"].tolist()
     state = np.full(len(begin), root, np.int64)
     number = np.zeros(len(begin), np.int64)
-    on, at = np.arange(len(begin)), begin.copy()
+    on, at = np.flatnonzero(begin < end), begin.copy()
     table, letter = lex["table"], lex["letter"]
     while len(on):
         edge = table[state[on] * width + letter[data[at[on]]]]
@@ -328,8 +345,7 @@ def ragged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def build(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", lexicon_size: int = 65536, longest: int = 32) -> tuple[dict, str]:
     """The tokenizer's plain values and the name of the shipped lexicon of ``docs``."""
     tok = read_tokenizer(tokenizer_path)
-    counted = word_counts(docs, text_col, tok["added"], longest)
-    words = sorted(bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(lexicon_size).select("word").collect())
+    words = frequent_words(word_counts(docs, text_col, tok["added"], longest), lexicon_size)
     arrays = compile_lexicon(words)
     ids, at = ragged([merge_word(w, tok["first"], tok["merges"]) for w in words])
     arrays |= {"ids": ids.astype(np.int64), "ids_at": at}

@@ -21,8 +21,8 @@ differ by no more than ``distance`` bits either, so this is as exact). After
 two such rounds a key fixes over 40 bits.
 
 Texts of no words have fingerprint zero and link like any other. Null text:
-no words. A null id sorts below all others (it is given as component null
-only where its whole component has null ids). Repeated rows get the same result.
+no words. Null ids come after all others: a component is named null only if
+none of its documents has an id. Repeated rows get the same result.
 """
 
 from __future__ import annotations
@@ -253,31 +253,40 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=LINKS.names)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, run_limit: int) -> DataFrame:
+    """(id, row, fp, least): of each document, its id and text hash, fingerprint, and the first document of its component."""
+    text = F.col(f"`{text_col}`").cast("string")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    prints = store(fingerprints(src, ["id", "row"], "text", shingle), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row"))
+    classes = store(prints.groupBy("fp").agg(first.alias("least")), "classes")
+    groups = components(variant_links(classes, distance, run_limit))
+    placed = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = placed.groupBy("component").agg(F.min("least").alias("least"))
+    of = placed.select("fp", "component").join(least, "component").select("fp", "least")
+    return prints.join(of, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = 1 << 20
 ) -> DataFrame:
-    """Per document: id, fingerprint (16 hex digits), component (its smallest id) and the fingerprint's class size."""
-    prints = store(fingerprints(docs.select(id_col, text_col), [id_col], text_col, shingle), "fingerprints")
-    named = prints.select(F.col(id_col).alias("id"), F.col(prints.columns[-1]).alias("fp"))
-    classes = store(named.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
-    groups = components(variant_links(classes, distance, run_limit))
-    placed = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "component").select("fp", "component_id", F.col("n").alias("n_same"))
-    return named.join(of, "fp").select(
-        F.col("id").alias(id_col),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
-        "n_same",
+    """Per document: id, fingerprint (16 hex digits) and component_id (the smallest id of its component)."""
+    placed = _placed(docs, id_col, text_col, shingle, distance, run_limit)
+    return placed.select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = 1 << 20
+) -> DataFrame:
     """One document of each component, with all its columns: the one of the smallest id (of rows that
-    share that id, the one of the smallest text)."""
-    kept, n = fresh(docs.columns, "kept_id"), fresh(docs.columns, "row_number")
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(kept)).distinct()
-    rows = docs.join(first, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(text_col)
+    share it, that of the smallest text hash; of rows equal in both, any one)."""
+    placed = _placed(docs, id_col, text_col, shingle, distance, run_limit)
+    i, r, n = (fresh(docs.columns, x) for x in ("kept_id", "kept_row", "row_number"))
+    same = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("row") == F.col("least.row"))
+    first = placed.filter(same).select(F.col("id").alias(i), F.col("row").alias(r)).distinct()
+    row = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (row == F.col(r)), "left_semi")
+    one = Window.partitionBy(f"`{id_col}`", row).orderBy(F.lit(0))
     return rows.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).drop(n)

@@ -121,7 +121,7 @@ def templates(
         seen = branches.join(nodes, ["host", "template"])
         p = F.col("all_bad") / F.nullif(F.col("all_told"), F.lit(0))
         varies = (F.col("kids") >= fan_out) & (F.col("n") < rare_share * F.col("all_n"))
-        alike = (told >= min_labels) & (F.abs(F.col("bad") - told * p) <= z * F.sqrt(told * p * (1 - p)) + 0.5)
+        alike = (F.col("kids") > 1) & (told >= min_labels) & (F.abs(F.col("bad") - told * p) <= z * F.sqrt(told * p * (1 - p)) + 0.5)
         name = F.when(varies, "{*}").when(alike, "{=}").otherwise(F.col("part"))
         named = seen.select("host", "template", "part", name.alias("branch"))
         rows = (
