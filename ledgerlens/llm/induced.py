@@ -92,42 +92,53 @@ class Queues:
     def __init__(self, t, wanted, sa, lcp, edge, letters: int, step: int, cap: int) -> None:
         self.t, self.wanted, self.sa, self.lcp = t, wanted, sa, lcp
         self.next, self.step, self.cap = edge.copy(), step, cap
-        self.since = np.zeros(letters, np.int64)  # least common prefix since a letter's queue was last pushed onto
+        self.since = np.zeros(letters, np.int32)  # least common prefix since a letter's queue was last pushed onto
 
     def new_letter(self) -> None:
         self.since[:] = 0  # what was pushed under another letter shares nothing after its first
 
     def extract(self, batch: np.ndarray, shared: np.ndarray | None) -> None:
         """Push the predecessors of a batch; ``shared``: common prefix of each with the one extracted before it."""
-        if not len(batch):
-            return
         before = batch - 1
-        at = np.flatnonzero((batch > 0) & self.wanted[before])
-        before = before[at]
-        to = self.t[before]
-        order = np.argsort(to, kind="stable")
-        to, at, before = to[order].astype(np.int64), at[order], before[order]
-        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(to)))
-        letter = to[first]
-        nth = np.arange(len(to)) - np.repeat(first, size)
-        place = self.next[to] + self.step * nth
-        self.sa[place] = before
-        if shared is not None:
-            low = np.minimum.accumulate(shared)
-            got = np.empty(len(to), np.int64)
-            got[first] = np.minimum(self.since[letter], low[at[first]])
-            rest = np.ones(len(to), bool)
-            rest[first] = False
-            rest = np.flatnonzero(rest)
-            if len(rest):
-                got[rest] = RangeMinima(shared).least(at[rest - 1] + 1, at[rest])
-            self.lcp[place] = np.minimum(got + 1, self.cap)
-            self.since = np.minimum(self.since, low[-1])
-            high = np.minimum.accumulate(shared[::-1])[::-1]
-            last = at[first + size - 1] + 1
-            self.since[letter] = np.where(last < len(shared), high[np.minimum(last, len(shared) - 1)], self.cap)
-        self.next[letter] += self.step * size
+        at = np.flatnonzero(self.wanted[before] & (before >= 0))
+        if len(at):
+            before = before[at]
+            to = self.t[before]
+            order = np.argsort(to, kind="stable")
+            to, at, before = to[order], at[order], before[order]
+            first = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1])
+            size = np.diff(first, append=len(to))
+            letter = to[first]
+            place = np.repeat(self.next[letter] - self.step * first, size) + self.step * np.arange(len(to))
+            self.sa[place] = before
+            self.next[letter] += self.step * size
+        if shared is None or not len(batch):
+            return
+        low = np.minimum.accumulate(shared)
+        if not len(at):
+            np.minimum(self.since, low[-1], out=self.since)
+            return
+        got = self._between(shared, at, first, size)
+        got[first] = np.minimum(self.since[letter], low[at[first]])
+        self.lcp[place] = np.minimum(got + 1, self.cap)
+        np.minimum(self.since, low[-1], out=self.since)
+        high = np.minimum.accumulate(shared[::-1])[::-1]
+        last = at[first + size - 1] + 1
+        self.since[letter] = np.where(last < len(shared), high[np.minimum(last, len(shared) - 1)], self.cap)
+
+    @staticmethod
+    def _between(shared: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each pushed suffix, the least of ``shared`` since the one pushed before it onto its queue
+        (at the ``first`` of each queue: nothing useful)."""
+        after = np.empty(len(at), np.int64)
+        after[0] = 0
+        after[1:] = at[:-1] + 1
+        after[first] = at[first]
+        if int((at - after).sum()) > 24 * len(at):  # many letters: stretches overlap many times over
+            return RangeMinima(shared).least(after, at).astype(np.int64)
+        ends = np.empty(2 * len(at), np.int64)
+        ends[::2], ends[1::2] = after, at + 1
+        return np.minimum.reduceat(np.append(shared, 0), ends)[::2].astype(np.int64)
 
 
 def induce(t, small, lms, lms_shared, starts, larger, letters: int, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
@@ -137,11 +148,10 @@ def induce(t, small, lms, lms_shared, starts, larger, letters: int, cap: int, sc
     ``starts``: where each letter's suffixes begin; ``larger``: how many of them are larger than their successor.
     """
     n, carry = len(t), lms_shared is not None
-    sa = scratch.array(n, np.int64)
-    lcp = scratch.array(n, np.int64) if carry else None
+    sa = scratch.array(n, np.int32 if n < 1 << 31 else np.int64)
+    lcp = scratch.array(n, np.int32) if carry else None
     present = np.flatnonzero(np.diff(starts)).tolist()
-    lms_letter = t[lms]
-    lms_at = np.searchsorted(lms_letter, np.arange(letters + 1))
+    lms_at = np.searchsorted(t[lms], np.arange(letters + 1, dtype=np.int64))
 
     def seam(i: int, j: int) -> int:
         return int(common_prefix(t, np.array([i]), np.array([j]), np.array([1]), cap)[0])
@@ -216,6 +226,7 @@ def sort_suffixes(t: np.ndarray, cap: int, scratch: Scratch | None = None) -> tu
     """
     scratch = scratch or Scratch()
     n = len(t)
+    t = t.astype(np.uint16, copy=False)  # letters are bytes, or digits of names
     if n < 3:
         return np.arange(n)[::-1].copy(), np.zeros(n, np.int64)
     letters = int(t.max()) + 1

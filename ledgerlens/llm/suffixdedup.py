@@ -13,7 +13,9 @@ are dealt by content:
    that are equal as a whole, such as those of exact copies, are one class:
    classes of two or more are repeats throughout, and only one text of a class is
    looked at further. What is left are pieces of equal key and different texts.
-3. These are cut out of their documents, dealt by key, and sorted in shards of
+3. These are cut out of their documents and dealt by key. Stretches of windows
+   that no other piece of the key can share, or that others share as a whole, are
+   settled there (``narrowed``); the rest is sorted in shards of
    ``shard_bytes``: suffix arrays with common prefixes. A window whose
    common prefix with a neighbour reaches ``length`` is a repeat.
 
@@ -44,7 +46,8 @@ from ledgerlens.llm.common import as_bytes, fresh, map_texts, store
 from ledgerlens.llm.induced import Scratch, sort_suffixes
 
 LENGTH, GRAM = 400, 64
-SLICE = 1 << 20  # window starts that are hashed at a time
+STRETCH = 42
+SLICE = 1 << 19  # window starts that are hashed at a time
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -90,7 +93,8 @@ def sliding(a: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, ends: np.ndarray, grams: Grams, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, first window, windows, whether its least gram is in it twice) of all pieces of the texts that end at ``ends``."""
+    """(key, first window, windows, place of its least gram or -1 if that is in it twice) of all pieces of the texts
+    that end at ``ends``."""
     width = length - grams.gram + 1
     for at in range(0, max(0, len(data) - length + 1), SLICE):
         upto = min(at + SLICE, len(data) - length + 1)
@@ -109,12 +113,14 @@ def pieces(data: np.ndarray, ends: np.ndarray, grams: Grams, length: int) -> Ite
         around = sliding(np.concatenate([np.zeros(width - 1, np.uint64), shown, np.zeros(width - 1, np.uint64)]), width, False)
         place = np.flatnonzero(h == around)
         low, high = np.searchsorted(place, first), np.searchsorted(place, first + n + width - 1)
-        times, on, k = np.zeros(len(first), np.int64), np.arange(len(first)), 0
+        gram_at, on, k = np.full(len(first), -2), np.arange(len(first)), 0
         while len(on):
-            on = on[(low[on] + k < high[on]) & (times[on] < 2)]
-            times[on] += h[place[low[on] + k]] == key[first[on]]
+            on = on[(low[on] + k < high[on]) & (gram_at[on] != -1)]
+            here = place[low[on] + k]
+            hit = h[here] == key[first[on]]
+            gram_at[on[hit]] = np.where(gram_at[on[hit]] == -2, here[hit] + at, -1)
             k += 1
-        yield key[first], first + at, n, times > 1
+        yield key[first], first + at, n, gram_at
 
 
 def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +133,13 @@ PIECE = T.StructType(
         T.StructField("piece", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("n", T.LongType()),
-        T.StructField("twice", T.BooleanType()),
+        T.StructField("gram_at", T.LongType()),
     ]
 )
 
 
 def document_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, row, key, piece, start, n, twice) of all pieces of ``docs`` (id, row, text)."""
+    """(id, row, key, piece, start, n, gram_at) of all pieces of ``docs`` (id, row, text)."""
 
     def make():
         grams = Grams(gram)
@@ -143,20 +149,21 @@ def document_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
             raw = memoryview(data)
             starts = np.concatenate([[0], ends])
             got = list(pieces(data, ends, grams, length))
-            key, first, n, twice = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate((np.uint64, np.int64, np.int64, bool)))
+            key, first, n, gram_at = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate((np.uint64, *[np.int64] * 3)))
             digest = np.fromiter(
                 (xxhash.xxh3_64_intdigest(raw[a : a + m + length - 1]) for a, m in zip(first.tolist(), n.tolist(), strict=True)), np.uint64, len(n)
             )
             owner = np.searchsorted(ends, first, "right")
             offsets = np.searchsorted(owner, np.arange(len(ends) + 1))
+            gram_at = np.where(gram_at < 0, -1, gram_at - starts[owner])
             rows = pa.StructArray.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(first - starts[owner]), pa.array(n), pa.array(twice)], PIECE.names
+                [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(first - starts[owner]), pa.array(n), pa.array(gram_at)], PIECE.names
             )
             return [pa.ListArray.from_arrays(offsets.astype(np.int32), rows)]
 
         return fn
 
-    made = map_texts(docs, ["id", "row"], "text", T.StructType([T.StructField("pieces", T.ArrayType(PIECE))]), make, 2 << 20)
+    made = map_texts(docs, ["id", "row"], "text", T.StructType([T.StructField("pieces", T.ArrayType(PIECE))]), make, 1 << 20)
     return made.select("id", "row", F.inline("pieces"))
 
 
@@ -167,7 +174,7 @@ def repeated_windows(texts: list[bytes], length: int, scratch: Scratch) -> list[
     """Of each text, the starts of the ``length``-byte strings that also start elsewhere in these texts."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     line = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    t = scratch.array(len(line) + 1, np.int64)
+    t = scratch.array(len(line) + 1, np.uint16)
     t[:-1] = line
     t[:-1] += 2
     ends = np.cumsum(size + 1)
@@ -192,47 +199,92 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(b - a)) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, shard_bytes: int, memory: int) -> DataFrame:
-    """(id, row, start, n): repeated runs of windows of the pieces (key, many, id, row, start, bytes)."""
-    dealt = cut.select("key", "many", "id", "row", "start", "bytes").repartition("key").sortWithinPartitions("key")
+def narrowed(group: list[tuple], length: int, gram: int) -> tuple[list[tuple], list[tuple]]:
+    """What of one key's pieces (many, id, row, start, gram_at, bytes) is still to be sorted, in the same form
+    without ``gram_at``, and what is known to be repeated: (id, row, start, n).
+
+    Where the least gram is in each piece once, equal windows have it at the same place. Windows are taken by
+    stretches of that place: all windows of a stretch hold the bytes around the gram that they share, so a
+    stretch whose shared bytes no other piece has holds no repeat; stretches that are equal as a whole are repeats.
+    """
+    if len(group) < 2 or any(g[4] < 0 for g in group):
+        return [(*g[:4], g[5]) for g in group], []
+    meet: dict[tuple[int, bytes], dict[tuple[int, int, bytes], list[tuple]]] = {}
+    for g in group:
+        _, _, _, start, gram_at, text = g
+        a = gram_at - start
+        first, last = a - (len(text) - length), a  # places of the gram in its windows
+        for low in range(first - first % STRETCH, last + 1, STRETCH):
+            high = min(low + STRETCH - 1, length - gram)
+            x, y = max(low, first), min(high, last)
+            whole = text[a - y : a - x + length]
+            meet.setdefault((low, text[a - low : a + length - high]), {}).setdefault((x, y, whole), []).append((g, start + a - y))
+    sort, known = [], []
+    for kinds in meet.values():
+        alone = len(kinds) == 1
+        for (x, y, whole), members in kinds.items():
+            several = len(members) > 1 or members[0][0][0]
+            if several:
+                known += [(g[1], g[2], at, y - x + 1) for g, at in members if not g[0]]
+            if not alone:
+                g, at = members[0]
+                sort.append((several, g[1], g[2], at, whole))
+    return sort, known
+
+
+def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, shard_bytes: int, memory: int) -> DataFrame:
+    """(id, row, start, n): repeated runs of windows of the pieces (key, many, id, row, start, gram_at, bytes)."""
+    dealt = cut.select("key", "many", "id", "row", "start", "gram_at", "bytes").repartition("key").sortWithinPartitions("key")
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("row", "start", "n"))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = Scratch(memory)
-        held: list[tuple] = []
+        held: list[tuple] = []  # of the shard
+        group: list[tuple] = []  # of the last key
         size, key = 0, None
 
-        def close() -> pa.RecordBatch:
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        def sort() -> pa.RecordBatch:
             out = []
-            for (_, many, i, row, start, _), found in zip(held, repeated_windows([r[-1] for r in held], length, scratch), strict=True):
+            for (many, i, row, start, _), found in zip(held, repeated_windows([r[-1] for r in held], length, scratch), strict=True):
                 if not many:  # a class of several is known to be repeated throughout
                     out += [(i, row, start + a, n) for a, n in runs(found)]
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            return rows(out)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != key:
+                if row[0] != key and group:
+                    left, known = narrowed(group, length, gram)
+                    if known:
+                        yield rows(known)
+                    held += left
+                    size += sum(len(r[-1]) for r in left)
+                    group = []
                     if size >= shard_bytes:
-                        yield close()
+                        yield sort()
                         held, size = [], 0
-                    key = row[0]
-                held.append(row)
-                size += len(row[-1])
+                key = row[0]
+                group.append(row[1:])
+        left, known = narrowed(group, length, gram)
+        held += left
+        yield rows(known)
         if held:
-            yield close()
+            yield sort()
 
     return dealt.mapInArrow(run, schema)
 
 
-CUT = T.StructType([T.StructField("start", T.LongType()), T.StructField("window", T.LongType()), T.StructField("bytes", T.BinaryType())])
+CUT = T.StructType([*(T.StructField(c, T.LongType()) for c in ("start", "gram_at", "window")), T.StructField("bytes", T.BinaryType())])
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, row, key, many, start, window, bytes) of the wanted pieces (id, row, key, start, n, many, hot):
+    """(id, row, key, many, start, gram_at, window, bytes) of the wanted pieces (id, row, key, start, n, gram_at, many, hot):
     their bytes, or for those of hot keys a row per window with its hash."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("key", "start", "n", "many", "hot")).alias("pieces"))
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("key", "start", "n", "gram_at", "many", "hot")).alias("pieces"))
     joined = docs.join(lists, docs["id"].eqNullSafe(lists["id"]) & (docs["row"] == lists["row"])).select(docs["id"], docs["row"], "pieces", "text")
     # Repeated rows are one text: a piece is cut out once.
     out = T.StructType([joined.schema["id"], T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType()), *CUT.fields])
@@ -246,9 +298,9 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for p in want:
                     a, n = p["start"], p["n"]
                     if p["hot"]:
-                        rows += [(i, row, p["key"], p["many"], s, _signed(xxhash.xxh3_64_intdigest(raw[s : s + length])), None) for s in range(a, a + n)]
+                        rows += [(i, row, p["key"], p["many"], s, None, _signed(xxhash.xxh3_64_intdigest(raw[s : s + length])), None) for s in range(a, a + n)]
                     else:
-                        rows.append((i, row, p["key"], p["many"], a, None, bytes(raw[a : a + n + length - 1])))
+                        rows.append((i, row, p["key"], p["many"], a, p["gram_at"], None, bytes(raw[a : a + n + length - 1])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -266,21 +318,21 @@ def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int,
     """(id, row, start, n): runs of repeated windows of ``docs`` (id, row, text); runs may touch."""
     found = store(document_pieces(docs, length, gram), "pieces")
     # Repeated rows come as equal pieces of one (id, row): counted each, looked at once.
-    keys = found.groupBy("key").agg(F.count("*").alias("all"), F.min("piece").alias("least"), F.max("piece").alias("most"), F.max("twice").alias("inner"))
-    keys = keys.filter((F.col("all") > 1) | F.col("inner")).select("key", (F.col("least") == F.col("most")).alias("alike"), "all")
+    keys = found.groupBy("key").agg(F.count("*").alias("all"), F.min("piece").alias("least"), F.max("piece").alias("most"), F.min("gram_at").alias("gram_at"))
+    keys = keys.filter((F.col("all") > 1) | (F.col("gram_at") < 0)).select("key", (F.col("least") == F.col("most")).alias("alike"), "all")
     open_ = store(found.join(keys, "key"), "open-pieces")
     same = open_.filter("alike and all > 1").select("id", "row", "start", "n")
     mixed = open_.filter("not alike or all = 1")
     classes = store(
-        mixed.groupBy("key", "piece").agg(F.count("*").alias("members"), F.min(F.struct("id", "row", "start", "n")).alias("one"), F.max("twice").alias("twice")),
+        mixed.groupBy("key", "piece").agg(F.count("*").alias("members"), F.min(F.struct("id", "row", "start", "n", "gram_at")).alias("one")),
         "piece-classes",
     )
     many = classes.filter("members > 1").select("key", "piece")
     copies = mixed.join(many, ["key", "piece"]).select("id", "row", "start", "n")
     wide = classes.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot_pieces).select("key", F.lit(True).alias("hot"))
-    wanted = classes.join(wide, "key", "left").select("key", "one.id", "one.row", "one.start", "one.n", (F.col("members") > 1).alias("many"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = classes.join(wide, "key", "left").select("key", "one.id", "one.row", "one.start", "one.n", "one.gram_at", (F.col("members") > 1).alias("many"), F.coalesce("hot", F.lit(False)).alias("hot"))
     cut = store(cut_out(docs, wanted, length), "cut-pieces")
-    sorted_ = sorted_shards(cut.filter("bytes is not null"), docs.schema["id"].dataType, length, shard_bytes, memory)
+    sorted_ = sorted_shards(cut.filter("bytes is not null"), docs.schema["id"].dataType, length, gram, shard_bytes, memory)
     windows = cut.filter("window is not null")
     counted = windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("many").alias("any")).filter("c > 1 or any").select("key", "window")
     single = windows.filter("not many").join(counted, ["key", "window"]).select("id", "row", "start", F.lit(1).cast("bigint").alias("n"))
@@ -315,7 +367,7 @@ def _with_runs(docs: DataFrame, keep: list[str], id_col: str, text_col: str, opt
     return docs.select(*[F.col(f"`{x}`") for x in keep]).join(lists, same, "left").drop(i, r), c
 
 
-DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 4 << 20, "hot_pieces": 20_000, "memory": 128 << 20}
+DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 20_000, "memory": 128 << 20}
 
 
 def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

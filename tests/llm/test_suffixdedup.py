@@ -44,6 +44,25 @@ def test_equals_brute_force(spark, options, n, gram):
     assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, n)
 
 
+@pytest.mark.parametrize("stretch", [1, 3])
+def test_narrowing_changes_nothing(spark, monkeypatch, stretch):
+    monkeypatch.setattr(s, "STRETCH", stretch)  # shipped with the job, as all of the package is
+    rows = list(enumerate(texts(31)))
+    got = by_id(s.substring_report(documents(spark, rows), length=16, gram=5))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 16)
+
+
+def test_narrowed_pieces():
+    piece = lambda i, text, at, many=False: (many, i, 0, 0, at, text)
+    a, b = b"xxxxGRAMaaaa", b"yyyyGRAMaaaa"
+    sort, known = s.narrowed([piece(1, a, 4), piece(2, b, 4)], 8, 4)
+    # The windows that share "GRAM" alone are one stretch: its texts differ, so both are sorted.
+    assert sorted(sort) == [(False, 1, 0, 0, a), (False, 2, 0, 0, b)] and known == []
+    sort, known = s.narrowed([piece(1, b"GRAMaaaa", 0), piece(2, b"GRAMaaaa", 0), piece(3, b"GRAMbbbb", 0, True)], 8, 4)
+    assert known == [(1, 0, 0, 1), (2, 0, 0, 1)]
+    assert s.narrowed([piece(1, a, -1), piece(2, b, 4)], 8, 4) == ([(False, 1, 0, 0, a), (False, 2, 0, 0, b)], [])
+
+
 def test_slices_of_a_long_text_change_nothing(monkeypatch):
     rnd = random.Random(2)
     data = np.frombuffer("".join(rnd.choice("ab") for _ in range(900)).encode() + b"c" * 100, np.uint8)
@@ -51,9 +70,9 @@ def test_slices_of_a_long_text_change_nothing(monkeypatch):
 
     def windows():
         return {
-            (int(k), int(a) + i): bool(t)
-            for key, first, n, twice in s.pieces(data, ends, s.Grams(5), 20)
-            for k, a, m, t in zip(key, first, n, twice, strict=True)
+            (int(k), int(a) + i): int(t)
+            for key, first, n, gram_at in s.pieces(data, ends, s.Grams(5), 20)
+            for k, a, m, t in zip(key, first, n, gram_at, strict=True)
             for i in range(m)
         }
 
