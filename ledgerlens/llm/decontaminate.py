@@ -234,7 +234,7 @@ def report(
     item_text: str = "text",
     window: int = 13,
     shard_bytes: int = 16 << 20,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``keep`` columns of each document and one struct column ``found``
     (n_words, hits: runs of hit words, items: ids found, matches: longest
