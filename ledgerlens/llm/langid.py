@@ -10,14 +10,21 @@ For every text the languages (and ``und``, no known language) are weighed by
   its suffix, that towards all rows (grouped counts of text-only decisions,
   each level counting as ``weight`` rows of the level above).
 
-Languages are the declared values that at least ``min_share`` of the declaring rows
-carry, so there are at most 1 / min_share of them; that bounds all tables
-that reach the driver or are broadcast (trigram tables, counts per language).
+Common languages are the declared values that at least ``min_share`` of the declaring
+rows carry, so there are at most 1 / min_share of them; that bounds all tables
+that are broadcast (trigram tables, counts per language). Every other value that at
+least ``min_rows`` rows carry is a rare language: its trigrams are counted in a
+distributed table, and its model is one row of a file that tasks map, so memory
+does not grow with their number (the driver holds their names and one block of models).
+The rare languages are one class of the host prior and of the declared evidence;
+within it each weighs by its rows, and a text is scored under every one of them.
 Host tables stay distributed and are joined, never collected.
 
-A text is kept if a known language is likelier than ``und``. Texts without
-letters (null, empty, digits only) cannot be told and are not kept. With no
-declared language anywhere nothing is known: no language is given and
+A text is kept if a known language is likelier than ``und``. A declared value with
+fewer rows than ``min_rows`` has no model: where its text is likelier under no other language,
+the declaration is all that is known, so it is the language given and the text is kept.
+Texts without letters (null, empty, digits only) cannot be told and are not kept. With no
+modelled language nothing is known: no language is given and
 everything is kept. Null host: the empty host. Null declared language: no
 evidence. Repeated rows get the same result.
 """
@@ -25,20 +32,25 @@ evidence. Repeated rows get the same result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.llm.common import as_bytes, chunks, fresh, map_texts, store
+from ledgerlens.llm.common import as_bytes, chunks, fresh, shared_folder, store
 
 BUCKETS = 1 << 16
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 #: A byte lies in three trigrams, so each trigram counts a third.
 TEMPER = 1 / 3
+#: Rare languages whose models the driver builds at a time.
+BLOCK = 64
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +78,13 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"://([^/?#:]*)", 1))
 
 
-def languages(docs: DataFrame, declared_col: str, min_share: float) -> list[str]:
+def languages(docs: DataFrame, declared_col: str, min_share: float, min_rows: int) -> tuple[list[str], list[tuple[str, int]]]:
+    """The common languages, and the rare ones with their rows."""
     rows = docs.filter(F.col(declared_col).isNotNull()).groupBy(F.col(declared_col).cast("string").alias("d")).agg(F.count("*").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    return sorted(r.d for r in rows.filter(F.col("n") >= max(1, math.ceil(min_share * total))).collect())
+    often = max(1, math.ceil(min_share * total))
+    found = rows.filter(F.col("n") >= min(often, min_rows)).collect()
+    return sorted(r.d for r in found if r.n >= often), sorted((r.d, r.n) for r in found if r.n < often)
 
 
 def trigram_tables(docs: DataFrame, text_col: str, declared_col: str, known: list[str], smoothing: float = 0.5) -> np.ndarray:
@@ -94,28 +109,91 @@ def trigram_tables(docs: DataFrame, text_col: str, declared_col: str, known: lis
     return np.concatenate([tables, np.full((1, BUCKETS), -math.log(BUCKETS))])
 
 
-def text_scores(docs: DataFrame, keep: list[str], text_col: str, tables: np.ndarray) -> DataFrame:
-    """``keep`` columns, ``n_letters``, and ``scores``: the tempered log-likelihood per language."""
+def numbered(spark: SparkSession, rare: list[tuple[str, int]]) -> DataFrame:
+    """(rare_name, number) of the rare languages."""
+    return spark.createDataFrame([(d, i) for i, (d, _) in enumerate(rare)], "rare_name string, number int")
+
+
+def rare_models(src: DataFrame, rare: list[tuple[str, int]], smoothing: float = 0.5) -> str:
+    """A file that every executor fetches: log P(bucket | language) of each rare language, a row each; its name.
+
+    ``src``: text, own (number of the rare language declared).
+    """
+    spark = src.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 0, 4 << 20):
+            key, n = trigrams(as_bytes(b.column(0)))
+            cell, times = np.unique(np.repeat(b.column(1).to_numpy(), n) * BUCKETS + key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell // BUCKETS), pa.array(cell % BUCKETS), pa.array(times)], names=["number", "bucket", "n"])
+
+    cells = src.filter("own is not null").select("text", F.col("own").cast("bigint")).mapInArrow(run, "number bigint, bucket bigint, n bigint")
+    cells = store(cells.groupBy("number", "bucket").agg(F.sum("n").alias("n")), "rare-trigrams")
+    name = f"rare-languages-{uuid.uuid4().hex}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    for at in range(0, len(rare), BLOCK):
+        size = min(BLOCK, len(rare) - at)
+        part = cells.filter(F.col("number").between(at, at + size - 1)).toPandas()
+        counts = np.full((size, BUCKETS), smoothing)
+        counts[part["number"].to_numpy() - at, part["bucket"].to_numpy()] += part["n"].to_numpy()
+        for row in counts:
+            out.write(bytearray(np.log(row / row.sum()).astype(np.float32).tobytes()))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
+def text_scores(docs: DataFrame, keep: list[str], text_col: str, tables: np.ndarray, rare: list[tuple[str, int]], models: str | None) -> DataFrame:
+    """``keep`` columns (``own`` is one), ``n_letters``, and ``scores``: the tempered log-likelihood per class.
+
+    With rare languages their class is the one before ``und``: its score is that of its likeliest language, the
+    language's share of the class included; ``rare`` is that language, ``own_score`` the score of the one declared.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tables.astype(np.float32))
+    rows_of = np.array([n for _, n in rare], float)
+    weights = docs.sparkSession.sparkContext.broadcast(np.log(rows_of / rows_of.sum()) if rare else None)
+    src = docs.select(F.col(text_col).cast("string").alias("text_in"), *keep)
+    at_own = 1 + keep.index("own")
+    fields = [T.StructField("n_letters", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))]
+    fields += [T.StructField("rare", T.IntegerType()), T.StructField("own_score", T.DoubleType())]
+    schema = T.StructType([*(src.schema[c] for c in keep), *fields])
+    arrow = to_arrow_schema(schema)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.ascontiguousarray(shared.value)
-
-        def fn(texts: pa.Array) -> list:
-            key, n = trigrams(as_bytes(texts))
-            out = np.zeros((len(n), len(rows)))
+        share = weights.value
+        mapped = None if models is None else np.memmap(SparkFiles.get(models), np.float32, "r").reshape(-1, BUCKETS)
+        width = len(rows) + (mapped is not None)
+        for b in chunks(batches, 0, 4 << 20):
+            key, n = trigrams(as_bytes(b.column(0)))
+            out = np.zeros((len(n), width))
             some = np.flatnonzero(n)
             starts = (np.cumsum(n) - n)[some]
-            if len(some):
-                for i, row in enumerate(rows):
-                    out[some, i] = np.add.reduceat(row[key].astype(np.float64), starts) * TEMPER
-            width = len(rows)
-            return [pa.array(n), pa.ListArray.from_arrays(np.arange(0, len(n) * width + 1, width, dtype=np.int32), pa.array(out.ravel()))]
+            best, own_score = np.zeros(len(n), np.int32), np.zeros(len(n))
+            own = b.column(at_own).fill_null(-1).to_numpy(zero_copy_only=False)
 
-        return fn
+            def likelihood(row: np.ndarray, key=key, starts=starts) -> np.ndarray:
+                return np.add.reduceat(row[key].astype(np.float64), starts) * TEMPER
 
-    fields = [T.StructField("n_letters", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))]
-    return map_texts(docs, keep, text_col, T.StructType(fields), make, 4 << 20)
+            if len(some):
+                for i, row in enumerate(rows[:-1]):
+                    out[some, i] = likelihood(row)
+                out[some, -1] = likelihood(rows[-1])
+                if mapped is not None:
+                    top = np.full(len(some), -np.inf)
+                    for j, row in enumerate(mapped):
+                        got = likelihood(row) + share[j]
+                        better = got > top
+                        top[better], best[some[better]] = got[better], j
+                        mine = own[some] == j
+                        own_score[some[mine]] = got[mine]
+                    out[some, -2] = top
+            scores = pa.ListArray.from_arrays(np.arange(0, len(n) * width + 1, width, dtype=np.int32), pa.array(out.ravel()))
+            cols = [*(b.column(1 + i) for i in range(len(keep))), pa.array(n), scores, pa.array(best), pa.array(own_score, mask=own < 0)]
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return src.mapInArrow(run, schema)
 
 
 def _best(a: str) -> Column:
@@ -147,14 +225,20 @@ def host_priors(decided: DataFrame, classes: int, weight: float) -> DataFrame:
     return hosts.join(domains, ["domain", "suffix"]).select("host", _smooth("n", "p", weight).alias("prior"))
 
 
-def declared_given_language(decided: DataFrame, known: list[str], smoothing: float = 1.0) -> dict[str, list[float]]:
-    """For each known declared language, P(declared | class) by class."""
-    seen = decided.filter(F.col("declared").isin(known)).groupBy("declared", "best").agg(F.count("*").alias("n")).collect()
-    n = np.full((len(known), len(known) + 1), smoothing)
-    for r in seen:
-        n[known.index(r.declared), r.best] += r.n
-    share = n / n.sum(0, keepdims=True)
-    return {d: share[i].tolist() for i, d in enumerate(known)}
+def declared_given_language(decided: DataFrame, known: list[str], rare: int, smoothing: float = 1.0) -> tuple[np.ndarray, float]:
+    """P(declared | class): a row per common language and, with rare languages, one for them; and the share of texts in a
+    rare language declaring a rare one that declare that very one."""
+    same = (F.col("best") == len(known)) & (F.col("rare") == F.col("own"))
+    place = F.when(F.col("own").isNull(), F.col("declared"))
+    seen = decided.filter(F.col("declared").isin(known) | F.col("own").isNotNull()).groupBy(place.alias("d"), "best", F.coalesce(same, F.lit(False)).alias("same"))
+    pool = 1 if rare else 0
+    n = np.full((len(known) + pool, len(known) + pool + 1), smoothing)
+    hit = all_ = 0
+    for r in seen.agg(F.count("*").alias("n")).collect():
+        n[len(known) if r.d is None else known.index(r.d), r.best] += r.n
+        if r.d is None and r.best == len(known):
+            hit, all_ = hit + r.same * r.n, all_ + r.n
+    return n / n.sum(0, keepdims=True), (hit + smoothing) / (all_ + 2 * smoothing)
 
 
 def identify(
@@ -165,6 +249,7 @@ def identify(
     declared_col: str = "lang",
     host: Column | None = None,
     min_share: float = 0.001,
+    min_rows: int = 20,
     weight: float = 20.0,
 ) -> DataFrame:
     """``keep`` columns, ``language`` (null: und), ``posterior`` of the likeliest class, and ``kept``.
@@ -172,35 +257,58 @@ def identify(
     ``host``: the address' host (default: the column ``source``).
     """
     host = F.col("source") if host is None else host
+    spark = docs.sparkSession
     d, h = fresh(docs.columns, "declared_in"), fresh(docs.columns, "host_in")
     src = docs.withColumns({d: F.col(declared_col).cast("string"), h: F.coalesce(F.lower(host.cast("string")), F.lit(""))})
-    known = languages(docs, declared_col, min_share)
-    if not known:
+    known, rare = languages(docs, declared_col, min_share, min_rows)
+    if not known and not rare:
         return docs.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
     tables = trigram_tables(docs, text_col, declared_col, known)
-    classes = len(known) + 1
+    pool = len(known)  # the class of the rare languages, if there are any
+    classes = len(known) + (1 if rare else 0) + 1
     own = {c: f"k{i}" for i, c in enumerate(keep)}
     src = src.select(F.col(text_col).alias("text"), F.col(d).alias("declared"), F.col(h).alias("host"), *[F.col(f"`{c}`").alias(k) for c, k in own.items()])
-    scored = store(text_scores(src, ["declared", "host", *own.values()], "text", tables), "language-scores")
+    models = None
+    if rare:
+        names = numbered(spark, rare)
+        src = src.join(F.broadcast(names.select(F.col("rare_name").alias("declared"), F.col("number").alias("own"))), "declared", "left")
+        models = rare_models(src, rare)
+    else:
+        src = src.withColumn("own", F.lit(None).cast("int"))
+    scored = store(text_scores(src, ["declared", "own", "host", *own.values()], "text", tables, rare, models), "language-scores")
     scored = scored.withColumn("best", _best("scores"))
     decided = scored.filter("n_letters > 0")
-    declared = declared_given_language(decided, known)
+    share, same = declared_given_language(decided, known, len(rare))
     even = F.array_repeat(F.lit(0.0), classes)
-    tie = F.create_map(*[x for k, p in declared.items() for x in (F.lit(k), F.array(*[F.lit(math.log(v)) for v in p]))])
+    evidence = even
+    if known:
+        tie = F.create_map(*[x for i, k in enumerate(known) for x in (F.lit(k), F.array(*[F.lit(math.log(v)) for v in share[i]]))])
+        evidence = F.coalesce(F.element_at(tie, F.col("declared")), even)
+    if rare:  # one of the rare languages is declared: the others of them share what is not that very one
+        each = share[pool] / len(rare)
+        each[pool] = share[pool][pool] * (1 - same) / max(1, len(rare) - 1)
+        evidence = F.when(F.col("own").isNull(), evidence).otherwise(F.array(*[F.lit(math.log(v)) for v in each]))
     priors = host_priors(decided, classes, weight)
     joined = scored.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", F.array_repeat(F.lit(1.0 / classes), classes)))
-    evidence = F.coalesce(F.element_at(tie, F.col("declared")), even)
-    joined = joined.withColumn("prior", F.transform("prior", F.ln)).withColumn("declared", evidence)
-    joined = joined.withColumn("log", F.zip_with(F.zip_with("scores", "prior", lambda a, b: a + b), "declared", lambda a, b: a + b))
+    joined = joined.withColumn("prior", F.transform("prior", F.ln)).withColumn("evidence", evidence)
+    joined = joined.withColumn("log", F.zip_with(F.zip_with("scores", "prior", lambda a, b: a + b), "evidence", lambda a, b: a + b))
+    if rare:
+        mine = F.col("own_score") + F.get("prior", F.lit(pool)) + math.log(share[pool][pool] * same)
+        take = F.coalesce((F.col("rare") == F.col("own")) | (mine >= F.get("log", F.lit(pool))), F.lit(False))
+        joined = joined.withColumn("log", F.when(take, F.transform("log", lambda x, i: F.when(i == pool, mine).otherwise(x))).otherwise(F.col("log")))
+        joined = joined.withColumn("rare", F.when(take, F.col("own")).otherwise(F.col("rare")))
+        joined = joined.join(F.broadcast(names.withColumnRenamed("number", "rare")), "rare", "left")
     top = F.array_max("log")
     joined = joined.withColumn("best", _best("log")).withColumn("posterior", 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    names = F.array(*[F.lit(x) for x in known], F.lit(None).cast("string"))
-    told = F.col("n_letters") > 0
+    names_of = F.array(*[F.lit(x) for x in known], *([F.col("rare_name")] if rare else []), F.lit(None).cast("string"))
+    told, und = F.col("n_letters") > 0, F.col("best") == classes - 1
+    unmodelled = F.col("declared").isNotNull() & (F.trim("declared") != "") & ~F.col("declared").isin(known) & F.col("own").isNull()
+    given = F.when(und & unmodelled, F.col("declared")).otherwise(F.get(names_of, "best"))
     return joined.select(
         *[F.col(k).alias(c) for c, k in own.items()],
-        F.when(told, F.get(names, "best")).alias("language"),
+        F.when(told, given).alias("language"),
         F.round("posterior", 6).alias("posterior"),
-        (told & (F.col("best") < len(known))).alias("kept"),
+        (told & F.coalesce(~und | unmodelled, F.lit(False))).alias("kept"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -81,3 +82,48 @@ def test_awkward_and_empty_tables(spark):
     undeclared = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.language, r.kept) for r in l.identify(undeclared, ["doc_id"]).collect()} == {(None, True)}
     assert l.keep_identified(undeclared).count() == docs.count()
+
+
+def _with_rare_languages(spark):
+    """Two common languages, two rare ones (own script, Latin script) and one with a single row."""
+    rnd = random.Random(5)
+    words = {
+        "en": "the of and to in that was his with as for had you not be her is but at on".split(),
+        "fr": "le de la et les des en un du une que est pour qui dans par plus pas au sur".split(),
+        "el": "και το της να του με για από που δεν είναι στην στο τον αυτό μας όταν ήταν".split(),
+        "fi": "että hän olla joka minä mutta niin kuin kaikki myös vain sitten jälkeen yli".split(),
+        "th": "และ ที่ เป็น ของ ไม่ ใน ได้ มี การ จะ ให้ ว่า ไป มา กับ นี้ คน".split(),
+    }
+    rows = []
+    for lang, n in {"en": 400, "fr": 300, "el": 20, "fi": 20, "th": 1}.items():
+        rows += [(len(rows) + i, " ".join(rnd.choices(words[lang], k=60)), lang, f"src{i % 3}") for i in range(n)]
+    # Not declared, or declared wrongly.
+    rows += [(9000, " ".join(rnd.choices(words["el"], k=60)), None, "src0"), (9001, " ".join(rnd.choices(words["fi"], k=60)), None, "src1")]
+    rows += [(9002, " ".join(rnd.choices(words["fi"], k=60)), "el", "src1"), (9003, " ".join(rnd.choices(words["en"], k=60)), "fi", "src1")]
+    rows += [(9004, "ᚠᚢᚦ ᚨᚱᚲ ᚷᚹᚺ " * 40, None, "src0"), (9005, None, "el", "src0")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_rare_languages_have_models(spark, monkeypatch, block):
+    monkeypatch.setattr(l, "BLOCK", block)
+    docs = _with_rare_languages(spark)
+    common, rare = l.languages(docs, "lang", 0.1, 5)
+    assert common == ["en", "fr"] and rare == [("el", 22), ("fi", 21)]
+    got = by_id(l.identify(docs, ["doc_id", "lang"], min_share=0.1, min_rows=5))
+    assert {i for i, r in got.items() if not r.kept} == {9004, 9005}
+    assert {i for i, r in got.items() if i < 9000 and r.language != r.lang} == set()
+    assert [got[i].language for i in range(9000, 9005)] == ["el", "fi", "fi", "en", None]
+
+
+def test_rows_of_unmodelled_languages_stay(spark):
+    docs = _with_rare_languages(spark)
+    left = {r.doc_id for r in l.keep_identified(docs, min_share=0.1, min_rows=10_000).collect()}
+    own_script = {r.doc_id for r in docs.filter("lang in ('el', 'th') and text is not null").collect()}
+    assert own_script <= left and 9004 not in left
+
+
+def test_only_rare_languages(spark):
+    docs = _with_rare_languages(spark).filter("lang in ('el', 'fi')")
+    got = by_id(l.identify(docs, ["doc_id", "lang"], min_share=2.0, min_rows=5))
+    assert {i for i, r in got.items() if i < 9000 and r.language != r.lang} == set()
