@@ -23,6 +23,10 @@ A key with more than ``hot_pieces`` different texts (a passage that a good part
 of all documents share, each going on in its own way) is not sorted in one
 task: its pieces are cut down to single windows, each a class by itself, so that
 equal windows are counted with partial aggregation like whole pieces in step 2.
+So is a key of more than ``hot_bytes`` if one of its pieces has the least gram
+twice: such pieces (periodic stretches: rulers, padding) go on for up to a
+slice, the others for less than two windows. Of the windows that a hot piece has
+twice one goes on; their places are known to be repeated.
 
 Hashes only deal windows out and tell equal pieces of equal keys (128 bits
 in all). Texts are UTF-8 bytes; null is empty. Matches never cross documents.
@@ -48,6 +52,7 @@ from ledgerlens.llm.induced import Scratch, sort_suffixes
 LENGTH, GRAM = 400, 64
 STRETCH = 42
 SLICE = 1 << 19  # window starts that are hashed at a time
+ROWS, ROW_BYTES = 1 << 14, 4 << 20  # rows, and bytes of pieces, that are put out at a time
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -278,43 +283,68 @@ def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, s
     return dealt.mapInArrow(run, schema)
 
 
-CUT = T.StructType([*(T.StructField(c, T.LongType()) for c in ("start", "gram_at", "window")), T.StructField("bytes", T.BinaryType())])
+CUT = T.StructType([*(T.StructField(c, T.LongType()) for c in ("start", "gram_at", "window", "n")), T.StructField("bytes", T.BinaryType())])
+
+
+def hot_windows(raw: memoryview, start: int, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of a piece: its different windows (first start, hash, whether it is in the piece twice), and the runs of those that are."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + length]) for s in range(start, start + n)), np.uint64, n).view(np.int64)
+    kinds, at, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    twice = times > 1
+    return start + at, kinds, twice, runs(start + np.flatnonzero(twice[which]))
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, row, key, many, start, gram_at, window, bytes) of the wanted pieces (id, row, key, start, n, gram_at, many, hot):
-    their bytes, or for those of hot keys a row per window with its hash."""
+    """(id, row, key, many, start, gram_at, window, n, bytes) of the wanted pieces (id, row, key, start, n, gram_at, many, hot):
+    their bytes, or for those of hot keys a row per different window with its hash (``many``: known to be repeated, here or
+    elsewhere) and a row per run of ``n`` windows that the piece itself repeats."""
     lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("key", "start", "n", "gram_at", "many", "hot")).alias("pieces"))
     joined = docs.join(lists, docs["id"].eqNullSafe(lists["id"]) & (docs["row"] == lists["row"])).select(docs["id"], docs["row"], "pieces", "text")
     # Repeated rows are one text: a piece is cut out once.
     out = T.StructType([joined.schema["id"], T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType()), *CUT.fields])
     arrow = to_arrow_schema(out)
 
+    def found(i, row: int, want: list[dict], raw: memoryview) -> Iterator[tuple]:
+        for p in want:
+            a, n, key, many = p["start"], p["n"], p["key"], p["many"]
+            if not p["hot"]:
+                yield i, row, key, many, a, p["gram_at"], None, None, bytes(raw[a : a + n + length - 1])
+                continue
+            starts, kinds, twice, again = hot_windows(raw, a, n, length)
+            for at in range(0, len(starts), ROWS):
+                part = slice(at, at + ROWS)
+                for s, h, t in zip(starts[part].tolist(), kinds[part].tolist(), twice[part].tolist(), strict=True):
+                    yield i, row, key, many or t, s, None, h, None, None
+            if not many:  # a class of several is known to be repeated throughout
+                for s, m in again:
+                    yield i, row, key, many, s, None, None, m, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
             for i, row, want, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = memoryview((text or "").encode())
-                rows = []
-                for p in want:
-                    a, n = p["start"], p["n"]
-                    if p["hot"]:
-                        rows += [(i, row, p["key"], p["many"], s, None, _signed(xxhash.xxh3_64_intdigest(raw[s : s + length])), None) for s in range(a, a + n)]
-                    else:
-                        rows.append((i, row, p["key"], p["many"], a, p["gram_at"], None, bytes(raw[a : a + n + length - 1])))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                for r in found(i, row, want, memoryview((text or "").encode())):
+                    rows.append(r)
+                    size += len(r[-1] or b"")
+                    if len(rows) >= ROWS or size >= ROW_BYTES:
+                        yield batch_of()
+                        rows, size = [], 0
+        if rows:
+            yield batch_of()
 
     return joined.mapInArrow(run, out)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 # --- the operator -------------------------------------------------------------
 
 
-def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int, hot_pieces: int, memory: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int, hot_pieces: int, hot_bytes: int, memory: int) -> DataFrame:
     """(id, row, start, n): runs of repeated windows of ``docs`` (id, row, text); runs may touch."""
     found = store(document_pieces(docs, length, gram), "pieces")
     # Repeated rows come as equal pieces of one (id, row): counted each, looked at once.
@@ -329,14 +359,17 @@ def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int,
     )
     many = classes.filter("members > 1").select("key", "piece")
     copies = mixed.join(many, ["key", "piece"]).select("id", "row", "start", "n")
-    wide = classes.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot_pieces).select("key", F.lit(True).alias("hot"))
+    size = F.sum(F.col("one.n") + length - 1)
+    wide = classes.groupBy("key").agg(F.count("*").alias("kinds"), size.alias("size"), F.min("one.gram_at").alias("gram_at"))
+    wide = wide.filter((F.col("kinds") > hot_pieces) | (F.col("gram_at") < 0) & (F.col("size") > hot_bytes)).select("key", F.lit(True).alias("hot"))
     wanted = classes.join(wide, "key", "left").select("key", "one.id", "one.row", "one.start", "one.n", "one.gram_at", (F.col("members") > 1).alias("many"), F.coalesce("hot", F.lit(False)).alias("hot"))
     cut = store(cut_out(docs, wanted, length), "cut-pieces")
     sorted_ = sorted_shards(cut.filter("bytes is not null"), docs.schema["id"].dataType, length, gram, shard_bytes, memory)
     windows = cut.filter("window is not null")
     counted = windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("many").alias("any")).filter("c > 1 or any").select("key", "window")
     single = windows.filter("not many").join(counted, ["key", "window"]).select("id", "row", "start", F.lit(1).cast("bigint").alias("n"))
-    return same.unionByName(copies).unionByName(sorted_).unionByName(single)
+    periodic = cut.filter("n is not null").select("id", "row", "start", "n")
+    return same.unionByName(copies).unionByName(sorted_).unionByName(single).unionByName(periodic)
 
 
 def kept_pieces(size: int, found: list[dict], length: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -367,7 +400,7 @@ def _with_runs(docs: DataFrame, keep: list[str], id_col: str, text_col: str, opt
     return docs.select(*[F.col(f"`{x}`") for x in keep]).join(lists, same, "left").drop(i, r), c
 
 
-DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 20_000, "memory": 128 << 20}
+DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 20_000, "hot_bytes": 4 << 20, "memory": 128 << 20}
 
 
 def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import awkward, by_id, documents
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import induced
 from ledgerlens.llm import suffixdedup as s
@@ -113,3 +114,42 @@ def test_removal_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert s.substring_report(documents(spark, []).limit(0)).count() == 0
+
+
+def periodic(seed=3):
+    """Long texts of few periods and of different lengths, alone, within other text, with a flaw, and twice over."""
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    out = [("0," * 9000)[:n] for n in (40, 3000, 3001, 7777, 12000)]
+    out += [word(30) + "=" * n + word(30) for n in (15, 2000, 5000)]
+    out += [("a line\n" * 900)[k:] + word(20) for k in range(4)]
+    return out + ["0," * 2000 + "!" + "0," * 1000, "xyz" * 8, "-" * 12, "-" * 11, out[1], word(400)]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_bytes": 0}, {"hot_bytes": 9000}])
+@pytest.mark.parametrize("rows_", [1 << 14, 7])
+def test_periodic_texts_equal_brute_force(spark, monkeypatch, options, rows_):
+    monkeypatch.setattr(s, "ROWS", rows_)
+    rows = list(enumerate(periodic()))
+    got = by_id(s.substring_report(documents(spark, rows), length=12, gram=4, **options))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 12)
+
+
+def test_no_task_gets_a_key_of_many_bytes(spark, monkeypatch):
+    """Pieces of one period and different lengths share a key: it is cut to the few windows of its period."""
+    rows = [(i, "0123456789" * (5000 + i) + "x" * i) for i in range(12)]
+    seen = {}
+    sort = s.sorted_shards
+
+    def spy(cut, *args):
+        sizes = cut.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).collect()
+        seen["most"] = max((r["size"] or 0 for r in sizes), default=0)
+        return sort(cut, *args)
+
+    cut_out = s.cut_out
+    monkeypatch.setattr(s, "sorted_shards", spy)
+    monkeypatch.setattr(s, "cut_out", lambda *a: seen.setdefault("cut", cut_out(*a)))
+    got = by_id(s.substring_report(documents(spark, rows), length=20, gram=5, hot_bytes=100_000))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 20)
+    assert seen["most"] <= 100_000
+    assert seen["cut"].count() < 12 * 100
