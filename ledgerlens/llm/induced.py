@@ -13,9 +13,10 @@ operations. The common prefix of two suffixes pushed one after the other onto a
 queue is one more than the least value between those that pushed them, which
 a table of range minima over the batch answers.
 
-All long arrays come from ``Scratch``: in memory up to a limit, beyond that
-in files on the task's own disk that are unlinked at once, so a string can be
-far larger than memory and nothing is left behind. Common prefixes over a
+The text's, the order's and the common prefixes' arrays come from ``Scratch``: in
+memory up to a limit, beyond that in files on the task's own disk that are
+unlinked at once, so nothing is left behind. The other arrays and extracted
+batches are in memory, so a string has to fit there. Common prefixes over a
 queue's two halves are compared directly, a few times per letter.
 """
 
