@@ -10,8 +10,9 @@ The cuts are computed exactly and distributed, the same way at every size:
 
 1. one aggregate over the whole input takes approximate quantiles of each
    measure as the boundaries of ``ranges`` value ranges (only these reach the
-   driver); a balanced comparison tree maps each value to its range, so the
-   range is a function of the value alone and equal values share a range;
+   driver). They are one literal array per measure, and a binary search in it maps
+   each value to its range: no code grows with the ranges, the range is a function
+   of the value alone and equal values share a range;
 2. the measures are stacked into ``(measure, range, value)`` rows, the value
    in a column of the measure's own type, and reduced to distinct ones with
    their multiplicity (map-side combined: a hot value becomes one row);
@@ -33,7 +34,6 @@ first, as in ``ORDER BY v ASC``; NaN sorts last and equals itself.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,31 +66,23 @@ def work_sql(v: str, kind: T.DataType) -> str:
     raise TypeError(f"cannot rank a {kind.simpleString()}: use a number, date or timestamp")
 
 
-def sql_literal(x: object) -> str:
-    """A typed SQL literal for a boundary."""
-    if isinstance(x, Decimal):
-        return f"{x}BD"
-    if isinstance(x, int):
-        return f"{x}L"
-    if isinstance(x, float):
-        return f"{x!r}D"
-    raise TypeError(f"unsupported literal {x!r}")
+def range_of(v: Column, bounds: Column, ranges: int) -> Column:
+    """Number of the sorted array ``bounds`` (under ``ranges`` of them) that are below ``v``; NULL -> -1.
 
+    A binary search: the widest step first, and each step is taken if the bound there is below ``v``.
+    """
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, ranges).bit_length()))])
 
-def range_sql(v: str, bounds: Sequence) -> str:
-    """SQL for: number of ``bounds`` (sorted, distinct) below ``v``; NULL -> -1.
+    def step(i: Column, w: Column) -> Column:
+        return F.when((i + w <= F.size(bounds)) & (F.element_at(bounds, i + w) < v), i + w).otherwise(i)
 
-    A balanced tree of comparisons: ``log2(len(bounds))`` tests per value.
-    Built as SQL text, so the whole tree crosses to the JVM in one call.
-    """
+    return F.when(v.isNull(), -1).otherwise(F.aggregate(widths, F.lit(0), step))
 
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {v} <= {sql_literal(bounds[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
 
-    return f"CASE WHEN {v} IS NULL THEN -1 ELSE {build(0, len(bounds))} END"
+def _literal(values: Sequence, kind: T.DataType) -> Column:
+    """``values`` as one literal array: a cast of their text, which Catalyst folds once."""
+    text = ",".join(repr(x) if isinstance(x, float) else str(x) for x in values)
+    return F.expr(f"CAST({'split(' + repr(text) + ', ' + repr(',') + ')' if values else 'array()'} AS ARRAY<{kind.simpleString()}>)")
 
 
 def _prepare(df: DataFrame, measures: Mapping[str, Column | str]) -> DataFrame:
@@ -103,23 +95,23 @@ def _default_ranges(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _range_bounds(typed: DataFrame, names: Sequence[str], ranges: int) -> list[list]:
-    """Sorted distinct range boundaries per measure: approximate quantiles of the whole input.
+def _range_bounds(typed: DataFrame, names: Sequence[str], ranges: int) -> list[Column]:
+    """Per measure a sorted array of distinct range boundaries: approximate quantiles of the whole input.
 
     NaN and infinities are no boundaries; they fall into the last or first range.
     """
+    kinds = [typed.schema[n].dataType for n in names]
     if ranges < 2:
-        return [[] for _ in names]
-    fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
+        return [_literal([], k) for k in kinds]
 
     def finite(n: str) -> str:
         if isinstance(typed.schema[n].dataType, T.DoubleType):
             return f"CASE WHEN NOT isnan({_q(n)}) AND abs({_q(n)}) < double('Infinity') THEN {_q(n)} END"
         return _q(n)
 
-    acc = max(10000, 10 * ranges)
-    row = typed.selectExpr(*[f"percentile_approx({finite(n)}, array({fractions}), {acc}) AS {_q(n)}" for n in names]).first()
-    return [sorted({b for b in (row[n] or []) if b is not None}) for n in names]
+    at = f"CAST(split('{','.join(repr(i / ranges) for i in range(1, ranges))}', ',') AS ARRAY<DOUBLE>)"
+    row = typed.selectExpr(*[f"percentile_approx({finite(n)}, {at}, {max(10000, 10 * ranges)}) AS {_q(n)}" for n in names]).first()
+    return [_literal(sorted({b for b in (row[n] or []) if b is not None}), k) for n, k in zip(names, kinds, strict=True)]
 
 
 def percent_rank_cuts(
@@ -135,17 +127,18 @@ def percent_rank_cuts(
     """
     names = list(measures)
     typed = _prepare(df, measures)
-    bounds = _range_bounds(typed, names, ranges or _default_ranges(df.sparkSession))
+    ranges = ranges or _default_ranges(df.sparkSession)
+    bounds = _range_bounds(typed, names, ranges)
 
     # (measure, range, value) rows; a measure's value is in its own column.
     value = [f"v{i}" for i in range(len(names))]
 
-    def stacked(i: int, n: str) -> str:
-        own = [f"{_q(n) if j == i else f'CAST(NULL AS {typed.schema[m].dataType.simpleString()})'} AS v{j}" for j, m in enumerate(names)]
-        return f"struct({i} AS m, {range_sql(_q(n), bounds[i])} AS rng, {', '.join(own)})"
+    def stacked(i: int, n: str) -> Column:
+        own = [(F.col(_q(n)) if j == i else F.lit(None).cast(typed.schema[m].dataType)).alias(f"v{j}") for j, m in enumerate(names)]
+        return F.struct(F.lit(i).alias("m"), range_of(F.col(_q(n)), bounds[i], ranges).alias("rng"), *own)
 
     distinct = (
-        typed.selectExpr(f"inline(array({', '.join(stacked(i, n) for i, n in enumerate(names))}))")
+        typed.select(F.inline(F.array(*[stacked(i, n) for i, n in enumerate(names)])))
         .groupBy("m", "rng", *value)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
