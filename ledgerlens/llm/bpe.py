@@ -6,8 +6,9 @@
    outputs: equal suffixes share states, and the outputs on a word's path add
    up to its number, under which its token ids are listed. The tables go to the
    shared folder once; executors fetch the file and memory-map it.
-3. Tasks cut texts into pre-tokens and walk the automaton for all words of a
-   batch at once. A word it does not accept is merged exactly, pair by pair.
+3. Tasks cut texts into pre-tokens and walk the automaton for all different words of
+   a batch at once. Those it does not accept are merged exactly, pair by pair,
+   round by round and all together.
 4. Decoding maps ids back to bytes.
 
 The tokenizer is a byte-level BPE file (vocabulary, merges, added tokens); its
@@ -23,9 +24,8 @@ import heapq
 import io
 import json
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,97 @@ def merge_word(word: bytes, first: list[int], merges: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+LONGEST = 32  # bytes of words that are merged together
+NO_PAIR = (1 << 20) - 1  # an id that no token has
+NO_RANK = np.iinfo(np.int32).max
+
+
+def pair_tables(merges: dict) -> dict[str, np.ndarray]:
+    """The merges as sorted pair keys with their ranks, and the token that each rank makes."""
+    key = np.array([a << 20 | b for a, b in merges], np.int64)
+    rank, made = (np.array([m[i] for m in merges.values()], np.int64) for i in (0, 1))
+    order, token = np.argsort(key), np.zeros(int(rank.max(initial=-1)) + 1, np.int32)
+    token[rank] = made
+    return {"pair": key[order], "pair_rank": rank[order].astype(np.int32), "pair_token": token}
+
+
+class Merger:
+    """Merges many different words together.
+
+    Words of like length are rows of a matrix. In each round every row merges the leftmost of its lowest-ranked pairs, so
+    all rows that go on lose one column; pairs beside the merge get their ranks by binary search in the sorted pair keys.
+    """
+
+    def __init__(self, first: np.ndarray, tables: dict[str, np.ndarray]) -> None:
+        self.first, self.pair, self.rank, self.token = first, tables["pair"], tables["pair_rank"], tables["pair_token"]
+        self._merges: dict | None = None
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.pair):
+            return np.full(left.shape, NO_RANK, np.int32)
+        key = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], NO_RANK)
+
+    def together(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` (a row per word, filled up with NO_PAIR) merged, and how many are left of each row."""
+        out, left = ids.copy(), np.zeros(len(ids), np.int64)
+        row = np.arange(len(ids))
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            best = rank.argmin(1) if rank.shape[1] else np.zeros(len(row), np.int64)
+            lowest = rank[np.arange(len(row)), best] if rank.shape[1] else np.full(len(row), NO_RANK)
+            done = lowest == NO_RANK
+            out[row[done], : ids.shape[1]] = ids[done]
+            left[row[done]] = (ids[done] != NO_PAIR).sum(1)
+            on = ~done
+            row, ids, rank, best, lowest = row[on], ids[on], rank[on], best[on, None], lowest[on]
+            if not len(row):
+                break
+            np.put_along_axis(ids, best, self.token[lowest][:, None], 1)
+            column = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, column + (column > best), 1)
+            rank = np.take_along_axis(rank, column[:-1] + (column[:-1] >= best), 1)
+            at, k = best[:, 0], np.arange(len(row))
+            for shift in (1, 0):  # the pair that ends in the new token, and the one that begins with it
+                some = np.flatnonzero((at >= shift) & (at - shift < rank.shape[1]))
+                a = at[some] - shift
+                rank[k[some], a] = self.ranks(ids[some, a], ids[some, a + 1])
+        return out, left
+
+    def __call__(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words that lie one after the other in ``body``, cut at ``at``, and where each word's begin."""
+        size = np.diff(at)
+        n, parts = np.zeros(len(size), np.int64), []
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 18), (18, LONGEST)):
+            which = np.flatnonzero((size > low) & (size <= high))
+            if len(which):
+                column = np.arange(high)
+                inside = column < size[which, None]
+                place = np.where(inside, at[which, None] + column, 0)
+                ids, n[which] = self.together(np.where(inside, self.first[body[place]], NO_PAIR).astype(np.int32))
+                parts.append((which, ids))
+        long = np.flatnonzero(size > LONGEST)
+        lists = [merge_word(body[at[i] : at[i + 1]].tobytes(), self.first.tolist(), self.merges) for i in long.tolist()]
+        n[long] = [len(x) for x in lists]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        out = np.zeros(int(begin[-1]), np.int64)
+        for which, ids in parts:
+            column = np.arange(ids.shape[1])
+            inside = column < n[which, None]
+            out[(begin[which, None] + column)[inside]] = ids[inside]
+        for i, x in zip(long.tolist(), lists, strict=True):
+            out[begin[i] : begin[i + 1]] = x
+        return out, begin
+
+    @property
+    def merges(self) -> dict:
+        if self._merges is None:
+            token = self.token[self.rank]
+            self._merges = {(k >> 20, k & NO_PAIR): (r, t) for k, r, t in zip(self.pair.tolist(), self.rank.tolist(), token.tolist(), strict=True)}
+        return self._merges
+
+
 # --- pre-tokens ---------------------------------------------------------------
 
 
@@ -130,11 +221,26 @@ def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return cp
 
 
+def byte_kinds(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The class of the character that each byte belongs to, and whether there is white space of several bytes."""
+    kind = classes[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return kind, False
+    found = classes[code_points(data, lead)]
+    for k in range(4):
+        on = lead if k < 2 else lead[data[lead] >= (0xE0, 0xF0)[k - 2]]
+        kind[on + k] = found if k < 2 else found[data[lead] >= (0xE0, 0xF0)[k - 2]]
+    return kind, bool((found == SPACE).any())
+
+
 def pre_tokens(data: np.ndarray, ends: np.ndarray, classes: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each pre-token of the texts that end at ``ends`` in ``data``, and the id of those
     that are added tokens (else -1)."""
-    raw = data.tobytes()
-    spans = []
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw, spans = data.tobytes(), []
     for content, i in added.items():
         at = raw.find(content)
         while at >= 0:
@@ -142,63 +248,85 @@ def pre_tokens(data: np.ndarray, ends: np.ndarray, classes: np.ndarray, added: d
                 spans.append((at, at + len(content), i))
             at = raw.find(content, at + len(content))
     stops = np.unique(np.concatenate([[0], ends, [x for s in spans for x in s[:2]]]).astype(np.int64))
-    char = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(char):
-        return char, char, char
-    cp = code_points(data, char)
-    kind = classes[cp]
-    n = len(char)
+    kind, wide = byte_kinds(data, classes)
     stop = np.zeros(n + 1, bool)  # a text (or what is between added tokens) begins here
-    stop[np.searchsorted(char, stops)] = True
+    stop[stops] = True
     stop[n] = True
-    space = kind == SPACE
-    prev_kind = np.concatenate([[OTHER], kind[:-1]])
-    prev_space = prev_kind == SPACE
-    prev_blank = np.concatenate([[False], cp[:-1] == 32])
-    next_solid = np.append(~space[1:], False) & ~stop[1:]
-    start = np.where(space, ~prev_space | next_solid, np.where(prev_space, ~prev_blank, kind != prev_kind)) | stop[:n]
+    space, blank = kind == SPACE, data == 32
+    if wide:  # what a character of several bytes stands for is at its first byte
+        inner = (data & 0xC0) == 0x80
+        first = np.flatnonzero(~inner)
+        after = np.append(first[1:], n)  # where each character's next one begins
+        solid = np.zeros(n, bool)  # before a character that is no white space
+        solid[first] = ~stop[after] & ~space[np.minimum(after, n - 1)]
+        before = np.concatenate([[0], first[:-1]])
+        prev_space, prev_blank, prev_kind = np.zeros(n, bool), np.zeros(n, bool), kind.copy()
+        prev_space[first[1:]], prev_blank[first[1:]], prev_kind[first[1:]] = space[before[1:]], blank[before[1:]], kind[before[1:]]
+        start = np.where(space, ~prev_space | solid, np.where(prev_space, ~prev_blank, kind != prev_kind)) & ~inner
+        start |= stop[:n]
+    else:
+        start = np.empty(n, bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])  # begins white space, or another kind after no white space
+        start[1:] &= ~(blank[:-1] & ~space[1:])  # a blank goes before what follows it
+        start[:-1] |= space[:-1] & ~space[1:] & ~stop[1:-1]  # the last white space before something is by itself
+        start |= stop[:n]
     # Contractions: an apostrophe that begins a pre-token takes the letters after it.
-    quote = np.flatnonzero((cp == 39) & start)
+    quote = np.flatnonzero((data == 39) & start)
     if len(quote):
         room = np.append(np.flatnonzero(stop), n)
         room = room[np.searchsorted(room, quote, "right")] - quote
-        lower = np.append(cp, [0, 0])
+        longer = np.append(data, [0, 0])
         for tail in CONTRACTIONS:
-            is_it = (room > len(tail)) & np.logical_and.reduce([lower[np.minimum(quote + 1 + k, n + 1)] == c for k, c in enumerate(tail)])
+            is_it = (room > len(tail)) & np.logical_and.reduce([longer[np.minimum(quote + 1 + k, n + 1)] == c for k, c in enumerate(tail)])
             hit = quote[is_it]
             for k in range(len(tail)):
                 start[hit + 1 + k] = False
             rest = hit + 1 + len(tail)
             start[rest[rest < n]] = True
-    number = np.full(n, -1, np.int64)
-    for a, b, i in spans:
-        x, y = np.searchsorted(char, [a, b])
-        start[x + 1 : y] = False
-        number[x] = i
-    first = np.flatnonzero(start)
-    begin = char[first]
-    return begin, np.append(begin[1:], len(data)), number[first]
+    for a, b, _ in spans:
+        start[a + 1 : b] = False
+    begin = np.flatnonzero(start)
+    number = np.full(len(begin), -1, np.int64)
+    for a, _, i in spans:
+        number[np.searchsorted(begin, a)] = i
+    return begin, np.append(begin[1:], n), number
+
+
+def words_of(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The pre-tokens, which tile ``data``, as one Arrow array over the same bytes."""
+    offsets = np.append(begin, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 # --- the lexicon --------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, text_col: str, added: dict[bytes, int], longest: int, held: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str, added: dict[bytes, int], longest: int, held: int = 1 << 20) -> DataFrame:
     """(word, n) over all texts, for words of up to ``longest`` bytes."""
     src = docs.select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, counts = class_table(), Counter()
+        classes, parts, size = class_table(), [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for b in chunks(batches, 0, 4 << 20):
             data, ends = flat(b.column(0))
             begin, end, number = pre_tokens(data, ends, classes, added)
-            raw = data.tobytes()
-            use = (number < 0) & (end - begin <= longest)
-            counts.update(map(raw.__getitem__, map(slice, begin[use].tolist(), end[use].tolist())))
-            if len(counts) > held:
-                yield _counted(counts)
-                counts.clear()
-        yield _counted(counts)
+            words, use = words_of(data, begin), (number < 0) & (end - begin <= longest)
+            found = (words if use.all() else words.filter(pa.array(use))).value_counts()
+            parts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            size += len(found)
+            if size > held:
+                parts = [summed()]
+                size = len(parts[0])
+                if size > held // 2:
+                    yield from parts[0].combine_chunks().to_batches()
+                    parts, size = [], 0
+        if parts:
+            yield from summed().combine_chunks().to_batches()
 
     return src.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -207,24 +335,20 @@ def frequent_words(counted: DataFrame, most: int) -> list[bytes]:
     """The most frequent words, ``most`` at the utmost, sorted: all words from some count on.
 
     That count is found from a histogram of counts (eight steps per doubling, so a few hundred rows),
-    so the driver gets no more than the lexicon however many tasks there are.
+    so the driver gets no more than the lexicon however many tasks there are. Of the step that goes over
+    ``most``, as many words as there is room for are taken by their hash.
     """
     counted = store(counted, "word-counts")
     step = F.floor(8 * F.log2(F.col("n").cast("double")))
-    found = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
-    least, total = None, 0
+    found = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
+    use, total = F.lit(False), 0
     for r in sorted(found, key=lambda r: -r.step):
-        total += r.words
-        if total > most:
+        if total + r.words > most:
+            share = 0.9 * (most - total) / r.words  # in expectation; room for chance is left
+            use = use | (step == r.step) & (F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(share * (1 << 40)))
             break
-        least = r.least
-    return [] if least is None else sorted(bytes(r.word) for r in counted.filter(F.col("n") >= least).select("word").collect())
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-    )
+        use, total = step >= r.step, total + r.words
+    return sorted(bytes(r.word) for r in counted.filter(use).select("word").collect())[:most]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -346,9 +470,9 @@ def build(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", lexic
     """The tokenizer's plain values and the name of the shipped lexicon of ``docs``."""
     tok = read_tokenizer(tokenizer_path)
     words = frequent_words(word_counts(docs, text_col, tok["added"], longest), lexicon_size)
-    arrays = compile_lexicon(words)
-    ids, at = ragged([merge_word(w, tok["first"], tok["merges"]) for w in words])
-    arrays |= {"ids": ids.astype(np.int64), "ids_at": at}
+    arrays = compile_lexicon(words) | pair_tables(tok["merges"]) | {"first": np.array(tok["first"], np.int32)}
+    ids, at = Merger(arrays["first"], arrays)(*ragged([np.frombuffer(w, np.uint8) for w in words]))
+    arrays |= {"ids": ids, "ids_at": at}
     body, where = ragged([np.frombuffer(x, np.uint8) for x in tok["bytes"]])
     text, places = ragged([np.frombuffer(b"%d," % i, np.uint8) for i in range(len(tok["bytes"]))])
     arrays |= {"token": body.astype(np.uint8), "token_at": where, "digit": text.astype(np.uint8), "digit_at": places}
@@ -365,51 +489,60 @@ def gather(body: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndar
     return body[np.arange(int(n.sum())) + np.repeat(shift, n)], n
 
 
+class Encoded(NamedTuple):
+    """A batch: its different pre-tokens' ids one after the other, and which of them every pre-token is."""
+
+    ids: np.ndarray
+    at: np.ndarray  # where each different pre-token's ids begin
+    which: np.ndarray
+    cut: np.ndarray  # where each text's pre-tokens begin
+
+    def lengths(self) -> np.ndarray:
+        """How many ids each text has."""
+        total = np.concatenate([[0], np.cumsum(np.diff(self.at)[self.which])])
+        return np.diff(total[self.cut])
+
+
 class Encoder:
-    """Encodes batches of texts in a task; words that were merged are remembered, ``held`` at most."""
-
-    def __init__(self, name: str, first: list[int], merges: dict, added: dict[bytes, int], held: int = 200_000) -> None:
-        self.lex, self.classes = mapped(name), class_table()
-        self.first, self.merges, self.added, self.held = first, merges, added, held
-        self.known: dict[bytes, list[int]] = {}
-
-    def merged(self, word: bytes) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= self.held:
-                self.known.clear()
-            ids = self.known[word] = merge_word(word, self.first, self.merges)
-        return ids
-
-    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts, and how many each text has."""
-        begin, end, number = pre_tokens(data, ends, self.classes, self.added)
+    """Encodes batches of texts in a task."""
+
+    def __init__(self, lex: dict[str, np.ndarray], added: dict[bytes, int]) -> None:
+        self.lex, self.added, self.classes = lex, added, class_table()
+        self.merge = Merger(lex["first"], lex)
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> Encoded:
+        begin, _, _ = pre_tokens(data, ends, self.classes, self.added)
         if not len(begin):
-            return np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-        word = walk(self.lex, data, begin, end)
+            return Encoded(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(ends) + 1, np.int64))
+        coded = words_of(data, begin).dictionary_encode()
+        kinds = coded.dictionary
+        where = np.frombuffer(kinds.buffers()[1], np.int32)[: len(kinds) + 1].astype(np.int64)
+        body = np.frombuffer(kinds.buffers()[2], np.uint8)
+        word = walk(self.lex, body, where[:-1], where[1:])
         table, at = self.lex["ids"], self.lex["ids_at"]
-        other = np.flatnonzero((word < 0) | (number >= 0))
-        if len(other):
-            raw = data.tobytes()
-            new: dict[bytes | int, int] = {}
-            lists: list[list[int]] = []
-            for i, a, b, special in zip(other.tolist(), begin[other].tolist(), end[other].tolist(), number[other].tolist(), strict=True):
-                key = raw[a:b] if special < 0 else special
-                if (at_key := new.get(key)) is None:
-                    at_key = new[key] = len(lists)
-                    lists.append(self.merged(key) if special < 0 else [special])
-                word[i] = len(at) - 1 + at_key
-            more, more_at = ragged(lists)
-            table, at = np.concatenate([table, more.astype(np.int64)]), np.concatenate([at, more_at[1:] + at[-1]])
+        new = np.flatnonzero(word < 0)
+        more, more_at = self.merge(*piece(body, where, new))
+        word[new] = len(at) - 1 + np.arange(len(new))
+        special = [(k, i) for content, i in self.added.items() if (k := kinds.index(pa.scalar(content, pa.binary())).as_py()) >= 0]
+        if special:  # no pre-token but an added token itself spells one
+            last = more_at[-1]
+            more, more_at = np.append(more, [i for _, i in special]), np.append(more_at, last + 1 + np.arange(len(special)))
+            word[[k for k, _ in special]] = len(at) - 1 + len(new) + np.arange(len(special))
+        table, at = np.concatenate([table, more]), np.concatenate([at, more_at[1:] + at[-1]])
         ids, n = gather(table, at, word)
-        total = np.concatenate([[0], np.cumsum(n)])
-        upto = total[np.searchsorted(begin, ends, "left")]
-        return ids, np.diff(np.concatenate([[0], upto]))
+        cut = np.concatenate([[0], np.searchsorted(begin, ends, "left")])
+        return Encoded(ids, np.concatenate([[0], np.cumsum(n)]), coded.indices.to_numpy(), cut)
+
+
+def piece(body: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some words of a ragged table as one of their own."""
+    found, n = gather(body, at, which)
+    return found, np.concatenate([[0], np.cumsum(n)])
 
 
 def _encoder(tok: dict, name: str, spark: SparkSession):
-    shared = spark.sparkContext.broadcast((tok["first"], tok["merges"], tok["added"]))
-    return lambda: Encoder(name, *shared.value)
+    shared = spark.sparkContext.broadcast(tok["added"])
+    return lambda: Encoder(mapped(name), shared.value)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, *, text_col: str = "text", **options) -> DataFrame:
@@ -421,8 +554,9 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
         run = encoder()
 
         def fn(texts: pa.Array) -> list:
-            ids, n = run(*flat(texts))
-            return [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(ids.astype(np.int32)))]
+            made = run(*flat(texts))
+            ids, _ = gather(made.ids, made.at, made.which)
+            return [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(made.lengths())]).astype(np.int32), pa.array(ids.astype(np.int32)))]
 
         return fn
 
@@ -449,18 +583,22 @@ def round_trip(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
         run = encoder()
         lex = run.lex
 
-        def digests(body: np.ndarray, at: np.ndarray, ids: np.ndarray, n: np.ndarray, tail: int) -> list[str]:
-            made, size = gather(body, at, ids)
-            upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])].tolist()
-            raw = memoryview(made)
+        def digests(body: np.ndarray, at: np.ndarray, made: Encoded, tail: int) -> list[str]:
+            """Of each text, the digest of what ``body`` has for its ids, but for the last ``tail`` bytes."""
+            found, n = gather(body, at, made.ids)
+            by_word = np.concatenate([[0], np.cumsum(n)])[made.at]
+            words = pa.Array.from_buffers(pa.large_binary(), len(by_word) - 1, [None, pa.py_buffer(by_word), pa.py_buffer(found)])
+            line = words.take(pa.array(made.which))
+            upto = np.frombuffer(line.buffers()[1], np.int64)[made.cut].tolist() if len(line) else [0] * len(made.cut)
+            raw = memoryview(line.buffers()[2]) if len(line) else memoryview(b"")
             return [hashlib.sha256(raw[a : max(a, b - tail)]).hexdigest() for a, b in zip(upto, upto[1:], strict=False)]
 
         def fn(texts: pa.Array) -> list:
-            ids, n = run(*flat(texts))
+            made = run(*flat(texts))
             return [
-                pa.array(n),
-                digests(lex["digit"], lex["digit_at"], ids, n, 1),
-                digests(lex["token"], lex["token_at"], ids, n, 0),
+                pa.array(made.lengths()),
+                digests(lex["digit"], lex["digit_at"], made, 1),
+                digests(lex["token"], lex["token_at"], made, 0),
             ]
 
         return fn
