@@ -7,9 +7,9 @@ gain of its features, and its *score* adds Gumbel noise drawn from its id alone,
 that the highest scores are a sample without replacement, the same in every run.
 
 Features are found by batch concatenation: the texts of a batch are joined with
-separator sentinels, one regular expression finds all words of the batch,
-``searchsorted`` over the document offsets tells each word's document, and runs
-that reach into the next document are masked before they are counted. The CRC-32 of
+separator sentinels, one pass of a regular expression finds all words and sentinels
+of the batch, ``searchsorted`` over the places of the sentinels tells each word's
+document, and runs that reach into the next document are masked before they are counted. The CRC-32 of
 a run comes from those of its words (a checksum can be moved past the bytes that
 follow by four table lookups), so no run is built as a string.
 
@@ -37,8 +37,9 @@ from pyspark.sql import types as T
 
 from ledgerlens.llm.common import as_bytes, chunks, map_texts, store
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SENTINEL = b"\0"  # no word character
+SENTINEL, SPACE = b"\0", zlib.crc32(b" ")
+#: A word, or the sentinel.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|\x00")
 POLYNOMIAL = 0xEDB88320  # of CRC-32
 BATCH = 1 << 20  # bytes of text that are joined
 HELD = 200_000  # words whose checksums a task remembers
@@ -94,12 +95,19 @@ class Mover:
 
 
 class Checksums(dict):
-    """word -> crc(word) and crc(" " + word), in one number."""
+    """word -> its number, under which stand crc(word), crc(" " + word) and its length in bytes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.alone, self.spaced, self.size = np.zeros(HELD, np.uint32), np.zeros(HELD, np.uint32), np.zeros(HELD, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        made = zlib.crc32(word) << 32 | zlib.crc32(word, zlib.crc32(b" "))
-        self[word] = made
-        return made
+        i = len(self)
+        if i == len(self.size):
+            self.alone, self.spaced, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.alone, self.spaced, self.size))
+        self.alone[i], self.spaced[i], self.size[i] = zlib.crc32(word), zlib.crc32(word, SPACE), len(word)
+        self[word] = i
+        return i
 
 
 class Features:
@@ -111,23 +119,24 @@ class Features:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Words of each text; and per length of run, the bucket and the text of every run."""
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # with the sentinel
-        found = list(WORD.finditer(SENTINEL.join(texts).lower()))
-        begin = np.fromiter(map(re.Match.start, found), np.int64, len(found))
-        words = list(map(re.Match.group, found))
-        both = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        size = np.fromiter(map(len, words), np.int64, len(words))
         if len(self.known) > HELD:
-            self.known.clear()
-        owner = np.searchsorted(ends, begin, "right")
-        alone, spaced = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
-        runs, crc = [], alone
+            self.known = Checksums()
+        known = self.known
+        mark = known[SENTINEL]  # stands in no text any more, so it ends a text wherever it is found
+        line = SENTINEL.join([*(x.replace(SENTINEL, b" ") for x in texts), b""]).lower()
+        found = WORD.findall(line)
+        word = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        ends = np.flatnonzero(word == mark)
+        word = np.delete(word, ends)
+        ends -= np.arange(len(ends))  # words up to the end of each text
+        owner = np.searchsorted(ends, np.arange(len(word)), "right")
+        runs, crc, size, spaced = [], known.alone[word], known.size[word], known.spaced[word]
         for n in range(1, self.longest + 1):
             if n > 1:
-                crc = self.move(crc[: len(crc) - 1], size[n - 1 :] + 1) ^ spaced[n - 1 :] if len(crc) else crc
+                crc = self.move(crc[:-1], size[n - 1 :] + 1) ^ spaced[n - 1 :]
             inside = owner[: len(crc)] == owner[n - 1 : n - 1 + len(crc)]
             runs.append(((crc[inside] % np.uint32(self.buckets)).astype(np.int64), owner[: len(crc)][inside]))
-        return np.bincount(owner, minlength=len(texts)), runs
+        return np.diff(ends, prepend=0), runs
 
 
 # --- the operator -------------------------------------------------------------
