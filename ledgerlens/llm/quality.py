@@ -3,7 +3,7 @@
 Rules look at the counts of a text and vote good, bad or abstain. Votes are
 grouped into patterns (at most 3 ** number of rules, counted over all
 documents by Spark), expectation-maximisation over the pattern counts
-estimates how often each rule is right and how common good texts are, and the
+estimates how often each rule is right of each kind of text and how common these are, and the
 posterior probability of a text's pattern decides. No rule decides alone,
 but for the base checks of the caller, which this module only reports.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes, map_texts, store
+from ledgerlens.llm.common import as_bytes, fresh, map_texts, store
 
 BLANK = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -110,45 +110,66 @@ def rules() -> dict[str, Column]:
     }
 
 
-VOTES = (1, -1)
-#: Where estimation starts: how often a rule that votes says good or bad of good texts, and of the
-#: texts that are bad in the way this rule looks for.
-START_GOOD, START_BAD = (0.98, 0.02), (0.1, 0.9)
+#: Where estimation starts: how often a rule says bad of good texts (and of texts that are bad in
+#: another way), and of the texts that are bad in the way this rule looks for.
+START_GOOD, START_BAD = 0.02, 0.9
 
 
-def estimate(patterns: np.ndarray, n: np.ndarray, steps: int = 200, anchor: float = 0.1, prior: float = 0.85) -> dict[str, Any]:
+def estimate(
+    patterns: np.ndarray,
+    n: np.ndarray,
+    *,
+    steps: int = 3000,
+    pseudo: float = 10.0,
+    prior: float = 0.85,
+    most: float = 0.02,
+    own: float = 0.5,
+) -> dict[str, Any]:
     """Expectation-maximisation over vote patterns (rows of 1, 0, -1) met ``n`` times.
 
     A text is good, or bad in one of as many ways as there are rules; each kind
-    of text has its own rates of every rule's votes. An abstention says nothing. Returns the share of each
-    kind (good first), the rates (kind, rule, vote), and each pattern's posterior of
-    being good. The starting rates and shares stand before the data as votes of a
-    share ``anchor`` of all texts: a rule can be found less or more accurate than that, but
-    the kinds keep their meaning.
+    of text has its own rate of every rule's saying bad where it votes. An abstention says nothing, but that
+    the rule did not catch the kind of text that it looks for.
+
+    The starting rates and shares stand before the data as ``pseudo`` votes for each kind and
+    rule, however large the corpus is. Votes alone cannot tell a kind of bad text that one rule alone catches
+    from good texts that this rule is wrong about, so two bounds keep the kinds apart: a
+    rule is wrong about ``most`` of the good texts at the utmost, and says bad of ``own`` of its own kind at least.
+
+    Returns the share of each kind (good first), the rates (kind, rule), and each pattern's posterior of being good.
     """
-    weight = 1 + anchor * float(n.sum())
-    rules_ = patterns.shape[1]
-    cast = np.stack([(patterns == v).astype(float) for v in VOTES], 2)  # pattern, rule, vote
-    start = np.tile(np.array(START_GOOD), (rules_ + 1, rules_, 1))
-    start[np.arange(1, rules_ + 1), np.arange(rules_)] = START_BAD
-    rates, share = start.copy(), np.array([prior, *[(1 - prior) / rules_] * rules_])
-    first = share.copy()
-    post = np.tile(share, (len(n), 1))
+    n_rules = patterns.shape[1]
+    rule = np.arange(n_rules)
+    bad = (patterns == -1).astype(float)
+    fine = np.tile((patterns == 1).astype(float)[:, None, :], (1, n_rules + 1, 1))  # pattern, kind, rule
+    fine[:, rule + 1, rule] = 1 - bad
+    start = np.full((n_rules + 1, n_rules), START_GOOD)
+    start[rule + 1, rule] = START_BAD
+    first = np.array([prior, *[(1 - prior) / n_rules] * n_rules])
+    rates, share, post = start, first, np.tile(first, (len(n), 1))
     for _ in range(steps):
-        log = np.log(share) + np.einsum("prv,krv->pk", cast, np.log(rates))
+        log = np.log(share) + bad @ np.log(rates).T + np.einsum("pkr,kr->pk", fine, np.log(1 - rates))
         post = np.exp(log - log.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         w = post * n[:, None]
-        seen = np.einsum("pk,prv->krv", w, cast)
-        rates = (seen + weight * start) / (seen.sum(2, keepdims=True) + weight)
-        before, share = share, (w.sum(0) + weight * first) / (n.sum() + weight)
-        if np.abs(before - share).max() < 1e-9:
+        said, not_said = w.T @ bad, np.einsum("pk,pkr->kr", w, fine)
+        rates = (said + pseudo * start) / (said + not_said + pseudo)
+        rates[0] = np.minimum(rates[0], most)
+        rates[rule + 1, rule] = np.maximum(rates[rule + 1, rule], own)
+        rates = np.clip(rates, 1e-6, 1 - 1e-6)
+        before, share = share, (w.sum(0) + pseudo * first) / (n.sum() + pseudo)
+        if np.abs(before - share).max() < 1e-7:
             break
     return {"share": share, "rates": rates, "posterior": post[:, 0]}
 
 
-def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``keep`` columns, the counts, ``p_good`` (6 places) and ``good`` (p_good at or over the threshold)."""
+def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """``keep`` columns, the counts, ``p_good`` (6 places) and ``good`` (p_good at or over the threshold).
+
+    A ``keep`` column that is called like one of these stays; the new one gets underscores before its name.
+    ``options``: of ``estimate``.
+    """
+    names = {c: fresh(keep, c) for c in (*COUNTS, "p_good", "good")}
     own = {c: f"k{i}" for i, c in enumerate(keep)}
     src = docs.select(F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in own.items()])
     votes = rules()
@@ -159,12 +180,13 @@ def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", threshol
     code = np.array([r.pattern for r in met], np.int64)
     n = np.array([r.n for r in met], float)
     rows = np.stack([code // 3**i % 3 - 1 for i in range(len(votes))], 1) if len(met) else np.zeros((0, len(votes)))
-    post = estimate(rows, n)["posterior"]
+    post = estimate(rows, n, **options)["posterior"]
     table = docs.sparkSession.createDataFrame(
         [(int(c), round(float(p), 6)) for c, p in zip(code, post, strict=True)], "pattern int, p_good double"
     )
     out = coded.join(F.broadcast(table), "pattern")  # at most 3 ** len(votes) rows
-    return out.select(*[F.col(k).alias(c) for c, k in own.items()], *COUNTS, "p_good", (F.col("p_good") >= threshold).alias("good"))
+    found = out.withColumn("good", F.col("p_good") >= threshold)
+    return found.select(*[F.col(k).alias(c) for c, k in own.items()], *[F.col(c).alias(name) for c, name in names.items()])
 
 
 def base_failed() -> Column:
