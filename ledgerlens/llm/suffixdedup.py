@@ -20,13 +20,14 @@ are dealt by content:
    common prefix with a neighbour reaches ``length`` is a repeat.
 
 A key with more than ``hot_pieces`` different texts (a passage that a good part
-of all documents share, each going on in its own way) is not sorted in one
-task: its pieces are cut down to single windows, each a class by itself, so that
-equal windows are counted with partial aggregation like whole pieces in step 2.
-So is a key of more than ``hot_bytes`` if one of its pieces has the least gram
-twice: such pieces (periodic stretches: rulers, padding) go on for up to a
-slice, the others for less than two windows. Of the windows that a hot piece has
-twice one goes on; their places are known to be repeated.
+of all documents share, each going on in its own way) goes to no single task: its
+stretches are dealt by their shared bytes and counted with partial aggregation like whole
+pieces in step 2 (``spread``), and what is left is cut down to single windows, each a class by
+itself. So is at once a key with more than that, or of more than ``hot_bytes``, if one of its pieces has the
+least gram twice: such pieces (periodic stretches: rulers, padding) go on for up to a
+slice, the others for less than two windows. Of the windows that such a piece has
+twice one goes on; their places are known to be repeated. The tasks that sort get
+``TASK_BYTES`` of pieces each, however large the corpus is.
 
 Hashes only deal windows out and tell equal pieces of equal keys (128 bits
 in all). Texts are UTF-8 bytes; null is empty. Matches never cross documents.
@@ -54,6 +55,7 @@ STRETCH = 42
 SLICE = 1 << 19  # window starts that are hashed at a time
 ROWS, ROW_BYTES = 1 << 14, 4 << 20  # rows, and bytes of pieces, that are put out at a time
 ODD = 0x9E3779B97F4A7C15
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000  # of pieces that one task sorts, shard by shard; and tasks that they are dealt to
 
 
 # --- windows and pieces -------------------------------------------------------
@@ -204,42 +206,111 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(b - a)) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def stretches(start: int, gram_at: int, text: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """The windows of a piece by stretches of the place of its least gram: (number of the stretch, first window, windows,
+    bytes that all windows of a whole stretch share, bytes of these windows).
+
+    Where the least gram is in each piece of a key once, equal windows have it at the same place, so they lie in
+    stretches of equal number that share the same bytes.
+    """
+    a = gram_at - start
+    first, last = a - (len(text) - length), a  # places of the gram in its windows
+    for low in range(first - first % STRETCH, last + 1, STRETCH):
+        high = min(low + STRETCH - 1, length - gram)
+        x, y = max(low, first), min(high, last)
+        yield low, start + a - y, y - x + 1, text[a - low : a + length - high], text[a - y : a - x + length]
+
+
 def narrowed(group: list[tuple], length: int, gram: int) -> tuple[list[tuple], list[tuple]]:
     """What of one key's pieces (many, id, row, start, gram_at, bytes) is still to be sorted, in the same form
     without ``gram_at``, and what is known to be repeated: (id, row, start, n).
 
-    Where the least gram is in each piece once, equal windows have it at the same place. Windows are taken by
-    stretches of that place: all windows of a stretch hold the bytes around the gram that they share, so a
-    stretch whose shared bytes no other piece has holds no repeat; stretches that are equal as a whole are repeats.
+    A stretch whose shared bytes no other piece has holds no repeat; stretches that are equal as a whole are repeats.
     """
     if len(group) < 2 or any(g[4] < 0 for g in group):
         return [(*g[:4], g[5]) for g in group], []
     meet: dict[tuple[int, bytes], dict[tuple[int, int, bytes], list[tuple]]] = {}
     for g in group:
         _, _, _, start, gram_at, text = g
-        a = gram_at - start
-        first, last = a - (len(text) - length), a  # places of the gram in its windows
-        for low in range(first - first % STRETCH, last + 1, STRETCH):
-            high = min(low + STRETCH - 1, length - gram)
-            x, y = max(low, first), min(high, last)
-            whole = text[a - y : a - x + length]
-            meet.setdefault((low, text[a - low : a + length - high]), {}).setdefault((x, y, whole), []).append((g, start + a - y))
+        for low, at, n, core, whole in stretches(start, gram_at, text, length, gram):
+            meet.setdefault((low, core), {}).setdefault((gram_at - at, n, whole), []).append((g, at))
     sort, known = [], []
     for kinds in meet.values():
         alone = len(kinds) == 1
-        for (x, y, whole), members in kinds.items():
+        for (_, n, whole), members in kinds.items():
             several = len(members) > 1 or members[0][0][0]
             if several:
-                known += [(g[1], g[2], at, y - x + 1) for g, at in members if not g[0]]
+                known += [(g[1], g[2], at, n) for g, at in members if not g[0]]
             if not alone:
                 g, at = members[0]
                 sort.append((several, g[1], g[2], at, whole))
     return sort, known
 
 
-def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, shard_bytes: int, memory: int) -> DataFrame:
-    """(id, row, start, n): repeated runs of windows of the pieces (key, many, id, row, start, gram_at, bytes)."""
-    dealt = cut.select("key", "many", "id", "row", "start", "gram_at", "bytes").repartition("key").sortWithinPartitions("key")
+def spread(hot: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``narrowed`` for keys with many pieces, as aggregations: no task gets a key.
+
+    ``hot``: the pieces (key, many, id, row, start, gram_at, bytes). They are dealt by (key, stretch, hash of the
+    shared bytes) and equal stretches are counted, map-side first. Gives what is known to be repeated (id, row,
+    start, n), and what is left as single windows (key, window, many, id, row, start).
+    """
+    ids = [hot.schema[c] for c in ("id", "row")]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "kind")), T.StructField("many", T.BooleanType()), *ids, *(T.StructField(c, T.LongType()) for c in ("piece", "start", "n"))])
+    arrow = to_arrow_schema(schema)
+
+    def told(*parts: object) -> int:
+        h = xxhash.xxh3_64()
+        for x in parts:
+            h.update(x if isinstance(x, bytes) else int(x).to_bytes(8, "little", signed=True))
+        return int.from_bytes(h.digest(), "big", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, many, i, row, start, gram_at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low, at, n, core, whole in stretches(start, gram_at, text, length, gram):
+                    out.append((told(key, low, core), told(gram_at - at, n, whole), many, i, row, start, at, n))
+            yield _rows(out, arrow)
+
+    src = hot.select("key", "many", "id", "row", "start", "gram_at", "bytes")
+    found = store(src.mapInArrow(run, schema), "hot-stretches")
+    one = F.min(F.struct("id", "row", "piece", "start", "n"))
+    kinds = store(found.groupBy("key", "kind").agg((F.max("many") | (F.count("*") > 1)).alias("several"), one.alias("one")), "hot-kinds")
+    known = found.filter("not many").join(kinds.filter("several").select("key", "kind"), ["key", "kind"]).select("id", "row", "start", "n")
+    shared = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
+    left = kinds.join(shared, "key").select("key", "several", "one.*")
+    lists = left.groupBy("id", "row", "piece").agg(F.collect_list(F.struct("key", "several", "start", "n")).alias("want"))  # a few per piece
+    lists = lists.select(F.col("id").alias("of_id"), F.col("row").alias("of_row"), "piece", "want")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")) & (F.col("start") == F.col("piece"))
+    texts = src.join(lists, same).select("id", "row", "start", "bytes", "want")
+    single = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "window")), T.StructField("many", T.BooleanType()), *ids, T.StructField("start", T.LongType())])
+    single_arrow = to_arrow_schema(single)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, row, start, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = memoryview(text)
+                for w in want:
+                    for at in range(w["start"], w["start"] + w["n"]):
+                        h = int.from_bytes(xxhash.xxh3_64_digest(raw[at - start : at - start + length]), "big", signed=True)
+                        out.append((w["key"], h, w["several"], i, row, at))
+                if len(out) >= ROWS:
+                    yield _rows(out, single_arrow)
+                    out = []
+            yield _rows(out, single_arrow)
+
+    return known, texts.mapInArrow(windows, single)
+
+
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, shard_bytes: int, memory: int, tasks: int) -> DataFrame:
+    """(id, row, start, n): repeated runs of windows of the pieces (key, many, id, row, start, gram_at, bytes), in ``tasks`` tasks."""
+    dealt = cut.select("key", "many", "id", "row", "start", "gram_at", "bytes").repartition(tasks, "key").sortWithinPartitions("key")
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("row", "start", "n"))])
     arrow = to_arrow_schema(schema)
 
@@ -249,23 +320,19 @@ def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, s
         group: list[tuple] = []  # of the last key
         size, key = 0, None
 
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
         def sort() -> pa.RecordBatch:
             out = []
             for (many, i, row, start, _), found in zip(held, repeated_windows([r[-1] for r in held], length, scratch), strict=True):
                 if not many:  # a class of several is known to be repeated throughout
                     out += [(i, row, start + a, n) for a, n in runs(found)]
-            return rows(out)
+            return _rows(out, arrow)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != key and group:
                     left, known = narrowed(group, length, gram)
                     if known:
-                        yield rows(known)
+                        yield _rows(known, arrow)
                     held += left
                     size += sum(len(r[-1]) for r in left)
                     group = []
@@ -276,7 +343,7 @@ def sorted_shards(cut: DataFrame, id_type: T.DataType, length: int, gram: int, s
                 group.append(row[1:])
         left, known = narrowed(group, length, gram)
         held += left
-        yield rows(known)
+        yield _rows(known, arrow)
         if held:
             yield sort()
 
@@ -295,10 +362,10 @@ def hot_windows(raw: memoryview, start: int, n: int, length: int) -> tuple[np.nd
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, row, key, many, start, gram_at, window, n, bytes) of the wanted pieces (id, row, key, start, n, gram_at, many, hot):
-    their bytes, or for those of hot keys a row per different window with its hash (``many``: known to be repeated, here or
+    """(id, row, key, many, start, gram_at, window, n, bytes) of the wanted pieces (id, row, key, start, n, gram_at, many, periodic):
+    their bytes, or for those of large periodic keys a row per different window with its hash (``many``: known to be repeated, here or
     elsewhere) and a row per run of ``n`` windows that the piece itself repeats."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("key", "start", "n", "gram_at", "many", "hot")).alias("pieces"))
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("key", "start", "n", "gram_at", "many", "periodic")).alias("pieces"))
     joined = docs.join(lists, docs["id"].eqNullSafe(lists["id"]) & (docs["row"] == lists["row"])).select(docs["id"], docs["row"], "pieces", "text")
     # Repeated rows are one text: a piece is cut out once.
     out = T.StructType([joined.schema["id"], T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("many", T.BooleanType()), *CUT.fields])
@@ -307,7 +374,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def found(i, row: int, want: list[dict], raw: memoryview) -> Iterator[tuple]:
         for p in want:
             a, n, key, many = p["start"], p["n"], p["key"], p["many"]
-            if not p["hot"]:
+            if not p["periodic"]:
                 yield i, row, key, many, a, p["gram_at"], None, None, bytes(raw[a : a + n + length - 1])
                 continue
             starts, kinds, twice, again = hot_windows(raw, a, n, length)
@@ -323,20 +390,16 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         rows: list[tuple] = []
         size = 0
 
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
         for batch in batches:
             for i, row, want, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for r in found(i, row, want, memoryview((text or "").encode())):
                     rows.append(r)
                     size += len(r[-1] or b"")
                     if len(rows) >= ROWS or size >= ROW_BYTES:
-                        yield batch_of()
+                        yield _rows(rows, arrow)
                         rows, size = [], 0
         if rows:
-            yield batch_of()
+            yield _rows(rows, arrow)
 
     return joined.mapInArrow(run, out)
 
@@ -361,15 +424,28 @@ def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int,
     copies = mixed.join(many, ["key", "piece"]).select("id", "row", "start", "n")
     size = F.sum(F.col("one.n") + length - 1)
     wide = classes.groupBy("key").agg(F.count("*").alias("kinds"), size.alias("size"), F.min("one.gram_at").alias("gram_at"))
-    wide = wide.filter((F.col("kinds") > hot_pieces) | (F.col("gram_at") < 0) & (F.col("size") > hot_bytes)).select("key", F.lit(True).alias("hot"))
-    wanted = classes.join(wide, "key", "left").select("key", "one.id", "one.row", "one.start", "one.n", "one.gram_at", (F.col("members") > 1).alias("many"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot, twice = F.col("kinds") > hot_pieces, F.col("gram_at") < 0
+    wide = store(wide.select("key", "size", (hot & ~twice).alias("hot"), (twice & (hot | (F.col("size") > hot_bytes))).alias("periodic")), "wide-keys")
+    large = wide.filter("hot or periodic").select("key", "hot", "periodic")
+    wanted = classes.join(large, "key", "left").select(
+        "key", "one.id", "one.row", "one.start", "one.n", "one.gram_at", (F.col("members") > 1).alias("many"), F.coalesce("periodic", F.lit(False)).alias("periodic")
+    )
     cut = store(cut_out(docs, wanted, length), "cut-pieces")
-    sorted_ = sorted_shards(cut.filter("bytes is not null"), docs.schema["id"].dataType, length, gram, shard_bytes, memory)
-    windows = cut.filter("window is not null")
+    texts = cut.filter("bytes is not null")
+    total = wide.filter("not hot and not periodic").agg(F.sum("size")).first()[0] or 0
+    tasks = min(MOST_TASKS, 1 + total // TASK_BYTES)
+    few = texts.join(large.filter("hot").select("key"), "key", "left_anti")
+    sorted_ = sorted_shards(few, docs.schema["id"].dataType, length, gram, shard_bytes, memory, tasks)
+    out = same.unionByName(copies).unionByName(sorted_)
+    windows = cut.filter("window is not null").select("key", "window", "many", "id", "row", "start")
+    if large.filter("hot").limit(1).count():
+        known, more = spread(store(texts.join(large.filter("hot").select("key"), "key"), "hot-pieces"), length, gram)
+        out, windows = out.unionByName(known), windows.unionByName(more)
+    windows = store(windows, "windows")
     counted = windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("many").alias("any")).filter("c > 1 or any").select("key", "window")
     single = windows.filter("not many").join(counted, ["key", "window"]).select("id", "row", "start", F.lit(1).cast("bigint").alias("n"))
     periodic = cut.filter("n is not null").select("id", "row", "start", "n")
-    return same.unionByName(copies).unionByName(sorted_).unionByName(single).unionByName(periodic)
+    return out.unionByName(single).unionByName(periodic)
 
 
 def kept_pieces(size: int, found: list[dict], length: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -400,7 +476,7 @@ def _with_runs(docs: DataFrame, keep: list[str], id_col: str, text_col: str, opt
     return docs.select(*[F.col(f"`{x}`") for x in keep]).join(lists, same, "left").drop(i, r), c
 
 
-DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 20_000, "hot_bytes": 4 << 20, "memory": 128 << 20}
+DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 1_000, "hot_bytes": 4 << 20, "memory": 128 << 20}
 
 
 def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -153,3 +153,21 @@ def test_no_task_gets_a_key_of_many_bytes(spark, monkeypatch):
     assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 20)
     assert seen["most"] <= 100_000
     assert seen["cut"].count() < 12 * 100
+
+
+@pytest.mark.parametrize("hot", [1, 5, 30])
+def test_a_passage_of_many_documents_goes_to_no_single_task(spark, monkeypatch, hot):
+    """Parts of one passage, of many lengths, between texts of their own, some documents twice: pieces of the
+    same keys. None of a key with many pieces is sorted, and results equal brute force."""
+    rnd = random.Random(hot)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    passage = word(90)
+    texts = [word(rnd.randint(0, 30)) + passage[rnd.randint(0, 40) : rnd.randint(50, 90)] + word(rnd.randint(0, 30)) for _ in range(80)]
+    rows = list(enumerate(texts + texts[:8]))
+    seen = []
+    sort = s.sorted_shards
+    monkeypatch.setattr(s, "STRETCH", 3)
+    monkeypatch.setattr(s, "sorted_shards", lambda cut, *args: (seen.append(cut), sort(cut, *args))[1])
+    got = by_id(s.substring_report(documents(spark, rows), length=20, gram=5, hot_pieces=hot))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 20)
+    assert max((r["count"] for r in seen[0].groupBy("key").count().collect()), default=0) <= hot
