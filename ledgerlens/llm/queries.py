@@ -65,7 +65,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = urltree.judge(_table(spark, sf_dir, "pages"), ["page_id"])
+    found = urltree.judge(_table(spark, sf_dir, "pages"), ["page_id"], label=urltree.weak_label(F.col("html")))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

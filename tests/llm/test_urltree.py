@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import urltree as u
@@ -99,3 +102,110 @@ def test_awkward_tables(spark):
     assert len(rows) == 3 and {r.verdict for r in rows} == {"allow"}
     plan = u.judge(pages, ["page_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+FORMS = (
+    (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?(?=$|\.)", "{date}"), (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?=$|\.)", "{id}"),
+    (r"^[0-9]+(?=$|\.)", "{n}"), (r"^(?=[^.]*[0-9])[0-9a-fA-F]{8,}(?=$|\.)", "{id}"), (r"[0-9]{3,}", "{n}"),
+)
+
+
+def plain(urls, labels, levels=8, fan_out=20, rare_share=0.1, min_labels=5, z=2.0, weight=2.0, least_purity=0.5):
+    """(template, verdict of the tree) of each url, page by page and node by node."""
+    pages = []
+    for url, label in zip(urls, labels, strict=True):
+        host, path = parts(url)
+        segments = re.sub("^/", "", path).split("/")
+        for pattern, wild in FORMS:
+            segments = [re.sub(pattern, wild, x) for x in segments]
+        if len(segments) > levels:
+            segments = [*segments[: levels - 1], "/".join(segments[levels - 1 :])]
+        pages.append({"host": host, "parts": segments, "at": "", "above": [], "good": label is True, "bad": label is False})
+    for level in range(levels):
+        nodes = defaultdict(lambda: defaultdict(list))
+        for x in pages:
+            if level < len(x["parts"]):
+                nodes[x["host"], x["at"]][x["parts"][level]].append(x)
+        for kids in nodes.values():
+            inside = [x for own in kids.values() for x in own]
+            bad, told = sum(x["bad"] for x in inside), sum(x["good"] + x["bad"] for x in inside)
+            for part, own in kids.items():
+                name, own_bad, own_told = part, sum(x["bad"] for x in own), sum(x["good"] + x["bad"] for x in own)
+                if len(kids) >= fan_out and len(own) < rare_share * len(inside):
+                    name = "{*}"
+                elif len(kids) > 1 and own_told >= min_labels and abs(own_bad - own_told * (bad / told)) <= z * (own_told * (bad / told) * (1 - bad / told)) ** 0.5 + 0.5:
+                    name = "{=}"
+                for x in own:
+                    x["next"] = x["at"] + "/" + name
+        for x in pages:
+            if level < len(x["parts"]):
+                x["above"].append(x["at"])
+                x["at"] = x["next"]
+
+    def counts(some):
+        return sum(x["good"] for x in some), sum(x["good"] + x["bad"] for x in some)
+
+    good, told = counts(pages)
+    overall = good / told if told else 1.0
+    out = []
+    for x in pages:
+        host = [y for y in pages if y["host"] == x["host"]]
+        p = overall
+        for node in x["above"]:
+            good, told = counts([y for y in host if node in y["above"]])
+            p = (good + weight * p) / (told + weight)
+        good, told = counts([y for y in host if y["at"] == x["at"]])
+        p = (good + weight * p) / (told + weight)
+        out.append((x["at"], "block" if counts(host)[1] and p < least_purity else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_templates_and_verdicts_equal_a_plain_version(spark, seed):
+    rnd = random.Random(seed)
+    words = ["a", "b", "c", "news", "7", "12", "2024-01", "x.html", "0a1b2c3d4e"]
+    bad_places = {(h, w) for h in "pqr" for w in words if rnd.random() < 0.3}
+    rows = []
+    for _ in range(300):
+        host, path = rnd.choice("pqr"), [rnd.choice(words) for _ in range(rnd.randint(0, 5))]
+        if rnd.random() < 0.3:
+            path.append(f"w{rnd.randint(0, 40)}x")
+        bad = bool(path) and (host, path[0]) in bad_places
+        label = None if rnd.random() < 0.4 else rnd.random() < (0.1 if bad else 0.95)
+        rows.append((f"http://{host}.org/{'/'.join(path)}", label))
+    options = {"fan_out": 10, "levels": 4, "z": 1.5} if seed % 2 else {}
+    got = judge(spark, rows, label=F.col("good"), rules=[], **options, **SCHEMA)
+    want = plain(*zip(*rows, strict=True), **options)
+    assert [(got[i].template, got[i].verdict) for i in range(len(rows))] == want
+    assert {v for _, v in want} == {"allow", "block"}
+
+
+def test_the_tree_decides_on_pages_without_a_rule(spark):
+    """The registered query against the plain version on a whole table."""
+    import __spark_entry__ as contract
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", u.weak_label(F.col("html")).alias("good")).collect()
+    got = {r.page_id: r for r in contract.queries()["op7_url_filter"](spark, SF).collect()}
+    want = plain([p.url for p in pages], [p.good for p in pages])
+    assert len(got) == len(pages)
+    for p, (_, verdict) in zip(pages, want, strict=True):
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule, r.verdict) == (*parts(p.url), rule(p.url), RULES[rule(p.url)] if rule(p.url) else verdict)
+    unruled = [v for p, (_, v) in zip(pages, want, strict=True) if not rule(p.url)]
+    assert 0 < unruled.count("block") < len(unruled) / 2
+
+
+def test_weak_labels(spark):
+    words = "plain words of a page "
+    rows = [
+        words * 5, f"<p>{words * 5}</p><script>var x = '### $$$ |||' * 99</script><!-- || || -->", "### " * 40, words.upper() * 5, "<b>few words</b>", None, "",
+        "&amp; " * 30 + words * 5, "a | b | " * 12, "<p " + "x" * 100_000, "12 34 " * 30,
+    ]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "html string").select(u.weak_label(F.col("html"))).collect()]
+    assert got == [True, True, False, False, None, None, None, True, False, None, True]
+
+
+def test_names_that_clash_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "mine", "too")], "page_id bigint, url string, template string, host string")
+    row = u.judge(pages, ["page_id", "template", "host"]).collect()[0]
+    assert row.asDict() == {"page_id": 1, "template": "mine", "host": "too", "_host": "a.org", "path": "/x", "rule": None, "_template": "/x", "verdict": "allow"}
