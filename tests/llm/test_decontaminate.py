@@ -100,3 +100,51 @@ def test_empty_tables(spark):
     assert d.contamination(none, tests).count() == 0
     got = by_id(d.contamination(documents(spark, ["some text"]), tests))
     assert (got[0].n_words, got[0].n_hit, got[0].contaminated) == (2, 0, False)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 40}])
+def test_long_repetitive_texts_and_repeated_items(spark, options):
+    """A text of 20,000 equal words against an item of 400 of them, and 300 rows of one item: no pairs of all with all."""
+    import time
+
+    tests = [(1, "go " * 400), (2, "no " * 30), *[(100 + i, "one two three four five") for i in range(300)], (None, "one two three four five")]
+    docs = [(1, "go " * 20_000), (2, "x " + "go " * 600 + "x"), (3, "a one two three four five b"), (4, "no " * 5000), (5, None)]
+    begun = time.time()
+    got = by_id(d.contamination(documents(spark, docs), spark.createDataFrame(tests, "item_id bigint, text string"), window=4, **options))
+    assert time.time() - begun < 60
+    assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].longest_match) for i in (1, 2, 3, 4, 5)] == [
+        (20_000, 20_000, 1, 400), (602, 600, 1, 400), (7, 5, 301, 5), (5000, 5000, 1, 30), (0, 0, 0, 0),
+    ]
+    ids = sorted(["", *map(str, range(100, 400))])
+    assert got[3].items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_longest_matches_of_repetitive_texts_equal_brute_force():
+    rnd = random.Random(8)
+    for _ in range(60):
+        line = lambda n: [rnd.choice("aab") for _ in range(n)]
+        items, texts_ = [line(rnd.randint(1, 9)) for _ in range(4)], [line(rnd.randint(0, 25)) for _ in range(3)]
+        items = [list(x) for x in {tuple(x) for x in items}]
+        t = d.test_suffixes([([str(k)], " ".join(x).encode()) for k, x in enumerate(items)], 3)
+        for text, (n, hits, found, matches) in zip(texts_, d.scan([" ".join(x).encode() for x in texts_], t), strict=True):
+            want = set()
+            for k, x in enumerate(items):
+                w = min(3, len(x))
+                for a in range(len(x) - w + 1):
+                    for b in range(len(text) - w + 1):
+                        if x[a : a + w] == text[b : b + w] and not (a and b and x[a - 1] == text[b - 1]):
+                            m = w
+                            while a + m < len(x) and b + m < len(text) and x[a + m] == text[b + m]:
+                                m += 1
+                            want.add((str(k), a, b, m))
+            assert {tuple(m.values()) for m in matches} == want and len(matches) == len(want)
+            assert found == sorted({m[0] for m in want}) and n == len(text)
+            assert [list(h) for h in hits] == d.united([list(h) for h in hits])
+
+
+def test_no_text_is_shuffled_and_the_driver_reads_no_item(spark):
+    docs = documents(spark, ["some text here", "other"])
+    tests = spark.createDataFrame([(i, f"item number {i} of many") for i in range(20)], "item_id bigint, text string")
+    plan = d.report(docs, tests, docs.columns, window=3, block_bytes=30)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "HashAggregate" not in plan
+    assert plan.count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange")
