@@ -14,10 +14,11 @@ Common languages are the declared values that at least ``min_share`` of the decl
 rows carry, so there are at most 1 / min_share of them; that bounds all tables
 that are broadcast (trigram tables, counts per language). Every other value that at
 least ``min_rows`` rows carry is a rare language: its trigrams are counted in a
-distributed table, and its model is one row of a file that tasks map, so memory
-does not grow with their number (the driver holds their names and one block of models).
+distributed table, and a file that tasks map lists, trigram by trigram, the rare languages that
+have it, so neither memory nor the time of a text grows with languages that share no trigrams
+with it (the driver holds their names and one block of the file).
 The rare languages are one class of the host prior and of the declared evidence;
-within it each weighs by its rows, and a text is scored under every one of them.
+within it each weighs by its rows, and a text is weighed under every one of them.
 Host tables stay distributed and are joined, never collected.
 
 A text is kept if a known language is likelier than ``und``. A declared value with
@@ -49,8 +50,8 @@ BUCKETS = 1 << 16
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 #: A byte lies in three trigrams, so each trigram counts a third.
 TEMPER = 1 / 3
-#: Rare languages whose models the driver builds at a time.
-BLOCK = 64
+#: Cells of the file of rare languages that the driver writes at a time.
+BLOCK = 1 << 20
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +75,11 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(found), F.lit(""))
 
 
+def visible_text(html: Column) -> Column:
+    """What a page shows: no scripts, styles, comments, tags and entities."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]{1,8};", " ")
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"://([^/?#:]*)", 1))
 
@@ -114,10 +120,15 @@ def numbered(spark: SparkSession, rare: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame([(d, i) for i, (d, _) in enumerate(rare)], "rare_name string, number int")
 
 
+CELL = np.dtype([("number", np.int32), ("gain", np.float32)])
+
+
 def rare_models(src: DataFrame, rare: list[tuple[str, int]], smoothing: float = 0.5) -> str:
-    """A file that every executor fetches: log P(bucket | language) of each rare language, a row each; its name.
+    """A file that every executor fetches; its name. It lists, bucket by bucket, the rare languages that have the bucket
+    and how much likelier it is there than a bucket that the language lacks: log P(bucket | language) is
+    ``base`` of the language plus that.
 
-    ``src``: text, own (number of the rare language declared).
+    ``src``: text, own (number of the rare language declared). The driver holds ``BLOCK`` cells of the file at a time.
     """
     spark = src.sparkSession
 
@@ -129,21 +140,58 @@ def rare_models(src: DataFrame, rare: list[tuple[str, int]], smoothing: float =
 
     cells = src.filter("own is not null").select("text", F.col("own").cast("bigint")).mapInArrow(run, "number bigint, bucket bigint, n bigint")
     cells = store(cells.groupBy("number", "bucket").agg(F.sum("n").alias("n")), "rare-trigrams")
+    total = np.zeros(len(rare))
+    for r in cells.groupBy("number").agg(F.sum("n").alias("n")).collect():  # a row per language
+        total[r.number] = r.n
+    size = np.zeros(BUCKETS, np.int64)
+    for r in cells.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # a row per bucket
+        size[r.bucket] = r.n
+    at = np.concatenate([[0], np.cumsum(size)])
     name = f"rare-languages-{uuid.uuid4().hex}.bin"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    for at in range(0, len(rare), BLOCK):
-        size = min(BLOCK, len(rare) - at)
-        part = cells.filter(F.col("number").between(at, at + size - 1)).toPandas()
-        counts = np.full((size, BUCKETS), smoothing)
-        counts[part["number"].to_numpy() - at, part["bucket"].to_numpy()] += part["n"].to_numpy()
-        for row in counts:
-            out.write(bytearray(np.log(row / row.sum()).astype(np.float32).tobytes()))
+    out.write(bytearray(at.tobytes() + np.log(smoothing / (total + smoothing * BUCKETS)).tobytes()))
+    cuts = np.unique(np.concatenate([np.searchsorted(at, np.arange(0, at[-1] + BLOCK, BLOCK)), [BUCKETS]]))
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = cells.filter(F.col("bucket").between(int(low), int(high) - 1)).orderBy("bucket", "number").toPandas()
+        made = np.zeros(len(part), CELL)
+        made["number"], made["gain"] = part["number"], np.log((part["n"] + smoothing) / smoothing)
+        out.write(bytearray(made.tobytes()))
     out.close()
     spark.sparkContext.addFile(path.toString())
     return name
 
 
+class RareModels:
+    """The fetched file, memory-mapped. A text costs as much as its trigrams are shared by languages, however many there are."""
+
+    def __init__(self, name: str, n: int) -> None:
+        raw = np.memmap(SparkFiles.get(name), np.uint8, "r")
+        head = 8 * (BUCKETS + 1)
+        self.n, self.at = n, np.frombuffer(raw, np.int64, BUCKETS + 1)
+        self.base = np.frombuffer(raw, np.float64, n, head)
+        self.cells = np.frombuffer(raw, CELL, int(self.at[-1]), head + 8 * n)
+
+    def scores(self, key: np.ndarray, n: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+        """Log-likelihood of texts of ``n`` trigrams each (``key``) under every rare language, some texts at a time:
+        (first text, a row per text)."""
+        owner = np.repeat(np.arange(len(n)), n)
+        kind, times = np.unique(owner * BUCKETS + key, return_counts=True)
+        owner, key = kind // BUCKETS, kind % BUCKETS
+        size = self.at[key + 1] - self.at[key]
+        work = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(n)) + self.n)])
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(work, work[first] + most, "right")) - 1)
+            a, b = np.searchsorted(owner, [first, last])
+            place = np.repeat(self.at[key[a:b]] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b]) + np.arange(int(size[a:b].sum()))
+            found = self.cells[place]
+            where = np.repeat((owner[a:b] - first) * self.n, size[a:b]) + found["number"]
+            gain = np.bincount(where, np.repeat(times[a:b], size[a:b]) * found["gain"], (last - first) * self.n).reshape(-1, self.n)
+            yield first, n[first:last, None] * self.base + gain
+            first = last
+
+
 def text_scores(docs: DataFrame, keep: list[str], text_col: str, tables: np.ndarray, rare: list[tuple[str, int]], models: str | None) -> DataFrame:
     """``keep`` columns (``own`` is one), ``n_letters``, and ``scores``: the tempered log-likelihood per class.
 
@@ -163,7 +211,7 @@ def text_scores(docs: DataFrame, keep: list[str], text_col: str, tables: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.ascontiguousarray(shared.value)
         share = weights.value
-        mapped = None if models is None else np.memmap(SparkFiles.get(models), np.float32, "r").reshape(-1, BUCKETS)
+        mapped = None if models is None else RareModels(models, len(share))
         width = len(rows) + (mapped is not None)
         for b in chunks(batches, 0, 4 << 20):
             key, n = trigrams(as_bytes(b.column(0)))
@@ -181,14 +229,11 @@ def text_scores(docs: DataFrame, keep: list[str], text_col: str, tables: np.ndar
                     out[some, i] = likelihood(row)
                 out[some, -1] = likelihood(rows[-1])
                 if mapped is not None:
-                    top = np.full(len(some), -np.inf)
-                    for j, row in enumerate(mapped):
-                        got = likelihood(row) + share[j]
-                        better = got > top
-                        top[better], best[some[better]] = got[better], j
-                        mine = own[some] == j
-                        own_score[some[mine]] = got[mine]
-                    out[some, -2] = top
+                    for first, made in mapped.scores(key, n[some]):
+                        got, texts = made * TEMPER + share, some[first : first + len(made)]
+                        best[texts] = got.argmax(1)
+                        out[texts, -2] = got.max(1)
+                        own_score[texts] = got[np.arange(len(texts)), np.maximum(own[texts], 0)]
             scores = pa.ListArray.from_arrays(np.arange(0, len(n) * width + 1, width, dtype=np.int32), pa.array(out.ravel()))
             cols = [*(b.column(1 + i) for i in range(len(keep))), pa.array(n), scores, pa.array(best), pa.array(own_score, mask=own < 0)]
             yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
@@ -254,15 +299,17 @@ def identify(
 ) -> DataFrame:
     """``keep`` columns, ``language`` (null: und), ``posterior`` of the likeliest class, and ``kept``.
 
-    ``host``: the address' host (default: the column ``source``).
+    ``host``: the address' host (default: the column ``source``). A ``keep`` column that is called like one of these
+    stays; the new one gets underscores before its name.
     """
+    language, posterior, kept = (fresh(keep, c) for c in ("language", "posterior", "kept"))
     host = F.col("source") if host is None else host
     spark = docs.sparkSession
     d, h = fresh(docs.columns, "declared_in"), fresh(docs.columns, "host_in")
     src = docs.withColumns({d: F.col(declared_col).cast("string"), h: F.coalesce(F.lower(host.cast("string")), F.lit(""))})
     known, rare = languages(docs, declared_col, min_share, min_rows)
     if not known and not rare:
-        return docs.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias(language), F.lit(0.0).alias(posterior), F.lit(True).alias(kept))
     tables = trigram_tables(docs, text_col, declared_col, known)
     pool = len(known)  # the class of the rare languages, if there are any
     classes = len(known) + (1 if rare else 0) + 1
@@ -306,9 +353,9 @@ def identify(
     given = F.when(und & unmodelled, F.col("declared")).otherwise(F.get(names_of, "best"))
     return joined.select(
         *[F.col(k).alias(c) for c, k in own.items()],
-        F.when(told, given).alias("language"),
-        F.round("posterior", 6).alias("posterior"),
-        (told & F.coalesce(~und | unmodelled, F.lit(False))).alias("kept"),
+        F.when(told, given).alias(language),
+        F.round("posterior", 6).alias(posterior),
+        (told & F.coalesce(~und | unmodelled, F.lit(False))).alias(kept),
     )
 
 
@@ -317,6 +364,6 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     row, i = fresh(docs.columns, "row_in"), fresh(docs.columns, "id_in")
     keyed = docs.withColumn(row, F.xxhash64(F.col(text_col).cast("string")))
     found = identify(keyed, [id_col, row], text_col=text_col, **options)
-    gone = store(found.filter(~F.col("kept")).select(F.col(id_col).alias(i), F.col(row).alias(f"{row}_2")).distinct(), "language-rejected")
+    gone = store(found.filter(~F.col(found.columns[-1])).select(F.col(id_col).alias(i), F.col(row).alias(f"{row}_2")).distinct(), "language-rejected")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(row) == F.col(f"{row}_2"))
     return keyed.join(gone, same, "left_anti").drop(row)

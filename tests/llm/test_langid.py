@@ -104,7 +104,7 @@ def _with_rare_languages(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
 
 
-@pytest.mark.parametrize("block", [1, 64])
+@pytest.mark.parametrize("block", [7, 1 << 20])
 def test_rare_languages_have_models(spark, monkeypatch, block):
     monkeypatch.setattr(l, "BLOCK", block)
     docs = _with_rare_languages(spark)
@@ -127,3 +127,107 @@ def test_only_rare_languages(spark):
     docs = _with_rare_languages(spark).filter("lang in ('el', 'fi')")
     got = by_id(l.identify(docs, ["doc_id", "lang"], min_share=2.0, min_rows=5))
     assert {i for i, r in got.items() if i < 9000 and r.language != r.lang} == set()
+
+
+def plain_identify(rows, known, weight=20.0):
+    """The fused posterior of (text, declared, host) rows, step by step; no rare languages."""
+    keys = [l.trigrams([(t or "").encode()])[0].tolist() for t, _, _ in rows]
+    counts = {k: {} for k in known}
+    for key, (_, declared, _) in zip(keys, rows, strict=True):
+        for x in key if declared in known else []:
+            counts[declared][x] = counts[declared].get(x, 0) + 1
+    total = {k: sum(counts[k].values()) + 0.5 * l.BUCKETS for k in known}
+    scores = [[sum(math.log((counts[k].get(x, 0) + 0.5) / total[k]) for x in key) / 3 for k in known] + [-len(key) * math.log(l.BUCKETS) / 3] for key in keys]
+    classes = len(known) + 1
+    best = [s.index(max(s)) for s in scores]
+    told = [i for i, key in enumerate(keys) if key]
+    share = [[1.0] * classes for _ in known]
+    for i in told:
+        if rows[i][1] in known:
+            share[known.index(rows[i][1])][best[i]] += 1
+    column = [sum(r[c] for r in share) for c in range(classes)]
+    hosts = [(h or "").lower() for _, _, h in rows]
+
+    def smoothed(inside, parent, w):
+        n = [sum(1 for i in told if inside(hosts[i]) and best[i] == c) for c in range(classes)]
+        return [(x + w * p) / (sum(n) + w) for x, p in zip(n, parent, strict=True)]
+
+    def suffix(h):
+        return h.rsplit(".", 1)[1] if "." in h else ""
+
+    def domain(h):
+        return ".".join(h.split(".")[-2:]) if h.count(".") > 1 else h
+
+    out = []
+    for i, (_, declared, _) in enumerate(rows):
+        h = hosts[i]
+        prior = [1.0 / classes] * classes
+        if h in {hosts[j] for j in told}:
+            prior = smoothed(lambda x: True, prior, classes)
+            prior = smoothed(lambda x: suffix(x) == suffix(h), prior, weight)
+            prior = smoothed(lambda x: (suffix(x), domain(x)) == (suffix(h), domain(h)), prior, weight)
+            prior = smoothed(lambda x: x == h, prior, weight)
+        evidence = [math.log(x / c) for x, c in zip(share[known.index(declared)], column, strict=True)] if declared in known else [0.0] * classes
+        log = [s + math.log(p) + e for s, p, e in zip(scores[i], prior, evidence, strict=True)]
+        top = max(log)
+        out.append((log.index(top), 1 / sum(math.exp(x - top) for x in log), bool(keys[i])))
+    return out
+
+
+def test_the_fused_posterior_equals_a_plain_version(spark):
+    rnd = random.Random(11)
+    words = {"en": "the of and to in that was his".split(), "fr": "le de la et les des en un".split(), "de": "der die und in den von zu das".split()}
+    hosts = ["a.x.com", "b.x.com", "x.com", "c.org", "HOST", "", None]
+    rows = []
+    for _ in range(240):
+        lang = rnd.choice(list(words))
+        text = " ".join(rnd.choices(words[lang], k=rnd.choice([1, 2, 3, 12])))
+        rows.append((text, rnd.choice([lang, lang, None, "fr"]), rnd.choice(hosts[: 4 if lang == "en" else 7])))
+    rows += [(None, "en", "a.x.com"), ("12 34", None, "c.org"), ("", "fr", None), ("zq", "de", "never.seen.net"), ("zq", "de", "never.seen.net")]
+    rows += [("qzx wvk jjq " * 9, "xx", "c.org"), ("der die das", "xx", None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string")
+    got = by_id(l.identify(docs, ["doc_id"], min_share=0.1, min_rows=10_000))
+    known = ["de", "en", "fr"]
+    for i, (best, posterior, told) in enumerate(plain_identify(rows, known)):
+        r = got[i]
+        assert r.posterior == pytest.approx(posterior, abs=2e-4), i
+        unmodelled = best == 3 and rows[i][1] == "xx"
+        assert r.language == ((rows[i][1] if unmodelled else [*known, None][best]) if told else None), i
+        assert r.kept == (told and (best < 3 or unmodelled))
+
+
+def test_scores_of_rare_languages_equal_dense_tables(spark):
+    docs = _with_rare_languages(spark).selectExpr("doc_id", "text", "lang", "case lang when 'el' then 0 when 'fi' then 1 when 'th' then 2 end as own")
+    rare = [("el", 22), ("fi", 21), ("th", 1)]
+    name = l.rare_models(docs, rare)
+    rows = docs.collect()
+    dense = np.full((3, l.BUCKETS), 0.5)
+    for r in rows:
+        if r.own is not None:
+            np.add.at(dense[r.own], l.trigrams([(r.text or "").encode()])[0], 1)
+    dense = np.log(dense / dense.sum(1, keepdims=True))
+    texts = [(r.text or "").encode() for r in rows if r.text]
+    key, n = l.trigrams(texts)
+    want = np.array([[dense[j][k].sum() for j in range(3)] for k in np.split(key, np.cumsum(n)[:-1])])
+    models = l.RareModels(name, 3)
+    for most in (1, 5000, 1 << 22):
+        got = np.concatenate([x for _, x in models.scores(key, n, most)])
+        assert np.allclose(got, want, atol=1e-2, rtol=1e-5)
+
+
+def test_the_query_reads_both_tables(spark):
+    import __spark_entry__ as contract
+
+    small = "/root/testdata/sf0.001"
+    rows = contract.queries()["op5_language_id"](spark, small).collect()
+    docs, pages = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "pages"))
+    assert sorted(r.doc_id for r in rows if r.table == "documents") == sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.page_id for r in rows if r.table == "pages") == sorted(r.page_id for r in pages.collect())
+    declared = {r.page_id: r.d for r in pages.select("page_id", l.declared_language(F.col("html")).alias("d")).collect()}
+    assert sum(r.language == declared[r.page_id] for r in rows if r.table == "pages") > 0.95 * len(declared)
+
+
+def test_names_that_clash_stay(spark):
+    docs = documents(spark, ["some words here", None]).selectExpr("doc_id", "text", "lang", "source", "'mine' as language", "1 as kept", "2 as posterior")
+    got = l.identify(docs, ["doc_id", "language", "kept", "posterior"]).collect()
+    assert all((r.language, r.kept, r.posterior) == ("mine", 1, 2) and "_language" in r.asDict() and "_kept" in r.asDict() for r in got)
