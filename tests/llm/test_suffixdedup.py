@@ -83,8 +83,10 @@ def test_slices_of_a_long_text_change_nothing(monkeypatch):
     assert windows().keys() == whole.keys()
 
 
+@pytest.mark.parametrize("batch", [1 << 18, 1, 5])
 @pytest.mark.parametrize("alphabet,small", [(4096, 1 << 16), (4096, 0), (3, 0), (3, 12)])
-def test_suffixes_and_common_prefixes(monkeypatch, alphabet, small):
+def test_suffixes_and_common_prefixes(monkeypatch, alphabet, small, batch):
+    monkeypatch.setattr(induced, "BATCH", batch)
     monkeypatch.setattr(induced, "ALPHABET", alphabet)
     monkeypatch.setattr(induced, "SMALL", small)
     rnd = random.Random(alphabet + small)
@@ -171,3 +173,27 @@ def test_a_passage_of_many_documents_goes_to_no_single_task(spark, monkeypatch,
     got = by_id(s.substring_report(documents(spark, rows), length=20, gram=5, hot_pieces=hot))
     assert {k: tuple(r)[1:] for k, r in got.items()} == brute(rows, 20)
     assert max((r["count"] for r in seen[0].groupBy("key").count().collect()), default=0) <= hot
+
+
+def test_a_string_larger_than_memory_is_sorted_in_batches(monkeypatch):
+    """Long arrays are files, batches are small: of a string that takes 60 MB of arrays a sixth is in memory at once."""
+    import tracemalloc
+
+    monkeypatch.setattr(induced, "BATCH", 1 << 14)
+    rnd = np.random.default_rng(1)
+    passage = rnd.integers(2, 60, 40_000)
+    parts = [x for _ in range(12) for x in (passage[: rnd.integers(20_000, 40_000)], rnd.integers(2, 60, 60_000))]
+    body = np.concatenate(parts)
+    scratch = induced.Scratch(1 << 16)
+    t = scratch.array(len(body) + 2, np.uint16)
+    t[:-2], t[-2], t[-1] = body, 1, 0
+    assert isinstance(t, np.memmap)
+    tracemalloc.start()
+    order, shared = induced.sort_suffixes(t, 400, scratch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(order, np.memmap) and isinstance(shared, np.memmap)
+    assert len(t) > 900_000 and peak < 12 << 20
+    plain_order, plain_shared = induced.sort_suffixes(np.array(t), 400)
+    assert np.array_equal(order, plain_order) and np.array_equal(shared, plain_shared)
+    assert (np.asarray(shared) == 400).sum() > 200_000
