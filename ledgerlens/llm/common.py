@@ -52,6 +52,20 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def visible_text(html: Column) -> Column:
+    """What a page shows: no tags, scripts, styles, comments and entities. A tag ends at its first ``>``; what follows a
+    ``<`` without any is no text."""
+    parts = F.split(F.concat(F.lit(">"), html.cast("string")), "<")
+
+    def shown(x: Column) -> Column:
+        hidden = F.lower(F.substring(x, 1, 6)).rlike("^(script|style|!--)")
+        comment = F.when(F.instr(x, "-->") > 0, F.substring_index(x, "-->", -1)).otherwise(F.lit(""))
+        after = F.when(F.instr(x, ">") > 0, F.substring(x, F.instr(x, ">") + 1, F.length(x))).otherwise(F.lit(""))
+        return F.when(hidden, F.when(x.startswith("!--"), comment).otherwise(F.lit(""))).otherwise(after)
+
+    return F.regexp_replace(F.array_join(F.transform(parts, shown), " "), "&#?[a-zA-Z0-9]{1,8};", " ")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` of text (one row at least)."""
     held: list[pa.RecordBatch] = []

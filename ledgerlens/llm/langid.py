@@ -75,11 +75,6 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(found), F.lit(""))
 
 
-def visible_text(html: Column) -> Column:
-    """What a page shows: no scripts, styles, comments, tags and entities."""
-    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]{1,8};", " ")
-
-
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"://([^/?#:]*)", 1))
 

@@ -24,6 +24,7 @@ from ledgerlens.llm import (
     tokencount,
     urltree,
 )
+from ledgerlens.llm.common import visible_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("bigint")
     docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), "doc_id", none.alias("page_id"), "text", "lang", F.col("source").alias("host"))
     html, url = F.col("html"), F.col("url")
-    own = [langid.visible_text(html).alias("text"), langid.declared_language(html).alias("lang"), langid.url_host(url).alias("host")]
+    own = [visible_text(html).alias("text"), langid.declared_language(html).alias("lang"), langid.url_host(url).alias("host")]
     pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), none.alias("doc_id"), "page_id", *own)
     return langid.identify(docs.unionByName(pages), names, host=F.col("host"))
 
@@ -73,7 +74,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = urltree.judge(_table(spark, sf_dir, "pages"), ["page_id"], label=urltree.weak_label(F.col("html")))
+    pages = _table(spark, sf_dir, "pages").withColumn("shown", visible_text(F.col("html")))
+    found = urltree.judge(pages, ["page_id"], label=urltree.weak_label(F.col("shown")))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

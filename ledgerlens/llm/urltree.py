@@ -37,7 +37,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER, UPPER, ascii_lower, fresh, store
+from ledgerlens.llm.common import ascii_lower, fresh, store
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -79,23 +79,24 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule], what: str) -> Co
     return out
 
 
-#: What a page does not show: scripts, styles, comments, tags and entities.
-HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]{1,8};"
-SYMBOLS = "#*$%|<>&"
+SYMBOLS = "#*$%|"
 
 
-def weak_label(html: Column, *, words: int = 20, good: tuple[float, float] = (0.05, 0.2), bad: tuple[float, float] = (0.2, 0.4)) -> Column:
-    """Whether a page reads like a text: false from ``bad`` symbols per word or capitals per letter on, true up to
-    ``good`` of both, else (and under ``words`` words) null."""
-    text = F.regexp_replace(html.cast("string"), HIDDEN, " ")
+def weak_label(text: Column, *, words: int = 20, good: tuple[float, float] = (0.05, 0.2), bad: tuple[float, float] = (0.2, 0.4)) -> Column:
+    """Whether what a page shows reads like a text: false from ``bad`` symbols per word, or words in capitals, on, true up to
+    ``good`` of both, else (and under ``words`` words) null. ``text``: a column, as it is looked at several times."""
+    rest = text
+    for c in SYMBOLS:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    n, capitals = F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.regexp_count(text, F.lit("[A-Z]{3,}"))
+    counts = F.struct(n.alias("n"), (F.octet_length(text) - F.octet_length(rest)).alias("symbols"), capitals.alias("capitals"))
 
-    def number(of: str) -> Column:
-        return F.char_length(text) - F.char_length(F.translate(text, of, ""))
+    def rule(c: Column) -> Column:
+        n, symbols, capitals = c["n"], c["symbols"], c["capitals"]
+        is_bad, is_good = (symbols >= bad[0] * n) | (capitals >= bad[1] * n), (symbols <= good[0] * n) & (capitals <= good[1] * n)
+        return F.when(n < words, None).when(is_bad, False).when(is_good, True)
 
-    n, symbols, capitals, letters = F.regexp_count(text, F.lit(r"\S+")), number(SYMBOLS), number(UPPER), number(UPPER + LOWER)
-    is_bad = (symbols >= bad[0] * n) | (capitals >= bad[1] * letters) & (letters > 0)
-    is_good = (symbols <= good[0] * n) & (capitals <= good[1] * letters)
-    return F.when(n < words, None).when(is_bad, False).when(is_good, True)
+    return F.get(F.transform(F.array(counts), rule), F.lit(0))  # counts are made once
 
 
 def form(segment: Column) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import urltree as u
+from ledgerlens.llm.common import visible_text
 
 SF = "/root/testdata/sf0.01"
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -184,7 +185,7 @@ def test_the_tree_decides_on_pages_without_a_rule(spark):
     """The registered query against the plain version on a whole table."""
     import __spark_entry__ as contract
 
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", u.weak_label(F.col("html")).alias("good")).collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", F.col("html")).withColumn("shown", visible_text(F.col("html"))).withColumn("good", u.weak_label(F.col("shown"))).collect()
     got = {r.page_id: r for r in contract.queries()["op7_url_filter"](spark, SF).collect()}
     want = plain([p.url for p in pages], [p.good for p in pages])
     assert len(got) == len(pages)
@@ -201,10 +202,16 @@ def test_weak_labels(spark):
         words * 5, f"<p>{words * 5}</p><script>var x = '### $$$ |||' * 99</script><!-- || || -->", "### " * 40, words.upper() * 5, "<b>few words</b>", None, "",
         "&amp; " * 30 + words * 5, "a | b | " * 12, "<p " + "x" * 100_000, "12 34 " * 30,
     ]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "html string").select(u.weak_label(F.col("html"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "html string").select(visible_text(F.col("html")).alias("shown")).select(u.weak_label(F.col("shown"))).collect()]
     assert got == [True, True, False, False, None, None, None, True, False, None, True]
 
 
+def test_what_a_page_shows(spark):
+    rows = ["a<b>c</b>d", "<p>x</p><script>if (a < b) y();</script>z<!-- <i>no --> yes<STYLE>p{}</STYLE>w", "5 &lt; 6&#160;7", "no tag", "<p", "", None, "a > b<br/>c"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "h string").select(visible_text(F.col("h"))).collect()]
+    assert [x and x.split() for x in got] == [["a", "c", "d"], ["x", "z", "no", "-->", "yes", "w"], ["5", "6", "7"], ["no", "tag"], [], "", None, ["a", ">", "b", "c"]]
+
+
 def test_names_that_clash_stay(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", "mine", "too")], "page_id bigint, url string, template string, host string")
     row = u.judge(pages, ["page_id", "template", "host"]).collect()[0]
