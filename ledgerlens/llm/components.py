@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import store
+from ledgerlens.llm.common import discard, store
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     e = store(e, "links")
     seen = None
     while True:
-        e = store(_small_star(_large_star(e)), "links")
+        last, e = e, store(_small_star(_large_star(e)), "links")
+        discard(last)
         # A star forest: no node is both a centre and a leaf, and each leaf has one centre.
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == seen:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.llm.common import ascii_lower, store
+from ledgerlens.llm.common import ascii_lower, discard, store
 
 FANOUT, LIFT = 16, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -190,7 +190,7 @@ def butterfly(held: DataFrame) -> DataFrame:
     while FANOUT**r < most:
         left = F.col("n_blocks") > FANOUT**r
         done.append(held.filter(~left))
-        held = store(exchanged(held.filter(left), r), "merkle-round")
+        held = store(exchanged(held.filter(left), r), "merkle-round")  # the last round's other blocks are read later
         r += 1
     for d in done:
         held = held.unionByName(d)
@@ -238,7 +238,9 @@ def _placed_with_tops(docs: DataFrame, id_col: str, group_col: str, fields: tupl
         F.col(f"`{group_col}`").alias("g"), F.col(f"`{id_col}`").alias("id"), own.alias("leaf"),
         (other if suspect is None else F.when(suspect, other)).alias("forged"),
     )
-    leaves = store(placed(store(leaves, "merkle-leaves")), "merkle-leaves")
+    hashed = store(leaves, "merkle-hashed")
+    leaves = store(placed(hashed), "merkle-leaves")
+    discard(hashed)
     held = store(butterfly(blocks(leaves)), "merkle-groups")
     # The upper tree: its leaves are the groups' roots.
     subroots = held.filter("block = 0").select(F.lit(0).alias("g"), F.col("g").alias("id"), F.col("root").alias("leaf"))

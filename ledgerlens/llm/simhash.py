@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes, fresh, map_texts, store
+from ledgerlens.llm.common import as_bytes, discard, fresh, map_texts, store
 from ledgerlens.llm.components import components
 
 SPACED = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -114,13 +114,15 @@ def finer_variants(rows: DataFrame, distance: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for mask, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if mask not in known:
-                    known[mask] = np.array([signed(m) for m in one_wildcard(mask & (1 << 64) - 1, distance)], np.int64)
-                masks = known[mask]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(masks), pa.array(masks & np.int64(fp)), pa.array(np.full(len(masks), fp, np.int64))], names=["mask", "part", "fp"]
-                )
+            mask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for m in np.unique(mask).tolist():
+                if m not in known:
+                    known[m] = np.array([signed(x) for x in one_wildcard(m & (1 << 64) - 1, distance)], np.int64)
+                masks, own = known[m], fp[mask == m]
+                for at in range(0, len(own), 1 << 14):  # some 2 ** 20 variants at a time
+                    some = own[at : at + (1 << 14)]
+                    cols = [np.tile(masks, len(some)), (some[:, None] & masks).ravel(), np.repeat(some, len(masks))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mask", "part", "fp"])
 
     return rows.select("mask", "fp").mapInArrow(run, "mask bigint, part bigint, fp bigint")
 
@@ -129,6 +131,10 @@ def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= distance  # of signed numbers it counts the absolute value
 
 
+#: Classes of a run that are compared in one task; longer runs are cut by further variants.
+RUN_LIMIT = 1 << 12
+
+
 class Forest:
     """Union-find over the classes that a task has seen."""
 
@@ -237,7 +243,10 @@ def variant_links(classes: DataFrame, distance: int, run_limit: int, finer: int
         long = found.filter("a is null").select("mask", "part").distinct()
         if step == finer or long.isEmpty():
             break
-        rows = store(finer_variants(rows.join(long, ["mask", "part"]), distance), "finer-variants")
+        finer_rows = store(finer_variants(rows.join(long, ["mask", "part"]), distance), "finer-variants")
+        if step:
+            discard(rows)
+        rows = finer_rows
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -268,7 +277,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = 1 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = RUN_LIMIT
 ) -> DataFrame:
     """Per document: id, fingerprint (16 hex digits) and component_id (the smallest id of its component)."""
     placed = _placed(docs, id_col, text_col, shingle, distance, run_limit)
@@ -278,7 +287,7 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = 1 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, run_limit: int = RUN_LIMIT
 ) -> DataFrame:
     """One document of each component, with all its columns: the one of the smallest id (of rows that
     share it, that of the smallest text hash; of rows equal in both, any one)."""

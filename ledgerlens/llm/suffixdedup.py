@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.llm.common import as_bytes, fresh, map_texts, store
+from ledgerlens.llm.common import as_bytes, discard, fresh, map_texts, store
 from ledgerlens.llm.induced import Scratch, sort_suffixes
 
 LENGTH, GRAM = 400, 64
@@ -414,6 +414,7 @@ def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int,
     keys = found.groupBy("key").agg(F.count("*").alias("all"), F.min("piece").alias("least"), F.max("piece").alias("most"), F.min("gram_at").alias("gram_at"))
     keys = keys.filter((F.col("all") > 1) | (F.col("gram_at") < 0)).select("key", (F.col("least") == F.col("most")).alias("alike"), "all")
     open_ = store(found.join(keys, "key"), "open-pieces")
+    discard(found)
     same = open_.filter("alike and all > 1").select("id", "row", "start", "n")
     mixed = open_.filter("not alike or all = 1")
     classes = store(

@@ -37,7 +37,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ascii_lower, fresh, store
+from ledgerlens.llm.common import ascii_lower, discard, fresh, store
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -136,7 +136,7 @@ def templates(
     rows = store(paths.withColumns({"parts": segments(F.col("path"), levels), "template": F.lit(""), "above": nothing}), "url-paths")
     deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(deepest):
-        part = F.get("parts", F.lit(level))
+        before, part = rows, F.get("parts", F.lit(level))
         rows = rows.withColumn("part", part)
         branches = rows.filter("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         told = F.col("good") + F.col("bad")
@@ -158,6 +158,7 @@ def templates(
             .drop("branch", "part")
         )
         rows = store(rows, "url-paths")  # each level reads the last one several times
+        discard(before, branches, nodes)
     return rows.drop("parts")
 
 

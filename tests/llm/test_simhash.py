@@ -105,3 +105,49 @@ def test_empty_table(spark):
     assert s.near_duplicates(documents(spark, []).limit(0)).count() == 0
     assert s.drop_near_duplicates(documents(spark, []).limit(0)).count() == 0
     assert s.fingerprints(documents(spark, ["a b"]), ["doc_id"]).select(F.col("fp")).count() == 1
+
+
+def test_long_runs_are_refined_at_the_default(spark):
+    """6,000 classes that share a segment, so more than a run may have: components equal those of all pairs."""
+    rnd = np.random.default_rng(3)
+    shared = np.uint64(0x1ABCD)
+    fps = (rnd.integers(0, 1 << 42, 5000).astype(np.uint64) << np.uint64(22)) | shared
+    near = fps[:1000] ^ (np.uint64(1) << rnd.integers(0, 64, 1000).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 1000).astype(np.uint64))
+    fps = np.unique(np.concatenate([fps, near]))
+    signed = fps.view(np.int64)
+    assert len(fps) > s.RUN_LIMIT
+    up = {int(x): int(x) for x in signed}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4):
+            a, b = root(int(signed[i])), root(int(signed[j]))
+            up[max(a, b)] = min(a, b)
+    classes = spark.createDataFrame([(int(x),) for x in signed], "fp bigint")
+    links = [(r.a, r.b) for r in s.variant_links(classes, 4, s.RUN_LIMIT).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
+    own = {int(x): int(x) for x in signed}
+    want = {x: root(x) for x in up}
+    up = own
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert {x: root(x) for x in up} == want and 900 < len(set(want)) - len(set(want.values()))
+
+
+def test_tables_of_earlier_steps_are_removed(spark):
+    import os
+
+    from ledgerlens.llm.common import shared_folder, store
+
+    rows = list(enumerate(near_texts(1)))
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = store(s.near_duplicates(documents(spark, rows)), "result")
+    left = [x for x in set(os.listdir(root)) - before if x.startswith("links-")]
+    assert len(left) == 1 and got.count() == len(rows)
