@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, langid, linededup, simhash
-from ledgerlens.llm.common import store
+from ledgerlens.llm.common import discard, store
 from ledgerlens.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
@@ -57,6 +57,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return docs
