@@ -188,3 +188,33 @@ def test_dates_and_timestamps(spark, ranges):
 def test_other_types_are_refused(spark):
     with pytest.raises(TypeError, match="cannot rank a string"):
         percent_rank_tiers(spark.createDataFrame([("a",)], "x string"), {"t": ("x", False)})
+
+
+@pytest.mark.parametrize("ranges", [2, 3, 7, 8, 9, 10_000])
+def test_many_ranges_equal_the_window_form(spark, ranges):
+    rnd = random.Random(ranges)
+    data = [(i, D(rnd.randint(-5000, 5000)) / 4, rnd.choice([None, 2**60 + i, i % 7]), rnd.randint(0, 900)) for i in range(3000)]
+    check(spark, data, ranges)
+
+
+def test_code_does_not_grow_with_the_ranges(spark):
+    """The boundaries are data: a plan of ten thousand ranges has no more expressions than one of ten."""
+    from ledgerlens.operators.quantiles import percent_rank_cuts
+
+    df = spark.range(5000).selectExpr("id", "cast(id * id % 9973 as decimal(12,2)) as a")
+
+    def cases(ranges):
+        plan = percent_rank_cuts(df, {"t": "a"}, ranges=ranges)._jdf.queryExecution().analyzed().toString()
+        return plan.count("CASE WHEN"), plan.count("element_at")
+
+    assert cases(10) == cases(10_000)
+
+
+def test_range_of_a_value_is_the_number_of_lower_bounds(spark):
+    from ledgerlens.operators.quantiles import range_of
+
+    for n in (0, 1, 2, 3, 6, 7, 8, 30):
+        bounds = [2 * k for k in range(n)]
+        array = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+        rows = spark.range(-3, 2 * n + 3).select("id", range_of(F.col("id"), array, n + 1).alias("r")).collect()
+        assert [r.r for r in rows] == [sum(b < r.id for b in bounds) for r in rows]
