@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ledgerlens.sources.sinks import checkpoint_root
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,13 +33,8 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where a session names none (tests),
-    a folder in its warehouse, which is shared as well."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``, or what stands for it (tests)."""
+    return checkpoint_root(spark)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -104,7 +104,10 @@ def section_tokens(
     sections: Callable[[bytes], list[tuple[str, int, int]]] = lines,
     rule: str = "first",
 ) -> DataFrame:
-    """``keep`` columns and a row per section of each text: section, n_tokens, n_crossing."""
+    """``keep`` columns and a row per section of each text: section, n_tokens, n_crossing.
+
+    A ``keep`` column that is called like one of these stays; the new one gets underscores before its name.
+    """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))  # the vocabulary file bounds it
@@ -129,4 +132,4 @@ def section_tokens(
         return fn
 
     made = map_texts(docs, keep, text_col, T.StructType([T.StructField(name, T.ArrayType(SECTION))]), make, 4 << 20)
-    return made.select(*[F.col(f"`{c}`") for c in keep], F.inline(name))
+    return made.select(*[F.col(f"`{c}`") for c in keep], F.inline(name).alias(*[fresh(keep, c) for c in SECTION.names]))

@@ -102,3 +102,11 @@ def test_entry_without_the_subpackage(monkeypatch):
     alone = importlib.import_module("__spark_entry__")
     assert set(alone.queries()) == set(QUERIES) == set(alone.oracle_sql())
     monkeypatch.undo()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    """No documents: every stage runs and gives none."""
+    spark.read.parquet(f"{SMALL}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.collect() == []

@@ -70,3 +70,9 @@ def test_other_sections_and_rules(spark):
     with pytest.raises(ValueError, match="rule"):
         t.section_tokens(docs, RANKS, P.PATTERN, ["doc_id"], rule="none")
     assert t.section_tokens(docs.limit(0), RANKS, P.PATTERN, ["doc_id"]).count() == 0
+
+
+def test_names_that_clash_stay(spark):
+    docs = documents(spark, ["one two"]).selectExpr("doc_id", "text", "'mine' as section", "7 as n_tokens")
+    row = t.section_tokens(docs, RANKS, P.PATTERN, ["doc_id", "section", "n_tokens"]).collect()[0]
+    assert (row["section"], row["n_tokens"]) == ("mine", 7) and {"_section", "_n_tokens", "n_crossing"} <= set(row.asDict())
