@@ -313,7 +313,7 @@ def identify(
     models = None
     if rare:
         names = numbered(spark, rare)
-        src = src.join(F.broadcast(names.select(F.col("rare_name").alias("declared"), F.col("number").alias("own"))), "declared", "left")
+        src = src.join(names.select(F.col("rare_name").alias("declared"), F.col("number").alias("own")), "declared", "left")
         models = rare_models(src, rare)
     else:
         src = src.withColumn("own", F.lit(None).cast("int"))
@@ -339,7 +339,7 @@ def identify(
         take = F.coalesce((F.col("rare") == F.col("own")) | (mine >= F.get("log", F.lit(pool))), F.lit(False))
         joined = joined.withColumn("log", F.when(take, F.transform("log", lambda x, i: F.when(i == pool, mine).otherwise(x))).otherwise(F.col("log")))
         joined = joined.withColumn("rare", F.when(take, F.col("own")).otherwise(F.col("rare")))
-        joined = joined.join(F.broadcast(names.withColumnRenamed("number", "rare")), "rare", "left")
+        joined = joined.join(names.withColumnRenamed("number", "rare"), "rare", "left")
     top = F.array_max("log")
     joined = joined.withColumn("best", _best("log")).withColumn("posterior", 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     names_of = F.array(*[F.lit(x) for x in known], *([F.col("rare_name")] if rare else []), F.lit(None).cast("string"))

@@ -533,7 +533,7 @@ def find(docs: DataFrame, keep: list[str], *, text_col: str = "text", train_zone
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per document: base spans by kind, their digest, and all spans."""
+    """Per document: base spans by kind, their digest, all spans, and how many these are."""
     found = find(docs, [id_col], **options)
     base, added = found.columns[-2:]
     kind = F.array(*[F.lit(k) for k in KINDS])
@@ -547,4 +547,5 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
         *[n_of(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(text(F.col(base)), 256).alias("base_sha256"),
         text(ranked).alias("spans"),
+        F.size(ranked).cast("bigint").alias("n_spans"),
     )

@@ -443,7 +443,8 @@ def repeated_runs(docs: DataFrame, *, length: int, gram: int, shard_bytes: int,
         known, more = spread(store(texts.join(large.filter("hot").select("key"), "key"), "hot-pieces"), length, gram)
         out, windows = out.unionByName(known), windows.unionByName(more)
     windows = store(windows, "windows")
-    counted = windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("many").alias("any")).filter("c > 1 or any").select("key", "window")
+    counted = store(windows.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("many").alias("any")).filter("c > 1 or any").select("key", "window"), "window-counts")
+    # Joins of written tables are split where a window is in many documents.
     single = windows.filter("not many").join(counted, ["key", "window"]).select("id", "row", "start", F.lit(1).cast("bigint").alias("n"))
     periodic = cut.filter("n is not null").select("id", "row", "start", "n")
     return out.unionByName(single).unionByName(periodic)
