@@ -103,7 +103,8 @@ def merge_word(word: bytes, first: list[int], merges: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-LONGEST = 32  # bytes of words that are merged together
+LONGEST = 64  # bytes of words that are merged together
+WIDTHS = (0, 4, 8, 12, 18, 32, LONGEST)
 NO_PAIR = (1 << 20) - 1  # an id that no token has
 NO_RANK = np.iinfo(np.int32).max
 
@@ -165,7 +166,7 @@ class Merger:
         """Token ids of the words that lie one after the other in ``body``, cut at ``at``, and where each word's begin."""
         size = np.diff(at)
         n, parts = np.zeros(len(size), np.int64), []
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 18), (18, LONGEST)):
+        for low, high in zip(WIDTHS, WIDTHS[1:], strict=False):
             which = np.flatnonzero((size > low) & (size <= high))
             if len(which):
                 column = np.arange(high)
