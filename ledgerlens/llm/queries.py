@@ -59,14 +59,12 @@ def tokenizer_path() -> str:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (``source`` stands for their host, ``lang`` for what they declare) and pages (host of the url, language
-    declared in the markup, visible text), told apart by ``table``."""
-    names = ["table", "doc_id", "page_id"]
-    none = F.lit(None).cast("bigint")
-    docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), "doc_id", none.alias("page_id"), "text", "lang", F.col("source").alias("host"))
+    declared in the markup, visible text); ``table`` names the table that ``doc_id`` is an id of."""
+    docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), "doc_id", "text", "lang", F.col("source").alias("host"))
     html, url = F.col("html"), F.col("url")
     own = [visible_text(html).alias("text"), langid.declared_language(html).alias("lang"), langid.url_host(url).alias("host")]
-    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), none.alias("doc_id"), "page_id", *own)
-    return langid.identify(docs.unionByName(pages), names, host=F.col("host"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), F.col("page_id").alias("doc_id"), *own)
+    return langid.identify(docs.unionByName(pages), ["table", "doc_id"], host=F.col("host"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,9 +222,9 @@ def test_the_query_reads_both_tables(spark):
     rows = contract.queries()["op5_language_id"](spark, small).collect()
     docs, pages = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "pages"))
     assert sorted(r.doc_id for r in rows if r.table == "documents") == sorted(r.doc_id for r in docs.collect())
-    assert sorted(r.page_id for r in rows if r.table == "pages") == sorted(r.page_id for r in pages.collect())
+    assert sorted(r.doc_id for r in rows if r.table == "pages") == sorted(r.page_id for r in pages.collect())
     declared = {r.page_id: r.d for r in pages.select("page_id", l.declared_language(F.col("html")).alias("d")).collect()}
-    assert sum(r.language == declared[r.page_id] for r in rows if r.table == "pages") > 0.95 * len(declared)
+    assert sum(r.language == declared[r.doc_id] for r in rows if r.table == "pages") > 0.95 * len(declared)
 
 
 def test_names_that_clash_stay(spark):
