@@ -32,7 +32,7 @@ ALPHABET = 4096
 #: Strings of names up to this length are sorted by doubling, which ends the recursion.
 SMALL = 1 << 16
 #: Tuples that are extracted, and elements of a long array that are looked at, together.
-BATCH = 1 << 18
+BATCH = 1 << 16
 
 
 class Scratch:

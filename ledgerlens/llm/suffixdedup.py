@@ -52,7 +52,7 @@ from ledgerlens.llm.induced import Scratch, sort_suffixes
 
 LENGTH, GRAM = 400, 64
 STRETCH = 42
-SLICE = 1 << 19  # window starts that are hashed at a time
+SLICE = 1 << 18  # window starts that are hashed at a time
 ROWS, ROW_BYTES = 1 << 14, 4 << 20  # rows, and bytes of pieces, that are put out at a time
 ODD = 0x9E3779B97F4A7C15
 TASK_BYTES, MOST_TASKS = 8 << 20, 50_000  # of pieces that one task sorts, shard by shard; and tasks that they are dealt to
@@ -170,7 +170,7 @@ def document_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         return fn
 
-    made = map_texts(docs, ["id", "row"], "text", T.StructType([T.StructField("pieces", T.ArrayType(PIECE))]), make, 1 << 20)
+    made = map_texts(docs, ["id", "row"], "text", T.StructType([T.StructField("pieces", T.ArrayType(PIECE))]), make, 1 << 19)
     return made.select("id", "row", F.inline("pieces"))
 
 
@@ -303,6 +303,13 @@ def spread(hot: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame
     return known, texts.mapInArrow(windows, single)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``n`` at a time: what is made of their texts is in memory for these only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) or [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -390,7 +397,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         rows: list[tuple] = []
         size = 0
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for i, row, want, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for r in found(i, row, want, memoryview((text or "").encode())):
                     rows.append(r)
@@ -478,7 +485,7 @@ def _with_runs(docs: DataFrame, keep: list[str], id_col: str, text_col: str, opt
     return docs.select(*[F.col(f"`{x}`") for x in keep]).join(lists, same, "left").drop(i, r), c
 
 
-DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 2 << 20, "hot_pieces": 1_000, "hot_bytes": 4 << 20, "memory": 128 << 20}
+DEFAULTS = {"length": LENGTH, "gram": GRAM, "shard_bytes": 1 << 20, "hot_pieces": 1_000, "hot_bytes": 4 << 20, "memory": 128 << 20}
 
 
 def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -492,7 +499,7 @@ def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for raw, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 kept, removed, spans = kept_pieces(len(raw), found or [], length)
